@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import op10
+from .quality import op2
 
 QUERIES = {
+    "op2_quality_rules": op2,
     "op10_decontamination": op10,
 }
 
