@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .decontaminate import op10
 from .quality import op2
+from .simhash import op8
 
 QUERIES = {
     "op2_quality_rules": op2,
+    "op8_simhash": op8,
     "op10_decontamination": op10,
 }
 
