@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .decontaminate import op10
+from .packing import op7
 from .quality import op2
+from .sharding import op5
 from .simhash import op8
 
 QUERIES = {
     "op2_quality_rules": op2,
+    "op5_rendezvous_sharding": op5,
+    "op7_bestfit_packing": op7,
     "op8_simhash": op8,
     "op10_decontamination": op10,
 }
