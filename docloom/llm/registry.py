@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .decontaminate import op10
 from .packing import op7
+from .pii import op3
 from .quality import op2
 from .sharding import op5
 from .simhash import op8
 
 QUERIES = {
     "op2_quality_rules": op2,
+    "op3_pii": op3,
     "op5_rendezvous_sharding": op5,
     "op7_bestfit_packing": op7,
     "op8_simhash": op8,
