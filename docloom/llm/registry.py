@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op9
 from .decontaminate import op10
 from .packing import op7
 from .pii import op3
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_rendezvous_sharding": op5,
     "op7_bestfit_packing": op7,
     "op8_simhash": op8,
+    "op9_chat_format": op9,
     "op10_decontamination": op10,
 }
 
