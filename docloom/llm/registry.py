@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op9
 from .decontaminate import op10
+from .html import op4
 from .packing import op7
 from .pii import op3
 from .quality import op2
@@ -13,6 +14,7 @@ from .simhash import op8
 QUERIES = {
     "op2_quality_rules": op2,
     "op3_pii": op3,
+    "op4_wrapper_induction": op4,
     "op5_rendezvous_sharding": op5,
     "op7_bestfit_packing": op7,
     "op8_simhash": op8,
