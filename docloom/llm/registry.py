@@ -8,6 +8,7 @@ from .html import op4
 from .packing import op7
 from .pii import op3
 from .quality import op2
+from .recompress import op6
 from .sharding import op5
 from .simhash import op8
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_pii": op3,
     "op4_wrapper_induction": op4,
     "op5_rendezvous_sharding": op5,
+    "op6_recompression": op6,
     "op7_bestfit_packing": op7,
     "op8_simhash": op8,
     "op9_chat_format": op9,
