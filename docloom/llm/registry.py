@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import op9
 from .decontaminate import op10
 from .html import op4
+from .lm_score import op1
 from .packing import op7
 from .pii import op3
 from .quality import op2
@@ -13,6 +14,7 @@ from .sharding import op5
 from .simhash import op8
 
 QUERIES = {
+    "op1_lm_score": op1,
     "op2_quality_rules": op2,
     "op3_pii": op3,
     "op4_wrapper_induction": op4,
