@@ -224,8 +224,9 @@ def calibrate(
     limit = int(np.argmax(above <= allowed))
     if bad[limit:].sum() <= above[limit]:
         return forest
-    # halfway into the gap below the first rejected row: the same labelled rows go
-    limit += int(np.argmax((good + bad)[limit:] > 0)) // 2
+    # far into the gap below the first rejected row: the same labelled rows go, and an
+    # unusual but clean row has room
+    limit += int(np.argmax((good + bad)[limit:] > 0)) * 3 // 4
     forest.limit = limit / bins
     return forest
 
