@@ -14,6 +14,8 @@ symbol too.
 3. Candidate windows are compared by 96 bits of two independent hashes of their words.
 4. Words covered by repeated windows go.
 
+A window that repeats within the texts at hand is known to repeat there; only one of
+its occurrences is sent on, so a passage of very many texts stays a few rows a task.
 No step holds a group: equal symbols and equal windows are met in sorted order.
 """
 
@@ -259,14 +261,16 @@ def mark_repeats(
         _window_rows(parsed.where("_first is not null"), window), ["h1", "h2"], "_row long, at int", ["_row", "at"]
     )
     starts = hits.groupBy("_row").agg(F.collect_list("at").alias("_at"))
-    plain = parsed.where("_first is null").select(*inside, "n_words", F.col("_removed").alias("n_removed"), "_blob", F.lit(None).cast("array<int>").alias("_at"))
+    no_list = F.lit(None).cast("array<int>")
+    none = [no_list.alias(c) for c in ("_at", "_sure", "_sure_last")]
+    plain = parsed.where("_first is null").select(*inside, "n_words", F.col("_removed").alias("n_removed"), "_blob", *none)
     cut = (
         parsed.where("_first is not null and not _whole")
         .join(starts, "_row", "left")
-        .select(*inside, "n_words", F.lit(-1).cast("long").alias("n_removed"), "_blob", "_at")
+        .select(*inside, "n_words", F.lit(-1).cast("long").alias("n_removed"), "_blob", "_at", "_sure", "_sure_last")
     )
     whole = parsed.where("_first is not null and _whole").select(
-        *inside, "n_words", F.col("n_words").alias("n_removed"), "_blob", F.lit(None).cast("array<int>").alias("_at")
+        *inside, "n_words", F.col("n_words").alias("n_removed"), "_blob", *none
     )
     return _apply(plain.unionByName(cut).unionByName(whole), keep, text, window)
 
@@ -283,11 +287,36 @@ def _few(batch: pa.RecordBatch, column: str, most: int = K.SLICE_BYTES // 2):
     yield from (part for part, _ in K.slices(batch, column, most))
 
 
+def _local_repeats(words: K.Words, hashes: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows equal another one here, and which of these need not be sent on."""
+    again, spare = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
+    if len(at) > 1:
+        h = [K.range_hash(K.prefix_hash(x, p), at, at + window, p) for x, p in zip((hashes, words.hashes(1)), K._WORD_POLY)]
+        order = np.lexsort((h[1], h[0]))
+        equal = (h[0][order][1:] == h[0][order][:-1]) & (h[1][order][1:] == h[1][order][:-1])
+        spare[order[1:]] = equal
+        again[order[:-1]] = equal
+        again |= spare
+    return again, spare
+
+
+def _stretches(at: np.ndarray) -> tuple[list[int], list[int]]:
+    """First and last of each run of consecutive numbers."""
+    if not len(at):
+        return [], []
+    gap = np.flatnonzero(np.diff(at) > 1)
+    return at[np.concatenate(([0], gap + 1))].tolist(), at[np.concatenate((gap, [len(at) - 1]))].tolist()
+
+
 def _find_candidates(joined: DataFrame, keep: list[str], window: int, rounds: int) -> DataFrame:
-    """n_words, and of texts with candidate windows their first and last words of candidate stretches."""
+    """n_words, and of texts with candidate windows the stretches of their starts.
+
+    _first, _last: first and last start of each stretch that is to be compared; _sure,
+    _sure_last: of each one that is known to repeat.
+    """
     from pyspark.sql import types as T
 
-    new = T._parse_datatype_string("n_words long, _removed long, _whole boolean, _first array<int>, _last array<int>, _blob binary")
+    new = T._parse_datatype_string("n_words long, _removed long, _whole boolean, _first array<int>, _last array<int>, _sure array<int>, _sure_last array<int>, _blob binary")
     out = T.StructType([*(joined.schema[c] for c in keep), *new.fields])
 
     def run(batches):
@@ -305,26 +334,26 @@ def _find_candidates(joined: DataFrame, keep: list[str], window: int, rounds: in
                 mine = symbols.name[at] ^ salt[symbols.doc[at]]
                 common = np.isin(mine, np.concatenate(known)) if known else np.zeros(len(at), dtype=bool)
                 found = candidates(words, symbols, at[~common], window)
-                by_doc = np.searchsorted(found, words.first)
+                again, spare = _local_repeats(words, hashes, found, window)
+                sure, found = found[again], found[~spare]
+                by_doc, by_sure = np.searchsorted(found, words.first), np.searchsorted(sure, words.first)
                 whole = [bool(x) for x in part.column("_whole").to_pylist()]
                 keys = part.column("_k1").to_pylist()
-                first, last, removed = [], [], []
+                stretches, removed = ([], [], [], []), []
                 for i in range(own.n):
                     mine = found[by_doc[i] : by_doc[i + 1]] - words.first[i]
+                    known = sure[by_sure[i] : by_sure[i + 1]] - words.first[i]
                     removed.append(int(words.count[i]) if whole[i] else 0)
                     # copies of a text in one task compare its windows once
-                    if not len(mine) or whole[i] and keys[i] in sent:
-                        first.append(None)
-                        last.append(None)
-                        continue
-                    if whole[i] and len(sent) < 200_000:
+                    none = not len(mine) and not len(known) or whole[i] and keys[i] in sent
+                    if whole[i] and not none and len(sent) < 200_000:
                         sent.add(keys[i])
-                    gap = np.flatnonzero(np.diff(mine) > 1)
-                    first.append(mine[np.concatenate(([0], gap + 1))].tolist())
-                    last.append(mine[np.concatenate((gap, [len(mine) - 1]))].tolist())
+                    got = (None,) * 4 if none else (*_stretches(mine), *_stretches(known))
+                    for column, value in zip(stretches, got):
+                        column.append(value)
                 arrays = [part.column(c) for c in keep]
                 arrays += [pa.array(words.count), pa.array(removed, type=pa.int64()), pa.array(whole)]
-                arrays += [pa.array(x, type=pa.list_(pa.int32())) for x in (first, last)]
+                arrays += [pa.array(x, type=pa.list_(pa.int32())) for x in stretches]
                 yield pa.RecordBatch.from_arrays([*arrays, part.column("_blob")], names=out.names)
 
     return joined.mapInArrow(run, out)
@@ -374,12 +403,15 @@ def _apply(rows: DataFrame, keep: list[str], text: str, window: int) -> DataFram
                 own = _unpacked(part.column("_blob").to_pylist())
                 words = K.Words(own)
                 removed, kept = [], []
-                for i, (starts, known) in enumerate(zip(part.column("_at").to_pylist(), part.column("n_removed").to_pylist())):
+                names = ("_at", "_sure", "_sure_last", "n_removed")
+                for i, (starts, sure, sure_last, known) in enumerate(zip(*(part.column(c).to_pylist() for c in names))):
                     lo, hi = int(words.first[i]), int(words.first[i + 1])
                     if known is not None and known >= 0:
                         gone = np.full(hi - lo, known > 0)
                     else:
-                        gone = K.run_mask(hi - lo, np.array(starts or [], dtype=np.int64), window)
+                        begin = np.array((starts or []) + (sure or []), dtype=np.int64)
+                        last = np.array((starts or []) + (sure_last or []), dtype=np.int64)
+                        gone = K.run_mask(hi - lo, begin, last - begin + window)
                     removed.append(int(gone.sum()))
                     raw, left = own.data, np.flatnonzero(~gone) + lo
                     kept.append(b" ".join(raw[s:e].tobytes() for s, e in zip(words.start[left], words.end[left])).decode())
