@@ -361,27 +361,23 @@ def host(url: str = "url"):
 
 
 def references(pages: DataFrame, *, url: str = "url", html: str = "html", count: int = REFERENCES) -> DataFrame:
-    """(host, refs): outlines of each host's ``count`` pages with the smallest hashes.
+    """(host, refs): outlines of up to ``count`` pages of each host.
 
-    Copies of a page count once.  Hosts without a name have no references.
+    Pages fall into ``count`` parts by their hash; the smallest hash of a part is taken.  Copies of a page count once.  Hosts without a name have no references.
     """
     keyed = pages.select(host(url).alias("host"), F.xxhash64(html).alias("h"), F.col(html).alias("html"))
     named = keyed.where("host <> '' and html is not null and html <> ''")
-    # the smallest hashes by partial aggregation, then the pages that have them
-    least = named.groupBy("host").agg(F.min("h").alias("h"))
-    picked = least
-    for _ in range(count - 1):
-        done = picked.groupBy("host").agg(F.max("h").alias("most"))
-        more = named.join(done, "host").where("h > most")
-        picked = picked.unionByName(more.groupBy("host").agg(F.min("h").alias("h")))
-    chosen = named.join(picked, ["host", "h"]).groupBy("host", "h").agg(F.min("html").alias("html"))
+    # one page for each remainder of the hash, by partial aggregation: no page is shuffled
+    # but a task's best ones
+    best = named.groupBy("host", F.pmod("h", F.lit(count)).alias("part")).agg(F.min(F.struct("h", "html")).alias("best"))
+    chosen = best.select("host", F.col("best.html").alias("html"))
 
     def run(batches):
         for batch in batches:
             packed = [_pack(outline(x)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, type=pa.string())], names=["host", "ref"])
 
-    outlines = chosen.select("host", "html").mapInArrow(run, "host string, ref string")
+    outlines = chosen.mapInArrow(run, "host string, ref string")
     return outlines.groupBy("host").agg(F.array_sort(F.collect_set("ref")).alias("refs"))
 
 
