@@ -6,6 +6,7 @@ import hashlib
 import re
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -162,8 +163,8 @@ class Database:
 
     def _watch(self, where: dict, pipeline, options) -> ChangeStream:
         if self._log is None:
-            base = self.path or self.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docloom-log-")
-            self._log = ChangeLog(self.spark, f"{base}/_changes")
+            shared = self.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docloom-log-")
+            self._log = ChangeLog(self.spark, f"{self.path or shared}/_changes/{uuid.uuid4().hex}")
         return ChangeStream(self._log, where, pipeline, **options)
 
     def watch(self, pipeline: list[dict] | None = None, **options: Any) -> ChangeStream:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import queue
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -138,7 +139,7 @@ class ChangeStream:
 
             context = self.log.spark.sparkContext
             base = context.getConf().get("spark.checkpoint.dir")
-            self._state = f"{base}/changes-{id(self)}" if base else tempfile.mkdtemp(prefix="docloom-changes-")
+            self._state = f"{base}/changes-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="docloom-changes-")
             self._query = True
 
         def collect(batch: DataFrame, _: int) -> None:
