@@ -352,7 +352,7 @@ def _changes(spark, sf_dir):
     return spark.createDataFrame(events, "_id long, kind string")
 
 
-@query("select time_bucket(interval 1 hour, ts) as "hour", event_type, count(*) n from events group by 1, 2", "stream_windowed_counts")
+@query("select time_bucket(interval 1 hour, ts) bucket, event_type, count(*) n from events group by 1, 2", "stream_windowed_counts")
 def _windowed(spark, sf_dir):
     from ..streaming.windows import hourly_counts
 

@@ -13,7 +13,7 @@ def windowed_counts(events: DataFrame, *, time: str = "ts", by: str = "event_typ
     stamped = events.withColumn("_at", F.col(time).cast("timestamp"))
     stamped = stamped.withWatermark("_at", late) if events.isStreaming else stamped
     counts = stamped.groupBy(F.window("_at", window).alias("w"), by).agg(F.count("*").alias("n"))
-    return counts.select(F.col("w.start").alias("hour"), by, "n")
+    return counts.select(F.col("w.start").alias("bucket"), by, "n")
 
 
 def hourly_counts(spark, sf_dir: str) -> DataFrame:
@@ -24,4 +24,4 @@ def hourly_counts(spark, sf_dir: str) -> DataFrame:
     counts = windowed_counts(source)
     stream = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     stream.awaitTermination()
-    return spark.table(name).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    return spark.table(name).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
