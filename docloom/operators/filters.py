@@ -299,6 +299,7 @@ def _operator(op: str, arg: Any, whole: dict, at, c: Context, inside: bool) -> C
         return all_of([criterion(x, at, c) if isinstance(x, dict) and "$elemMatch" in x or isinstance(x, re.Pattern) else _equal(at, x) for x in arg])
     if op == "$elemMatch":
         test = element_test(arg, c)
+        test(V.missing())  # a malformed criterion is an error whatever the field holds
 
         def some(v: Value) -> Column:
             return F.exists(v.col, lambda x: test(Value(x, v.type.elementType))) if v.kind == "array" else F.lit(False)

@@ -72,7 +72,7 @@ EXPRESSIONS: dict[str, tuple] = {
     "rtrim": (C, {"$rtrim": {"input": "$c_name", "chars": "0123456789"}}, "rtrim(c_name, '0123456789')"),
     "strcasecmp": (C, {"$strcasecmp": ["$c_mktsegment", "household"]}, "case when upper(c_mktsegment) < 'HOUSEHOLD' then -1 when upper(c_mktsegment) > 'HOUSEHOLD' then 1 else 0 end"),
     "replaceOne": (C, {"$replaceOne": {"input": "$c_mktsegment", "find": "U", "replacement": "_"}}, "regexp_replace(c_mktsegment, 'U', '_')"),
-    "replaceAll": (C, {"$replaceAll": {"input": "$c_mktsegment", "find": "I", "replacement": "$1"}}, "replace(c_mktsegment, 'I', '$1')"),
+    "replaceAll": (C, {"$replaceAll": {"input": "$c_mktsegment", "find": "I", "replacement": {"$literal": "$1"}}}, "replace(c_mktsegment, 'I', '$1')"),
     "regexMatch": (D, {"$regexMatch": {"input": "$text", "regex": "th[ae]", "options": "i"}}, "regexp_matches(text, '(?i)th[ae]')"),
     "regexFind": (D, {"$getField": {"field": "match", "input": {"$regexFind": {"input": "$text", "regex": "[a-z]+tion"}}}}, "nullif(regexp_extract(text, '[a-z]+tion'), '')"),
     "regexFindAll": (D, {"$size": {"$regexFindAll": {"input": "$text", "regex": "the"}}}, "len(regexp_extract_all(text, 'the'))"),
