@@ -205,9 +205,9 @@ def _is_article(node: Node) -> bool:
 # --- references and alignment -------------------------------------------------------
 
 
-def outline(source: str) -> list[list]:
+def outline(source: str | Node) -> list[list]:
     """A tree as rows (parent, label, text hash) in page order; the hash is 0 without text."""
-    rows, stack = [], [(parse(source), -1)]
+    rows, stack = [], [(parse(source) if isinstance(source, str) else source, -1)]
     while stack:
         node, parent = stack.pop()
         me = len(rows)
@@ -222,22 +222,30 @@ def _pack(rows: list[list]) -> str:
 
 
 class Outline:
-    def __init__(self, packed: str):
-        self.label: list[str] = []
-        self.hash: list[int] = []
-        self.children: list[list[int]] = []
-        for i, line in enumerate(packed.split("\n") if packed else []):
-            parent, label, h = line.split("\t")
-            self.label.append(label)
-            self.hash.append(int(h))
-            self.children.append([])
-            if int(parent) >= 0:
-                self.children[int(parent)].append(i)
+    def __init__(self, rows: list[list]):
+        self.label = [re.sub(r"[\t\n]", " ", r[1]) if "\t" in r[1] or "\n" in r[1] else r[1] for r in rows]
+        self.hash = [int(r[2]) for r in rows]
+        self.children: list[list[int]] = [[] for _ in rows]
+        for i, r in enumerate(rows):
+            if (parent := int(r[0])) >= 0:
+                self.children[parent].append(i)
+        # a node that is a leaf, or has a leaf as its only child: its shape, size and text
+        self.shape: list[str | None] = []
+        self.size = [1] * len(rows)
+        self.inner = list(self.hash)
+        for i, below in enumerate(self.children):
+            if not below:
+                self.shape.append(self.label[i])
+            elif len(below) == 1 and not self.children[below[0]]:
+                self.shape.append(f"{self.label[i]}>{self.label[below[0]]}")
+                self.size[i], self.inner[i] = 2, self.hash[below[0]]
+            else:
+                self.shape.append(None)
 
 
 @functools.lru_cache(256)
 def _outline(packed: str) -> Outline:
-    return Outline(packed)
+    return Outline([line.split("\t") for line in packed.split("\n")] if packed else [])
 
 
 def align(page: Outline, other: Outline) -> dict[int, int]:
@@ -261,13 +269,22 @@ def align(page: Outline, other: Outline) -> dict[int, int]:
             total = sum(value(x, y) for x, y in pairs)
         else:
             table = [[0.0] * (len(ys) + 1)]
+            columns = [(y, other.label[y], other.shape[y], other.inner[y]) for y in ys]
             for x in xs:
-                above, row = table[-1], [0.0]
-                for j, y in enumerate(ys):
-                    best = above[j + 1] if above[j + 1] >= row[j] else row[j]
-                    if page.label[x] == other.label[y] and (v := above[j] + value(x, y)) > best:
-                        best = v
-                    row.append(best)
+                above, row, left = table[-1], [0.0], 0.0
+                label, shape, text, size = page.label[x], page.shape[x], page.inner[x], page.size[x]
+                for j, (y, label_y, shape_y, text_y) in enumerate(columns):
+                    up = above[j + 1]
+                    if up > left:
+                        left = up
+                    if label == label_y:
+                        if shape is not None and shape == shape_y:
+                            v = above[j] + (size + 0.5 if text and text == text_y else size)
+                        else:
+                            v = above[j] + value(x, y)
+                        if v > left:
+                            left = v
+                    row.append(left)
                 table.append(row)
             total, pairs, i, j = table[-1][-1], [], len(xs), len(ys)
             while i and j:
@@ -287,6 +304,8 @@ def align(page: Outline, other: Outline) -> dict[int, int]:
         while todo:
             a, b = todo.pop()
             out[a] = b
+            if (a, b) not in back:  # a simple pair: its only children, if any
+                value(a, b)
             todo += [(x, y) for x, y in back[a, b] if page.label[x] == other.label[y]]
     return out
 
@@ -322,7 +341,7 @@ def extract(source: str | None, template: dict[str, set[int]] | None = None) ->
         stack += reversed(node.children)
     constant: set[int] = set()
     if template:
-        page = Outline(_pack(outline(source)))
+        page = Outline(outline(root))
         for packed, known in template.items():
             other = _outline(packed)
             for a, b in align(page, other).items():
@@ -393,7 +412,7 @@ def induce(
             for name, source, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if not source:
                     continue
-                page = Outline(_pack(outline(source)))
+                page = Outline(outline(source))
                 counts[name, -1, -1] += 1
                 for r, one in enumerate(packed):
                     other = _outline(one)

@@ -61,7 +61,7 @@ def test_alignment_is_a_largest_ordered_matching():
 
     for _ in range(200):
         x, y = tree(3), tree(3)
-        got = H.align(H.Outline(H._pack(rows(x))), H.Outline(H._pack(rows(y))))
+        got = H.align(H.Outline(rows(x)), H.Outline(rows(y)))
         assert len(got) == best(x, y)
         assert len(set(got.values())) == len(got)
 
