@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .chat import op9
 from .decontaminate import op10
 from .html import op4
@@ -26,4 +27,8 @@ QUERIES = {
     "op10_decontamination": op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_recompression": oracles.OP6,
+    "op9_chat_format": oracles.OP9,
+    "op10_decontamination": oracles.OP10,
+}
