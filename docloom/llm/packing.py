@@ -12,8 +12,8 @@ numbered without gaps, and the plan's rank ranges tell each its sequence and off
 from __future__ import annotations
 
 import functools
-import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ from .storage import materialise, read
 CAPACITY = 2048
 END_ID = 0
 #: Entries of a worker's cache of encoded words; a full cache is emptied
-CACHE = 300_000
+CACHE = 400_000
 
 
 def _vocabulary(name: str) -> str:
@@ -37,18 +37,57 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _plain_bytes() -> np.ndarray:
+    """Bytes that Latin text in single-blank style is made of: up to U+027F, no controls but line feeds."""
+    out = np.zeros(256, dtype=bool)
+    out[0x20:0x7F] = out[0x80:0xCA] = True
+    out[10] = True
+    return out
+
+
+_PLAIN, _BLANK = _plain_bytes(), np.isin(np.arange(256), (10, 0x20))
+
+
+def odd_texts(own: K.Text) -> np.ndarray:
+    """Texts in which the two libraries could differ, or words are not cut at single blanks.
+
+    These have characters beyond Latin, whose classes may depend on the library,
+    controls, the special blanks and the soft hyphen of U+0080 to U+00AD, two blanks
+    together, or a blank at an end.
+    """
+    data = own.data
+    bad = ~_PLAIN[data]
+    if len(data) > 1:
+        after_c2 = (data[:-1] == 0xC2) & ((data[1:] <= 0xA0) | (data[1:] == 0xAD))
+        blank = _BLANK[data]
+        bad[:-1] |= after_c2 | (blank[:-1] & blank[1:])
+    out = own.sums(bad) > 0
+    some = np.flatnonzero(own.offsets[1:] > own.offsets[:-1])
+    out[some] |= _BLANK[data[own.offsets[some]]] | _BLANK[data[own.offsets[some + 1] - 1]]
+    return out
+
+
+class _Words(dict):
+    """Encoded words; what is missing is encoded and kept."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        # a word follows a space unless it starts a line
+        out = self[word] = array("I", self.encode(word if word[0] == "\n" else " " + word)).tobytes()
+        return out
+
+
 class Encoder:
     """Ids of the byte-level BPE as little-endian unsigned 32-bit bytes.
 
     Words between single blanks are encoded once and kept.  ``tiktoken`` with the same
     vocabulary does the encoding of words, since it gives the ids of the ``tokenizers``
-    file several times faster; texts in which the two could differ go to the latter.
+    file several times faster; odd texts go to the latter.
     """
 
-    #: two blanks together, other blanks than space and line feed, blanks at the ends,
-    #: or characters beyond Latin, whose classes may differ between the libraries
-    _ODD = re.compile(r"[^\x21-\x7e\xa1-\xac\xae-ʯ \n]|[ \n]{2}|^[ \n]|[ \n]$")
-
     def __init__(self, json_path: str, ranks_path: str):
         import base64
 
@@ -59,8 +98,8 @@ class Encoder:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._words = own.encode_ordinary
-        self._cache: dict[str, bytes] = {}
+        self._plain = own.encode_ordinary
+        self._words = _Words(own._core_bpe.encode_ordinary)
 
     @functools.cached_property
     def _slow(self):
@@ -68,27 +107,15 @@ class Encoder:
 
         return Tokenizer.from_file(self.json_path)
 
-    def _encode(self, word: str) -> bytes:
-        # a word follows a space unless it starts a line
-        ids = self._words(word if word[0] == "\n" else " " + word)
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
+    def __call__(self, text: str, odd: bool) -> bytes:
         if not text:
             return b""
-        if self._ODD.search(text) or "<|endoftext|>" in text:
+        if odd or "<|endoftext|>" in text:
             return np.array(self._slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         first, *words = text.replace("\n", " \n").split(" ")
-        cache = self._cache
-        if len(cache) > CACHE:
-            cache.clear()
-        got = list(map(cache.get, words))
-        if None in got:
-            for i, value in enumerate(got):
-                if value is None:
-                    word = words[i]
-                    got[i] = cache[word] = self._encode(word)
-        return np.array(self._words(first), dtype="<u4").tobytes() + b"".join(got)
+        if len(self._words) > CACHE:
+            self._words.clear()
+        return array("I", self._plain(first)).tobytes() + b"".join(map(self._words.__getitem__, words))
 
 
 @functools.lru_cache(1)
@@ -117,8 +144,8 @@ def pieces(
     def work(_, own: K.Text) -> dict:
         encode = _encoder(json_path, ranks_path)
         raw, bounds, out = own.data.tobytes(), own.offsets.tolist(), []
-        for a, b in zip(bounds, bounds[1:]):
-            ids = encode(raw[a:b].decode()) + closing
+        for a, b, odd in zip(bounds, bounds[1:], odd_texts(own).tolist()):
+            ids = encode(raw[a:b].decode(), odd) + closing
             n = len(ids) // 4
             cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
             out.append(
