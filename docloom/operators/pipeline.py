@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,20 +143,27 @@ def _group(df, arg, scope, rest):
     key = compile_expression(c, arg[ID])
     order = F.col(ORDER) if has_order(df) else F.lit(0)
     columns = []
+    # a subquery about an outer row takes its groups by a window: grouping needs a resolved frame
+    over = Window.partitionBy(key.col) if LATERAL.get() and key.kind != "null" else None
+    token = accumulators.OVER.set(over)
     for name, spec in arg.items():
         if name == ID:
             continue
         if "." in name or name.startswith("$"):
             raise CompileError(f"'{name}' is not a plain field name")
         columns.append(accumulators.accumulate(c, spec, order).col.alias(name))
+    accumulators.OVER.reset(token)
+    if over is not None:
+        nth = F.row_number().over(over.orderBy(ORDER)).alias("_nth")
+        names = [ID, *[k for k in arg if k != ID], ORDER]
+        out = df.select(key.col.alias(ID), *columns, F.min(ORDER).over(over).alias(ORDER), nth).where("_nth = 1")
+        return out.select(*[F.col(paths.quoted(n)) for n in names])
     if has_order(df) and (_order_matters(rest) or scope.depth):
         columns.append(F.min(ORDER).alias(ORDER))
     if key.kind == "null":
         names = [k for k in arg if k != ID] + ([ORDER] if len(columns) >= len(arg) else [])
         out = df.select(F.count(F.lit(1)).alias("_n"), *columns).where("_n > 0")
         return out.select(F.lit(None).alias(ID), *[F.col(paths.quoted(n)) for n in names])
-    if LATERAL.get():
-        raise CompileError("$group by a key is not supported in a pipeline that refers to the outer document")
     grouped = df.groupBy(key.col.alias(ID))
     return grouped.agg(*columns) if columns else df.select(key.col.alias(ID)).distinct()
 

@@ -187,6 +187,7 @@ _pipeline("lookup_array_local", "region", [{"$addFields": {"keys": ["$r_regionke
 _pipeline("lookup_correlated", "customer", [{"$lookup": {"from": "orders", "let": {"k": "$c_custkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$o_custkey", "$$k"]}}}, {"$sort": {"o_totalprice": -1, "o_orderkey": 1}}, {"$limit": 2}, {"$project": {"o_orderkey": 1}}], "as": "top"}}, {"$project": {"c_custkey": 1, "top": {"$map": {"input": "$top", "in": "$$this.o_orderkey"}}}}], "select c_custkey, coalesce((select string_agg(o_orderkey::varchar, ',' order by r) from (select o_orderkey, o_custkey k, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) r from orders) where k = c_custkey and r <= 2), '') top from customer", "orders")
 _pipeline("lookup_theta", "supplier", [{"$lookup": {"from": "nation", "let": {"n": "$s_nationkey"}, "pipeline": [{"$match": {"$expr": {"$lt": ["$n_nationkey", "$$n"]}}}, {"$count": "n"}], "as": "before"}}, {"$project": {"s_suppkey": 1, "n": {"$sum": {"$map": {"input": "$before", "in": "$$this.n"}}}}}], "select s_suppkey, (select count(*) from nation where n_nationkey < s_nationkey) n from supplier", "nation")
 _pipeline("lookup_as_of", "orders", [{"$match": {"o_orderkey": {"$lt": 300}}}, {"$lookup": {"from": "orders", "let": {"c": "$o_custkey", "k": "$o_orderkey"}, "pipeline": [{"$match": {"$expr": {"$and": [{"$eq": ["$o_custkey", "$$c"]}, {"$lt": ["$o_orderkey", "$$k"]}]}}}, {"$sort": {"o_orderkey": -1}}, {"$limit": 1}], "as": "p"}}, {"$project": {"o_orderkey": 1, "before": {"$getField": {"field": "o_orderkey", "input": {"$first": "$p"}}}}}], "select o_orderkey, (select max(p.o_orderkey) from orders p where p.o_custkey = o.o_custkey and p.o_orderkey < o.o_orderkey) as before from orders o where o_orderkey < 300", "orders")
+_pipeline("lookup_group_inside", "region", [{"$lookup": {"from": "customer", "let": {"r": "$r_regionkey"}, "pipeline": [{"$match": {"$expr": {"$eq": [{"$mod": ["$c_nationkey", 5]}, "$$r"]}}}, {"$group": {"_id": "$c_mktsegment", "n": {"$sum": 1}, "keys": {"$push": "$c_custkey"}, "first": {"$min": "$c_custkey"}}}, {"$sort": {"_id": 1}}], "as": "s"}}, {"$unwind": "$s"}, {"$project": {"r_regionkey": 1, "segment": "$s._id", "n": "$s.n", "m": {"$size": "$s.keys"}, "first": "$s.first"}}], "select r_regionkey, c_mktsegment segment, count(*) n, count(*)::int m, min(c_custkey) as first from region join customer on c_nationkey % 5 = r_regionkey group by 1, 2", "customer")
 _pipeline("lookup_uncorrelated", "region", [{"$lookup": {"from": "nation", "pipeline": [{"$match": {"n_regionkey": 1}}, {"$project": {"n_nationkey": 1}}], "as": "n"}}, {"$project": {"r_regionkey": 1, "n": {"$size": "$n"}}}], "select r_regionkey, (select count(*) from nation where n_regionkey = 1)::int n from region", "nation")
 
 
