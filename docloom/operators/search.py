@@ -151,12 +151,8 @@ def _tokens(text: Column, tokenizer: str) -> Column:
 
 
 def _frequency(c: Column, leaf: Leaf) -> Column:
-    """How often a leaf occurs among the tokens."""
+    """How often a phrase occurs among the tokens."""
     n = len(leaf.tokens)
-    if n == 1:
-        (t,) = leaf.tokens
-        test = (lambda x: x.startswith(t)) if leaf.prefix else (lambda x: x == t)
-        return F.size(F.filter(c, test))
 
     def here(i):
         parts = [F.get(c, i + k) == t for k, t in enumerate(leaf.tokens[:-1])]
@@ -167,20 +163,39 @@ def _frequency(c: Column, leaf: Leaf) -> Column:
     return F.size(F.filter(F.transform(c, lambda x, i: here(i)), lambda hit: hit))
 
 
+def _hits(leaf: Leaf):
+    (t,) = leaf.tokens
+    return (lambda x: x.startswith(t)) if leaf.prefix else (lambda x: x == t)
+
+
+def _tally(words: Column, single: list[Leaf]) -> Column:
+    """Number of tokens and of each one-token leaf, in one walk over the tokens."""
+    names = ["n", *[f"f{i}" for i in range(len(single))]]
+    tests = [lambda x: F.lit(True), *map(_hits, single)]
+    start = F.struct(*[F.lit(0).alias(n) for n in names])
+    step = lambda a, x: F.struct(*[(a[n] + test(x).cast("int")).alias(n) for n, test in zip(names, tests)])
+    return F.aggregate(words, start, step)
+
+
 def search(df: DataFrame, c: Context, fields: list[str], query: str, tokenizer: str = "unicode61", *, limit: int | None = None, skip: int = 0, order: str | None = None) -> DataFrame:
     """Matching rows with ``score``, best first; ties come in the natural order."""
     tree = parse(query, fields, tokenizer)
     own = list(dict.fromkeys(leaves(tree)))
     every = list(dict.fromkeys(own + _all(tree)))
-    columns = {f"_t{i}": _tokens(text_of(paths.plain(c.root, f)), tokenizer) for i, f in enumerate(fields)}
-    base = df.withColumns(columns)
-    where = {f: f"_t{i}" for i, f in enumerate(fields)}
-    freq = {}
-    for i, leaf in enumerate(every):
-        parts = [_frequency(F.col(where[f]), leaf) for f in fields if leaf.field in (None, f)]
-        freq[leaf] = f"_f{i}"
-        base = base.withColumn(f"_f{i}", reduce(lambda a, b: a + b, parts))
-    base = base.withColumn("_len", reduce(lambda a, b: a + b, [F.size(x) for x in columns])).drop(*columns)
+    freq = {leaf: f"_f{i}" for i, leaf in enumerate(every)}
+    counts = {leaf: [] for leaf in every}
+    sizes, base = [], df
+    for i, f in enumerate(fields):
+        words = _tokens(text_of(paths.plain(c.root, f)), tokenizer)
+        mine = [leaf for leaf in every if leaf.field in (None, f)]
+        single = [leaf for leaf in mine if len(leaf.tokens) == 1]
+        base = base.withColumn(f"_c{i}", _tally(words, single))
+        sizes.append(F.col(f"_c{i}")["n"])
+        for leaf in mine:
+            counts[leaf].append(F.col(f"_c{i}")[f"f{single.index(leaf)}"] if leaf in single else _frequency(words, leaf))
+    for leaf, parts in counts.items():
+        base = base.withColumn(freq[leaf], reduce(lambda a, b: a + b, parts))
+    base = base.withColumn("_len", reduce(lambda a, b: a + b, sizes)).drop(*[f"_c{i}" for i in range(len(fields))])
 
     def holds(node) -> Column:
         if isinstance(node, Leaf):
