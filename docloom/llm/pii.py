@@ -118,14 +118,15 @@ _LABEL = "[A-Za-z0-9-]+"
 # Endings that an address written in words must have; prose has other words there.
 _ENDINGS = "com org net edu gov info biz dev app io co uk de fr es eu us ca ch nl be pt mx ar br"
 _ending = "(?:" + _ENDINGS.replace(" ", "|") + r")(?![\w-])"
-#: a whole address in words: a dot word is needed, "at" alone is ordinary prose
+#: a whole address in words or with blanks around @; "at" without a dot word is ordinary prose
 _PROSE = re.compile(
-    rf"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.|[ ](?:{_dot})[ ])[A-Za-z0-9_%+-]+)*(?P<at>[ ](?:{_at})[ ]|@){_LABEL}(?:(?:[ ](?:{_dot})[ ]|\.){_LABEL})*(?:[ ](?:{_dot})[ ]|\.){_ending}", re.I
+    rf"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.|[ ](?:{_dot})[ ])[A-Za-z0-9_%+-]+)*(?P<at>[ ](?:{_at})[ ]|[ ]@[ ]|@){_LABEL}(?:(?:[ ](?:{_dot})[ ]|\.){_LABEL})*(?:[ ](?:{_dot})[ ]|\.){_ending}", re.I
 )
 _DOT_WORD = re.compile(rf"[ ](?:{_dot})[ ]", re.I)
+_DIGIT_DOT = re.compile(rf"(?<=[0-9])[ ](?:{_dot})[ ](?=[0-9])", re.I)
 _PLUS = re.compile(r"(?<!\w)plus[ ](?=[0-9])", re.I)
 _TRIGGER_WORDS = frozenset(_DIGIT_WORDS)
-_MARK = re.compile(rf"(?:[\[({{<]\s?(?:{_at}|{_dot}|@|\.)\s?[\])}}>])|[ ](?:{_dot})[ ]", re.I)
+_MARK = re.compile(rf"(?:[\[({{<]\s?(?:{_at}|{_dot}|@|\.)\s?[\])}}>])|[ ](?:{_dot})[ ]|[ ]@[ ]", re.I)
 
 
 def _fold(c: str) -> str:
@@ -191,11 +192,12 @@ def normalise(text: str) -> Mapped | None:
     out.replace(edits)
     out.replace([(m.start(), m.end(), "+") for m in _PLUS.finditer(out.text)])
     out.replace([(m.start(), m.end(), "@" if m.group("at") else ".") for m in _BRACKETS.finditer(out.text)])
+    out.replace([(m.start(), m.end(), ".") for m in _DIGIT_DOT.finditer(out.text)])
     edits = []
     for m in _PROSE.finditer(out.text):
         dots = [(d.start(), d.end(), ".") for d in _DOT_WORD.finditer(out.text, m.start(), m.end())]
         at = [(*m.span("at"), "@")] if m.group("at") != "@" else []
-        if dots:
+        if dots or m.group("at") == " @ ":
             edits += sorted(dots + at)
     out.replace(edits)
     return out

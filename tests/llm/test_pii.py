@@ -50,6 +50,8 @@ DISGUISED = [
     ("JANE AT EXAMPLE DOT COM", "email", "JANE AT EXAMPLE DOT COM"),
     ("escribe a ana arroba ejemplo punto es hoy", "email", "ana arroba ejemplo punto es"),
     ("mail jаne@еxample.cоm now", "email", "jаne@еxample.cоm"),
+    ("mail jane.roe @ example.com now", "email", "jane.roe @ example.com"),
+    ("ip 192 dot 168 dot 0 dot 17 here", "ip", "192 dot 168 dot 0 dot 17"),
     ("mail jane@exam​ple.com now", "email", None),
     ("ip １９２．１６８．０．１ here", "ip", "１９２．１６８．０．１"),
     ("ip 10[.]0[.]0[.]7 here", "ip", "10[.]0[.]0[.]7"),
@@ -70,7 +72,7 @@ def test_disguises_map_back_to_the_source(text, kind, span):
     assert base == brute(text)
 
 
-@pytest.mark.parametrize("text", ["meet me at example.com", "one two three four", "look at this dot", "at the dot com boom", "Мама мыла раму в 10.20", "I am at home, dot and one of five", "", "½ ² 3.14", "on the one hand, two of three at four point five"])
+@pytest.mark.parametrize("text", ["meet me at example.com", "one two three four", "look at this dot", "two @ five", "10 dot 5 percent", "see @ home dot", "at the dot com boom", "Мама мыла раму в 10.20", "I am at home, dot and one of five", "", "½ ² 3.14", "on the one hand, two of three at four point five"])
 def test_clean_texts_get_nothing(text):
     assert P.spans_of(text) == ([], [])
 
