@@ -8,20 +8,35 @@ scores; texts are never shuffled.
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import CompileError
 from ..functions import Context
+from ..functions.stemming import porter
 from ..plans import paths
 from ..plans.values import Value
 
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
-TOKENIZERS = ("unicode61", "trigram")
+TOKENIZERS = ("unicode61", "unicode61 remove_diacritics 0", "trigram", "porter")
+
+
+def _diacritics() -> tuple[str, str]:
+    """Latin letters with marks, and the letters without."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250)]
+    pairs = [(a, b) for a, b in pairs if a != b and b.isascii()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_MARKED, _UNMARKED = _diacritics()
+_UNMARK = str.maketrans(_MARKED, _UNMARKED)
 _LEX = re.compile(r'\s*(?:"((?:[^"]|"")*)"|([()])|(:)|([^\s()":]+))')
 
 
@@ -42,7 +57,9 @@ def tokens(text: str, tokenizer: str = "unicode61") -> list[str]:
     if tokenizer == "trigram":
         low = text.lower()
         return [low[i : i + 3] for i in range(len(low) - 2)]
-    return re.findall(r"[^\W_]+", text.lower())
+    low = text.lower() if tokenizer.endswith("diacritics 0") else text.lower().translate(_UNMARK)
+    found = re.findall(r"[^\W_]+", low)
+    return [porter(w) for w in found] if tokenizer == "porter" else found
 
 
 def parse(query: str, fields: list[str], tokenizer: str = "unicode61"):
@@ -147,7 +164,16 @@ def _tokens(text: Column, tokenizer: str) -> Column:
     if tokenizer == "trigram":
         n = F.char_length(low) - 2
         return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-    return F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
+    plain = low if tokenizer.endswith("diacritics 0") else F.translate(low, _MARKED, _UNMARKED)
+    found = F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0))
+    return _stems(found) if tokenizer == "porter" else found
+
+
+def _stems(words: Column) -> Column:
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda own: [porter(w) for w in own])
+
+    return F.pandas_udf(run, T.ArrayType(T.StringType()))(words)
 
 
 def _frequency(c: Column, leaf: Leaf) -> Column:

@@ -347,6 +347,24 @@ def test_search(spark):
             ids(bad)
 
 
+@pytest.mark.parametrize(
+    "word,stem",
+    [("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"), ("conflated", "conflat"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"), ("relational", "relat"), ("vietnamization", "vietnam"), ("triplicate", "triplic"), ("goodness", "good"), ("revival", "reviv"), ("adoption", "adopt"), ("probate", "probat"), ("rate", "rate"), ("controll", "control"), ("roll", "roll"), ("is", "is")],
+)
+def test_stems(word, stem):
+    from docloom.functions.stemming import porter
+
+    assert porter(word) == stem
+
+
+def test_tokenizers(spark):
+    c = Database(spark)["x"]
+    c.insert_many([{"_id": 1, "t": "Running cafés"}, {"_id": 2, "t": "runs"}])
+    for i, (tokenizer, query, want) in enumerate([("porter", "run", {1, 2}), ("unicode61", "run", set()), ("unicode61", "cafes", {1}), ("unicode61 remove_diacritics 0", "cafes", set()), ("trigram", "unnin", {1}), ("trigram", "uns", {2})]):
+        c.create_search_index(f"s{i}", ["t"], tokenizer=tokenizer)
+        assert {r["_id"] for r in c.search_text(query, index=f"s{i}").collect()} == want
+
+
 def test_files(spark, tmp_path):
     db = Database(spark, str(tmp_path))
     db["t"].insert_many([{"_id": 1, "at": datetime.datetime(2020, 1, 2), "b": b"x"}])
