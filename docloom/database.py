@@ -20,8 +20,12 @@ from .sources.documents import Versions
 from .streaming.changes import ChangeLog, ChangeStream
 
 
+# Beginnings of names that are not for users.
+RESERVED = ("system.", "sqlite_")
+
+
 def check_name(name: str) -> str:
-    if not name or "\0" in name or "$" in name or name.startswith(("system.", "sqlite_")) or len(name) > 200:
+    if not name or "\0" in name or "$" in name or name.startswith(RESERVED) or len(name) > 200:
         raise DocError(f"'{name}' is not a collection name", 73)
     return name
 
