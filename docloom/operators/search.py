@@ -164,8 +164,9 @@ def _tokens(text: Column, tokenizer: str) -> Column:
     if tokenizer == "trigram":
         n = F.char_length(low) - 2
         return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-    plain = low if tokenizer.endswith("diacritics 0") else F.translate(low, _MARKED, _UNMARKED)
-    found = F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0))
+    found = F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
+    if not tokenizer.endswith("diacritics 0"):
+        found = F.transform(found, lambda w: F.when(F.octet_length(w) > F.char_length(w), F.translate(w, _MARKED, _UNMARKED)).otherwise(w))
     return _stems(found) if tokenizer == "porter" else found
 
 
@@ -210,18 +211,25 @@ def search(df: DataFrame, c: Context, fields: list[str], query: str, tokenizer:
     every = list(dict.fromkeys(own + _all(tree)))
     freq = {leaf: f"_f{i}" for i, leaf in enumerate(every)}
     counts = {leaf: [] for leaf in every}
-    sizes, base = [], df
+    parts, sizes = {}, []
     for i, f in enumerate(fields):
         words = _tokens(text_of(paths.plain(c.root, f)), tokenizer)
         mine = [leaf for leaf in every if leaf.field in (None, f)]
         single = [leaf for leaf in mine if len(leaf.tokens) == 1]
-        base = base.withColumn(f"_c{i}", _tally(words, single))
-        sizes.append(F.col(f"_c{i}")["n"])
-        for leaf in mine:
-            counts[leaf].append(F.col(f"_c{i}")[f"f{single.index(leaf)}"] if leaf in single else _frequency(words, leaf))
-    for leaf, parts in counts.items():
-        base = base.withColumn(freq[leaf], reduce(lambda a, b: a + b, parts))
-    base = base.withColumn("_len", reduce(lambda a, b: a + b, sizes)).drop(*[f"_c{i}" for i in range(len(fields))])
+        parts[f"c{i}"] = _tally(words, single)
+        sizes.append(F.col("_c")[f"c{i}"]["n"])
+        for k, leaf in enumerate(mine):
+            if leaf in single:
+                counts[leaf].append(F.col("_c")[f"c{i}"][f"f{single.index(leaf)}"])
+            else:
+                parts[f"p{i}_{k}"] = _frequency(words, leaf)
+                counts[leaf].append(F.col("_c")[f"p{i}_{k}"])
+    # exploding one struct keeps its evaluation to once a row: nothing is pushed below it or inlined
+    once = F.explode(F.array(F.struct(*[v.alias(k) for k, v in parts.items()])))
+    base = df.select("*", once.alias("_c"))
+    for leaf, own_parts in counts.items():
+        base = base.withColumn(freq[leaf], reduce(lambda a, b: a + b, own_parts))
+    base = base.withColumn("_len", reduce(lambda a, b: a + b, sizes)).drop("_c")
 
     def holds(node) -> Column:
         if isinstance(node, Leaf):
