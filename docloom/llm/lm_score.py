@@ -2,11 +2,13 @@
 
 Both models are interpolated bigram models over one vocabulary.  The background model
 counts all documents, the target model those labelled good.  The vocabulary is every
-word whose share of all words is at least ``least_share``, so it has at most
-``1 / least_share`` entries whatever the corpus is; other words fall into classes by
-their last characters.  Bigrams are counted over all documents too, and kept by the same
-kind of threshold; others get their mass from the unigram level.  Hence both models have
-a proven size, while every count is taken over the whole corpus.
+word that occurs at least ``LEAST_COUNT`` times in the corpus; other words fall into
+classes by their last characters.  Bigrams that occur as often are kept; others get
+their mass from the unigram level.  So the models grow with the corpus.
+
+A small model is sent to all executors.  A larger one stays in distributed tables:
+only its most frequent entries, whose number is bounded by their share of all words,
+are sent out, and all others are joined.  Both ways give the same scores.
 
 A document's score is the mean over its words of the target model's loss minus the
 background model's: low means alike to the target.
@@ -20,15 +22,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .storage import materialise, read
 
+LEAST_COUNT = 2
+#: Share of all words from which a word or pair of a large model is sent to all executors; rarer ones are joined
 LEAST_WORD_SHARE, LEAST_PAIR_SHARE = 5e-6, 2e-6
+#: A model with at most so many words and pairs is sent out whole
+LOCAL_WORDS, LOCAL_PAIRS = 200_000, 500_000
 CLASSES = 512
 WEIGHT, ADD = 0.7, 0.5
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
+_BEFORE = 0x5851F42D4C957F2D  # tells the key of a word before from that of the word
 _COUNT = 200_000  # distinct n-grams that a task holds before it sends their counts on
 
 
@@ -159,27 +167,20 @@ def build(vocabulary: Vocabulary, pairs: np.ndarray, pair_counts: np.ndarray, wo
     return Model(vocabulary, pairs, word, share, 1.0 - given)
 
 
-def train(
-    docs: DataFrame,
-    *,
-    text: str = "text",
-    least_word_share: float = LEAST_WORD_SHARE,
-    least_pair_share: float = LEAST_PAIR_SHARE,
-    classes: int = CLASSES,
-) -> Model:
-    """Both models from ``docs`` with ``_target``.
-
-    What reaches the driver is bounded: at most ``1 / least_word_share`` words, as many
-    counts by id, and ``1 / least_pair_share`` pairs.
-    """
+def train(docs: DataFrame, *, text: str = "text", classes: int = CLASSES, local_words: int = LOCAL_WORDS, local_pairs: int = LOCAL_PAIRS) -> Model | None:
+    """Both models from ``docs`` with ``_target``, or None if they have too many words or pairs for the driver."""
     counted = materialise(_counted(docs, text, lambda words: (words.hashes(lower=True), words.doc)))
-    total = counted.agg(F.sum("background")).first()[0] or 0
-    frequent = counted.where(F.col("background") >= F.greatest(F.lit(2), F.lit(least_word_share) * total))
+    frequent = counted.where(F.col("background") >= LEAST_COUNT)
+    if frequent.count() > local_words:
+        return None
     known = np.sort(np.array([r[0] for r in frequent.select("gram").collect()], dtype=np.int64).view(_U))
     vocabulary = Vocabulary(known, classes)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     size = vocabulary.size
     grams = materialise(_counted(docs, text, lambda words: bigrams(words, shared.value)))
+    kept = grams.where(F.col("background") >= LEAST_COUNT)
+    if kept.count() > local_pairs:
+        return None
     counts = []
     for part, n in ((F.col("gram") % size, size), (F.floor(F.col("gram") / size), size + 1)):
         by_id = grams.groupBy(part.cast("long").alias("id")).agg(F.sum("background").alias("b"), F.sum("target").alias("t"))
@@ -187,12 +188,194 @@ def train(
         table = np.zeros((2, n))
         table[0, got["id"]], table[1, got["id"]] = got["b"], got["t"]
         counts.append(table)
-    often = grams.where(F.col("background") >= F.greatest(F.lit(2), F.lit(least_pair_share) * total)).toPandas()
-    often = often.sort_values("gram")
+    often = kept.toPandas().sort_values("gram")
     pairs = often["gram"].to_numpy(dtype=np.int64).view(_U)
     return build(vocabulary, pairs, often[["background", "target"]].to_numpy(dtype=np.float64).T, *counts)
 
 
+# --- models in tables -----------------------------------------------------------------
+
+
+def _named(words: K.Words, rare: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of words and of what stands before each, and the key of each pair.
+
+    A known word's id is its hash, a word among the sorted ``rare`` has its class, and
+    the id before a text is ``classes``.
+    """
+    ids = words.hashes(lower=True)
+    if len(rare):
+        at = np.minimum(np.searchsorted(rare, ids), len(rare) - 1)
+        other = rare[at] == ids
+        ids[other] = _endings(words, classes)[other]
+    before = np.full(len(ids), classes, dtype=_U)
+    if len(ids) > 1:
+        before[1:] = np.where(words.doc[1:] == words.doc[:-1], ids[:-1], _U(classes))
+    return ids, before, K.mix(before * _U(0x9E3779B97F4A7C15) + ids)
+
+
+def _rare_of(part: pa.RecordBatch) -> np.ndarray:
+    """Hashes of all words that the slice's ``_rare`` calls unknown; each is so in the whole corpus."""
+    said = part.column("_rare").flatten().to_numpy(zero_copy_only=False)
+    return np.unique(said.astype(np.int64).view(_U))
+
+
+def _word_table(docs: DataFrame, text: str, classes: int) -> DataFrame:
+    """(gram, background, target, class, own, last_background, last_target) of each word.
+
+    ``own``: hash of a text with the word, the only one if the word occurs once; the
+    last two count where a word ends a text.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part, own in K.slices(batch, text):
+                words = K.Words(own)
+                gram, first, place = np.unique(words.hashes(lower=True), return_index=True, return_inverse=True)
+                target = np.asarray(part.column("_target").to_numpy(zero_copy_only=False), dtype=np.float64)[words.doc]
+                last = np.ones(len(words))
+                last[:-1] = words.doc[1:] != words.doc[:-1]
+                sums = [np.bincount(place, weights=w, minlength=len(gram)).astype(np.int64) for w in (np.ones(len(words)), target, last, last * target)]
+                key = np.asarray(part.column("_key").to_numpy(zero_copy_only=False))[words.doc[first]]
+                arrays = [gram.view(np.int64), *sums[:2], _endings(words, classes)[first].astype(np.int64), key, *sums[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
+
+    names = ["gram", "background", "target", "class", "own", "last_background", "last_target"]
+    rows = docs.select(text, "_target", F.xxhash64(text).alias("_key")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    added = [F.sum(n).alias(n) for n in ("background", "target", "last_background", "last_target")]
+    return rows.groupBy("gram").agg(*added, F.min("class").alias("class"), F.min("own").alias("own"))
+
+
+def _pair_table(docs: DataFrame, text: str, classes: int) -> DataFrame:
+    """(gram, a, b, background, target) of each pair of ids that occurs often enough."""
+
+    def run(batches):
+        for batch in batches:
+            for part, own in K.slices(batch, text):
+                words = K.Words(own)
+                ids, before, pair = _named(words, _rare_of(part), classes)
+                gram, first, place = np.unique(pair, return_index=True, return_inverse=True)
+                target = np.asarray(part.column("_target").to_numpy(zero_copy_only=False), dtype=np.float64)[words.doc]
+                sums = [np.bincount(place, weights=w, minlength=len(gram)).astype(np.int64) for w in (np.ones(len(words)), target)]
+                arrays = [gram.view(np.int64), before[first].view(np.int64), ids[first].view(np.int64), *sums]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["gram", "a", "b", "background", "target"])
+
+    rows = docs.select(text, "_target", "_rare").mapInArrow(run, "gram long, a long, b long, background long, target long")
+    every = rows.groupBy("gram").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.sum("background").alias("background"), F.sum("target").alias("target"))
+    return every.where(F.col("background") >= LEAST_COUNT)
+
+
+def _looked_up(rows: DataFrame, key: str, table: DataFrame, head) -> DataFrame:
+    """``rows`` with the columns of ``table`` at id ``key``; those where ``head`` holds are sent out.
+
+    A row with a frequent key goes anywhere in the join with the others, so that no key gathers many rows.
+    """
+    more = [c for c in table.columns if c != "id"]
+    few = F.broadcast(table.where(head).select(F.col("id").alias(key), *(F.col(c).alias(f"_head_{c}") for c in more)))
+    rows = rows.join(few, key, "left")
+    rows = rows.withColumn("_deal", F.when(F.col(f"_head_{more[0]}").isNotNull(), F.xxhash64("gram")).otherwise(F.col(key)))
+    rest = table.where(~head).select(F.col("id").alias("_deal"), *(F.col(c).alias(f"_rest_{c}") for c in more))
+    rows = rows.join(rest, "_deal", "left")
+    found = [F.coalesce(f"_head_{c}", f"_rest_{c}").alias(f"{c}_{key}") for c in more]
+    return rows.select(*[c for c in rows.columns if c != "_deal" and not c.startswith(("_head_", "_rest_"))], *found)
+
+
+def _collected(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their [2, keys] values."""
+    got = table.toPandas()
+    keys = got["key"].to_numpy(dtype=np.int64).view(_U)
+    order = np.argsort(keys)
+    return keys[order], got[["vb", "vt"]].to_numpy(dtype=np.float64).T[:, order]
+
+
+def score_by_tables(
+    docs: DataFrame,
+    keep: list[str],
+    *,
+    text: str = "text",
+    classes: int = CLASSES,
+    least_word_share: float = LEAST_WORD_SHARE,
+    least_pair_share: float = LEAST_PAIR_SHARE,
+) -> DataFrame:
+    """As ``score`` with the model of ``docs``, whatever its size.
+
+    A word's loss is the sum of three values: one of the word before, one of the word,
+    and one of the pair, which is 0 unless the pair is kept.  A text's frequent keys
+    are summed where it is read; the others are joined with the values.
+    """
+    keep = [c for c in keep if c not in ("n_words", "target_loss", "background_loss", "score")]
+    words = materialise(_word_table(docs, text, classes))
+    known = F.col("background") >= LEAST_COUNT
+    total, total_target, size = words.agg(F.sum("background"), F.sum("target"), F.count_if(known)).first()
+    total, total_target, size = total or 0, total_target or 0, size + classes
+    rare = words.where(~known).groupBy(F.col("own").alias("_own")).agg(F.collect_list("gram").alias("_rare"))
+    own = docs.join(rare, F.xxhash64(text) == F.col("_own"), "left").drop("_own")
+    own = own.withColumn("_rare", F.coalesce("_rare", F.array().cast("array<long>")))
+    pairs = materialise(_pair_table(own, text, classes))
+
+    # counts of each id, and what kept pairs after it leave to the unigram level
+    sums = [F.sum(n).alias(n) for n in ("background", "target", "last_background", "last_target")]
+    ids = words.groupBy(F.when(known, F.col("gram")).otherwise(F.col("class")).alias("id")).agg(*sums)
+    starts = docs.where(F.regexp_like(F.col(text), F.lit("[^ \\t-\\r]")))
+    start = starts.agg(F.count("*").alias("background"), F.coalesce(F.sum(F.col("_target").cast("long")), F.lit(0)).alias("target"))
+    start = start.select(F.lit(classes).cast("long").alias("id"), "background", "target", F.lit(0).cast("long").alias("last_background"), F.lit(0).cast("long").alias("last_target"))
+    kept = pairs.groupBy(F.col("a").alias("id")).agg(F.sum("background").alias("kb"), F.sum("target").alias("kt"))
+    table = ids.unionByName(start).join(kept, "id", "left")
+    loss = lambda x: -F.log2(x)
+    columns = []
+    for m, n, every in (("b", "background", total), ("t", "target", total_target)):
+        first = F.greatest(F.col(n) - F.col(f"last_{n}"), F.lit(1))
+        columns += [first.alias(f"first_{m}"), loss(1 - WEIGHT * F.coalesce(f"k{m}", F.lit(0)) / first).alias(f"rest_{m}")]
+        columns += [loss((F.col(n) + ADD) / (every + ADD * size)).alias(f"word_{m}")]
+    often = F.greatest(F.lit(LEAST_COUNT), F.lit(least_word_share) * total)
+    table = materialise(table.select("id", *columns, ((F.col("background") >= often) | F.col("id").between(0, classes)).alias("often")))
+    head = F.col("often")
+    full = _looked_up(_looked_up(pairs, "a", table.select("id", "first_b", "first_t", "rest_b", "rest_t", "often"), head), "b", table.select("id", "word_b", "word_t", "often"), head)
+    values = []
+    for m, n in (("b", "background"), ("t", "target")):
+        least = F.col(f"rest_{m}_a") + F.col(f"word_{m}_b")
+        p = F.pow(F.lit(2.0), -least) + WEIGHT * F.col(n) / F.col(f"first_{m}_a")
+        values.append((loss(p) - least).alias(f"v{m}"))
+    often_pair = F.col("background") >= F.greatest(F.lit(LEAST_COUNT), F.lit(least_pair_share) * total)
+    pair_values = materialise(full.select(F.col("gram").alias("key"), *values, often_pair.alias("often")))
+    # an id has one key as a word before and another one as a word
+    before = table.select(F.col("id").bitwiseXOR(F.lit(_BEFORE)).alias("key"), F.col("rest_b").alias("vb"), F.col("rest_t").alias("vt"), "often")
+    after = table.where(F.col("id") != classes).select(F.col("id").alias("key"), F.col("word_b").alias("vb"), F.col("word_t").alias("vt"), "often")
+    every = pair_values.unionByName(before).unionByName(after)
+    shared = docs.sparkSession.sparkContext.broadcast([_collected(x.where(head)) for x in (before, after, pair_values)])
+
+    def run(batches):
+        for batch in batches:
+            for part, said in K.slices(batch, text):
+                found = K.Words(said)
+                word, first, pair = _named(found, _rare_of(part), classes)
+                sums, open_keys, open_docs = np.zeros((2, said.n)), [], []
+                for keys, (there, value) in zip((first ^ _U(_BEFORE), word, pair), shared.value):
+                    at = np.minimum(np.searchsorted(there, keys), max(len(there) - 1, 0))
+                    here = there[at] == keys if len(there) else np.zeros(len(keys), dtype=bool)
+                    for m in (0, 1):
+                        if len(there):
+                            sums[m] += np.bincount(found.doc[here], weights=value[m][at[here]], minlength=said.n)
+                    open_keys.append(keys[~here])
+                    open_docs.append(found.doc[~here])
+                key, doc = np.concatenate(open_keys), np.concatenate(open_docs)
+                order = np.argsort(doc, kind="stable")
+                bounds = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=said.n)))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(key[order].view(np.int64)))
+                arrays = [part.column(c) for c in keep] + [pa.array(found.count.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), lists]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_words", "_sb", "_st", "_open"])
+
+    source = own.select(*keep, *([text] if text not in keep else []), "_rare")
+    fields = T._parse_datatype_string("n_words long, _sb double, _st double, _open array<long>").fields
+    read_once = source.mapInArrow(run, T.StructType([*(source.schema[c] for c in keep), *fields]))
+    read_once = materialise(read_once.withColumn("_row", F.monotonically_increasing_id()))
+    asked = read_once.select("_row", F.explode("_open").alias("key")).join(every.where(~head), "key")
+    rest = asked.groupBy("_row").agg(F.sum("vb").alias("_rb"), F.sum("vt").alias("_rt"))
+    out = read_once.join(rest, "_row", "left")
+    mean = lambda a, b: F.when(F.col("n_words") > 0, (F.col(a) + F.coalesce(b, F.lit(0.0))) / F.col("n_words"))
+    out = out.select(*keep, "n_words", mean("_st", "_rt").alias("target_loss"), mean("_sb", "_rb").alias("background_loss"))
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
 def score(docs: DataFrame, model: Model, keep: list[str], *, text: str = "text") -> DataFrame:
     """``keep`` columns, n_words, target_loss, background_loss (bits a word) and score.
 
@@ -223,6 +406,9 @@ def cross_entropy_difference(
     label_id: str = "doc_id",
     quality: str = "quality",
     broadcast_rows: int = BROADCAST_ROWS,
+    classes: int = CLASSES,
+    local_words: int = LOCAL_WORDS,
+    local_pairs: int = LOCAL_PAIRS,
     **options,
 ) -> DataFrame:
     """Scores of all ``docs``; the target is what ``labels`` call good.
@@ -233,7 +419,10 @@ def cross_entropy_difference(
     result are replaced.
     """
     known = flagged(docs, labels, row_id=row_id, label_id=label_id, quality=quality, broadcast_rows=broadcast_rows)
-    return score(docs, train(known, text=text, **options), keep, text=text)
+    model = train(known, text=text, classes=classes, local_words=local_words, local_pairs=local_pairs)
+    if model is not None:
+        return score(docs, model, keep, text=text)
+    return score_by_tables(known, keep, text=text, classes=classes, **options)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -121,3 +121,27 @@ def test_empty_tables(spark):
     assert L.cross_entropy_difference(docs, labels, ["doc_id"]).count() == 0
     some = spark.createDataFrame([(1, "a b a b")], "doc_id long, text string")
     assert L.cross_entropy_difference(some, labels, ["doc_id"]).first().n_words == 4
+
+
+@pytest.mark.parametrize("shares", [{}, {"least_word_share": 0.02, "least_pair_share": 0.01}, {"least_word_share": 2.0, "least_pair_share": 2.0}])
+@pytest.mark.parametrize("local_words", [L.LOCAL_WORDS, 0])
+def test_rare_words_and_pairs_count_whatever_the_size(spark, local_words, shares):
+    docs, labels = corpus(random.Random(4))
+    docs += [(600, "twice here twice here"), (601, "Only once, never twice alpha"), (602, None), (602, "alpha alpha"), (None, " "), (603, "the " * 5000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    said = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    options = shares if local_words == 0 else {}
+    got = {(r.doc_id, r.n_words): r for r in L.cross_entropy_difference(frame, said, ["doc_id"], local_words=local_words, **options).collect()}
+    assert len(got) == len(docs)
+    want = brute([d for d in docs if d[0] not in (None, 602)] + [(602, "alpha alpha")], labels)
+    for k, (n, target, background) in want.items():
+        row = got[k, n]
+        assert (row.target_loss, row.background_loss) == (pytest.approx(target), pytest.approx(background))
+    assert got[602, 0].score is None and got[None, 0].score is None
+
+
+def test_words_are_kept_by_count_not_by_share(spark):
+    docs = [(1, "pair made pair made"), *((i, "the " * 20_000) for i in range(2, 40))]
+    frame = spark.createDataFrame([(*d, d[0] == 1) for d in docs], "doc_id long, text string, _target boolean")
+    model = L.train(frame)
+    assert len(model.vocabulary.known) == 3 and len(model.pairs) == 3
