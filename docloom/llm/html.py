@@ -19,6 +19,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from .storage import materialise, read
 REFERENCES = 2
 #: A slot is template if at least this many pages, and this share of the host's, repeat it
 LEAST_PAGES, SHARE = 4, 0.6
-#: Cells of an alignment table; longer lists of children are aligned by a linear scan
+#: Cells of an alignment table; longer lists of children are aligned by halves, with the same result
 CELLS = 40_000
 BROADCAST_BYTES = 8 << 20
 
@@ -241,6 +242,26 @@ class Outline:
                 self.size[i], self.inner[i] = 2, self.hash[below[0]]
             else:
                 self.shape.append(None)
+        self._forms: list[int] | None = None
+
+    @property
+    def forms(self) -> list[int]:
+        """Of each node, a hash of the labels of its subtree."""
+        if self._forms is None:
+            self._forms = [0] * len(self.label)
+            for i in reversed(range(len(self.label))):  # children follow their parent
+                self._forms[i] = hash((self.label[i], *(self._forms[c] for c in self.children[i])))
+        return self._forms
+
+    def texts(self, top: int) -> set[int]:
+        """Hashes of the texts below a node."""
+        out, todo = set(), [top]
+        while todo:
+            i = todo.pop()
+            if self.hash[i]:
+                out.add(self.hash[i])
+            todo += self.children[i]
+        return out
 
 
 @functools.lru_cache(256)
@@ -265,7 +286,7 @@ def align(page: Outline, other: Outline) -> dict[int, int]:
         xs, ys = page.children[a], other.children[b]
         own = 1.0 + (0.5 if page.hash[a] and page.hash[a] == other.hash[b] else 0.0)
         if len(xs) * len(ys) > CELLS:
-            pairs = _linear(page, other, xs, ys)
+            pairs = _halved(page, other, xs, ys, value)
             total = sum(value(x, y) for x, y in pairs)
         else:
             table = [[0.0] * (len(ys) + 1)]
@@ -310,23 +331,71 @@ def align(page: Outline, other: Outline) -> dict[int, int]:
     return out
 
 
-def _linear(page: Outline, other: Outline, xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
-    """Common ends first, then equal labels in order: for very long lists of children."""
-    same = lambda x, y: page.label[x] == other.label[y]
-    head = 0
-    while head < min(len(xs), len(ys)) and same(xs[head], ys[head]):
-        head += 1
-    tail = 0
-    while tail < min(len(xs), len(ys)) - head and same(xs[-1 - tail], ys[-1 - tail]):
-        tail += 1
-    pairs = list(zip(xs[:head], ys[:head]))
-    j = head
-    for x in xs[head : len(xs) - tail]:
-        k = next((k for k in range(j, min(j + 64, len(ys) - tail)) if same(x, ys[k])), None)
-        if k is not None:
-            pairs.append((x, ys[k]))
-            j = k + 1
-    return pairs + (list(zip(xs[-tail:], ys[-tail:])) if tail else [])
+def _halved(page: Outline, other: Outline, xs: list[int], ys: list[int], value) -> list[tuple[int, int]]:
+    """The largest ordered matching of two long lists, in memory that grows with their length.
+
+    The value of a pair without a common text depends on both forms only, so it is
+    computed once; a row of the table is then a running maximum.  The first list is
+    halved, and the second where the best values of both halves add up to the most.
+    """
+    kinds = {f: k for k, f in enumerate(dict.fromkeys(other.forms[y] for y in ys))}
+    kind = np.array([kinds[other.forms[y]] for y in ys])
+    common: dict[int, list[int]] = {}
+    for j, y in enumerate(ys):
+        for h in other.texts(y):
+            common.setdefault(h, []).append(j)
+    members = [np.flatnonzero(kind == k) for k in range(len(kinds))]
+    sharing = [np.array(sorted({j for h in page.texts(x) for j in common.get(h, ())}), dtype=np.int64) for x in xs]
+    plain: dict[tuple[int, int], float] = {}
+
+    def values(i: int) -> np.ndarray:
+        x, mine = xs[i], sharing[i]
+        apart = np.ones(len(ys), dtype=bool)
+        apart[mine] = False
+        of_kind = np.zeros(len(kinds))
+        for k, places in enumerate(members):
+            if (page.forms[x], k) not in plain:
+                free = places[apart[places]]
+                if not len(free):
+                    continue
+                plain[page.forms[x], k] = value(x, ys[free[0]])
+            of_kind[k] = plain[page.forms[x], k]
+        out = of_kind[kind]
+        known: dict[tuple[int, int], float] = {}
+        for j in mine.tolist():
+            y = ys[j]
+            if other.shape[y] is not None:
+                key = (kind[j], other.inner[y])
+                if key not in known:
+                    known[key] = value(x, y)
+                out[j] = known[key]
+            else:
+                out[j] = value(x, y)
+        return out
+
+    def best(rows, lo: int, hi: int, back: bool) -> np.ndarray:
+        """Most that ``rows`` reach with each number of places from ``lo``, or back from ``hi``."""
+        row = np.zeros(hi - lo + 1)
+        for i in rows:
+            v = values(i)[lo:hi]
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (v[::-1] if back else v)))
+        return row
+
+    out, todo = [], [(0, len(xs), 0, len(ys))]
+    while todo:
+        a, b, lo, hi = todo.pop()
+        if a == b or lo == hi:
+            continue
+        if b - a == 1:
+            v = values(a)[lo:hi]
+            if v.max() > 0:
+                out.append((xs[a], ys[lo + int(v.argmax())]))
+            continue
+        mid = (a + b) // 2
+        total = best(range(a, mid), lo, hi, False) + best(range(b - 1, mid - 1, -1), lo, hi, True)[::-1]
+        cut = lo + int(total.argmax())
+        todo += [(mid, b, cut, hi), (a, mid, lo, cut)]
+    return out
 
 
 def extract(source: str | None, template: dict[str, set[int]] | None = None) -> str:

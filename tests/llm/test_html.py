@@ -106,3 +106,25 @@ def test_query(spark, tmp_path):
     assert got == sorted((i, "http://a.b/c", f"é {i}", len(f"é {i}")) for i in range(12))
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert H.main_text(empty, ["page_id"]).count() == 0
+
+
+def test_long_lists_are_aligned_like_short_ones(monkeypatch):
+    def outline(n, mark):
+        body = "".join(f"<p>{mark} {i}</p>" for i in range(n))
+        return H.Outline(H.outline(f"<div>{body}<p>the constant end</p></div>"))
+
+    page, other = outline(300, "one"), outline(250, "two")
+    last, end = len(page.label) - 1, len(other.label) - 1
+    assert H.align(page, other)[last] == end
+
+    def worth(a, b, pairs):
+        return sum(1 + 0.5 * (a.hash[i] != 0 and a.hash[i] == b.hash[j]) for i, j in pairs.items())
+
+    rnd = random.Random(5)
+    made = lambda: "".join(rnd.choice(["<p>%d</p>", "<ul><li>%d<li>x</ul>", "<div>%d</div>", "<p><div>a</div>%d</p>"]) % rnd.randrange(6) for _ in range(rnd.randrange(1, 30)))
+    for _ in range(60):
+        a, b = (H.Outline(H.outline(f"<div>{made()}</div>")) for _ in range(2))
+        monkeypatch.setattr(H, "CELLS", 40_000)
+        short = worth(a, b, H.align(a, b))
+        monkeypatch.setattr(H, "CELLS", 4)
+        assert worth(a, b, H.align(a, b)) == short
