@@ -5,7 +5,8 @@ a chain of transducers: homoglyphs and other scripts' digits become ASCII, invis
 characters go, spelled digits become digits, and at/dot disguises become ``@`` and
 ``.``.  Each output character carries the source range that it was made from, so an
 identifier found in the output maps back to source characters.  Only spans that the
-chain has changed, and that touch no plain span, are added.
+chain has changed, and that are not plain spans of the same kind, are added; they may
+overlap plain ones.
 """
 
 from __future__ import annotations
@@ -211,7 +212,7 @@ def find_disguised(text: str, plain: dict[str, list[tuple[int, int]]]) -> list[t
     mapped = normalise(text)
     if mapped is None:
         return []
-    taken = sorted(s for spans in plain.values() for s in spans)
+    taken = {(kind, *s) for kind, spans in plain.items() for s in spans}
     out = []
     for kind, spans in find(mapped.text).items():
         for a, b in spans:
@@ -219,9 +220,9 @@ def find_disguised(text: str, plain: dict[str, list[tuple[int, int]]]) -> list[t
                 continue
             if kind == "email" and not _TOP.search(mapped.text[a:b]):
                 continue
-            start, end = mapped.source(a, b)
-            if not any(s < end and start < e for s, e in taken):
-                out.append((kind, start, end))
+            span = (kind, *mapped.source(a, b))
+            if span not in taken:
+                out.append(span)
     return out
 
 

@@ -97,3 +97,23 @@ def test_query(spark, tmp_path):
         assert len(r.spans.split(",")) == len(base) + r.n_added or not r.spans
     hidden = P.detect(spark.createDataFrame(rows[:3], "doc_id long, text string, n_ip long"), ["doc_id"], redact=True).collect()
     assert [r.redacted for r in hidden] == [None, "", "mail [EMAIL] now"]
+
+
+@pytest.mark.parametrize(
+    "text,kind,span,left",
+    [
+        ("write to jоhn@example.com now", "email", (9, 25), "write to [EMAIL] now"),
+        ("write to john@example.cоm now", "email", (9, 25), "write to [EMAIL] now"),
+        ("call +49 30 1234567８９ now", "phone", (5, 21), "call [PHONE] now"),
+    ],
+)
+def test_disguised_identifiers_may_contain_plain_ones(text, kind, span, left):
+    base, added = P.spans_of(text)
+    assert base == sorted(((k, *s) for k, spans in P.find(text).items() for s in spans), key=lambda s: s[1])
+    assert added == [(kind, *span)]
+    assert P.redacted(text, base + added) == left
+
+
+def test_a_plain_identifier_is_not_added_again():
+    text = "a\u200b john@example.com\u200b, jоe"
+    assert P.spans_of(text) == ([("email", 3, 19)], [])
