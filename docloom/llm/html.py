@@ -1,13 +1,13 @@
 """Main text of HTML pages by wrapper induction.
 
-A page becomes a tree of its block elements.  A few pages of each host serve as
-references; every page of the host is aligned with them by simple tree matching (the
-largest order-preserving match of children, level by level).  Reference nodes whose
-text most pages repeat at the aligned place are template; the other slots vary and are
-content.  Menus, forms, notices and the like are left out by element and class name,
+A page becomes a tree of its block elements.  A few pages of each host, and of each of
+its layouts, serve as references; every page is aligned with those of its host and of
+its layout by simple tree matching (the largest order-preserving match of children,
+level by level).  Reference nodes whose text most pages of the host, or of the layout,
+repeat at the aligned place are template; the other slots vary and are content.  Menus, forms, notices and the like are left out by element and class name,
 which also serves hosts with too few pages to align.
 
-A page meets only its host's references, so a host with a third of all pages is as
+A page meets only the references of its host and layout, so a host with a third of all pages is as
 parallel as any other; counts are summed before they are shuffled.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .storage import materialise, read
 
 REFERENCES = 2
-#: A slot is template if at least this many pages, and this share of the host's, repeat it
+#: A slot is template if at least this many pages, and this share of the host's or of the layout's, repeat it
 LEAST_PAGES, SHARE = 4, 0.6
 #: Cells of an alignment table; longer lists of children are aligned by halves, with the same result
 CELLS = 40_000
@@ -60,6 +60,8 @@ _DROPPED_NAMES = frozenset(
 )
 _ARTICLE_NAMES = frozenset("article main articlebody".split())
 _NAME = re.compile(r"[a-z]+")
+#: an opening tag of a block element up to its class, in lower case
+_OPENED = "<(?:" + "|".join(sorted(_BLOCK, key=lambda x: (-len(x), x))) + r""")(?=[\s/>])(?:[^>]{0,200}?\bclass\s*=\s*(?:"[^">]*"|'[^'>]*'|[^\s"'>]+))?"""
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTRIBUTE = re.compile(r"""(?:^|\s|/)(class|id|role|hidden|style|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
@@ -448,46 +450,81 @@ def host(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def references(pages: DataFrame, *, url: str = "url", html: str = "html", count: int = REFERENCES) -> DataFrame:
-    """(host, refs): outlines of up to ``count`` pages of each host.
+def layout(html: str = "html"):
+    """Hash of the distinct block elements, with their classes but without digits; pages made alike share it."""
+    opened = F.regexp_extract_all(F.lower(F.col(html)), F.lit(_OPENED), F.lit(0))
+    bare = F.transform(opened, lambda x: F.regexp_replace(x, r"[0-9]+|\s+$", ""))
+    return F.xxhash64(F.array_sort(F.array_distinct(F.coalesce(bare, F.array().cast("array<string>")))))
 
-    Pages fall into ``count`` parts by their hash; the smallest hash of a part is taken.  Copies of a page count once.  Hosts without a name have no references.
+
+def _groups(pages: DataFrame, url: str, html: str, *more) -> DataFrame:
+    return pages.select(host(url).alias("host"), layout(html).alias("layout"), F.col(html).alias("html"), *more)
+
+
+def references(pages: DataFrame, *, url: str = "url", html: str = "html", count: int = REFERENCES, least: int = LEAST_PAGES) -> DataFrame:
+    """(host, layout, refs): outlines of up to ``count`` pages of each host, where the layout is null, and of each layout.
+
+    Layouts that all pages of the host have, or fewer than ``least`` pages, have no
+    references of their own.  Pages fall into ``count`` parts by their hash; the smallest hash of a part is taken,
+    and the largest ones where parts are empty.  Copies of a page count once.  Hosts without a name have no references.
     """
-    keyed = pages.select(host(url).alias("host"), F.xxhash64(html).alias("h"), F.col(html).alias("html"))
+    keyed = _groups(pages, url, html, F.xxhash64(html).alias("h"))
     named = keyed.where("host <> '' and html is not null and html <> ''")
-    # one page for each remainder of the hash, by partial aggregation: no page is shuffled
+    # the ends of each remainder of the hash, by partial aggregation: no page is shuffled
     # but a task's best ones
-    best = named.groupBy("host", F.pmod("h", F.lit(count)).alias("part")).agg(F.min(F.struct("h", "html")).alias("best"))
-    chosen = best.select("host", F.col("best.html").alias("html"))
+    part = F.pmod("h", F.lit(count)).alias("part")
+    ends = named.groupBy("host", "layout", part).agg(F.min(F.struct("h", "html")).alias("lo"), F.max(F.struct("h", "html")).alias("hi"), F.count("*").alias("n"))
+    ends = materialise(ends)
+    sizes = ends.groupBy("host", "layout").agg(F.sum("n").alias("n"))
+    whole = sizes.groupBy("host").agg(F.sum("n").alias("every"))
+    own = sizes.join(whole, "host").where((F.col("n") >= least) & (F.col("n") < F.col("every"))).select("host", "layout")
+    of_host = ends.groupBy("host", F.lit(None).cast("long").alias("layout"), "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    best = of_host.unionByName(ends.join(own, ["host", "layout"]).select("host", "layout", "part", "lo", "hi"))
+    # the smallest of each part first, then the largest
+    both = F.concat(F.collect_set(F.struct(F.lit(0).alias("end"), "lo.h", "lo.html")), F.collect_set(F.struct(F.lit(1).alias("end"), "hi.h", "hi.html")))
+    listed = best.groupBy("host", "layout").agg(F.array_sort(both).alias("all"))
+    chosen = listed.select("host", "layout", F.explode(F.slice(F.array_distinct("all.html"), 1, count)).alias("html"))
 
     def run(batches):
         for batch in batches:
-            packed = [_pack(outline(x)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, type=pa.string())], names=["host", "ref"])
+            packed = [_pack(outline(x)) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, type=pa.string())], names=["host", "layout", "ref"])
 
-    outlines = chosen.mapInArrow(run, "host string, ref string")
-    return outlines.groupBy("host").agg(F.array_sort(F.collect_set("ref")).alias("refs"))
+    outlines = chosen.mapInArrow(run, "host string, layout long, ref string")
+    return outlines.groupBy("host", "layout").agg(F.array_sort(F.collect_set("ref")).alias("refs"))
 
 
-def induce(
-    pages: DataFrame, refs: DataFrame, *, url: str = "url", html: str = "html", least: int = LEAST_PAGES, share: float = SHARE
-) -> DataFrame:
-    """(host, wrapper): each reference with its template nodes, from all pages of the host."""
-    joined = pages.select(host(url).alias("host"), F.col(html).alias("html")).join(refs, "host")
+def _joined(pages: DataFrame, table: DataFrame, column: str, hint) -> DataFrame:
+    """``pages`` with ``column`` of their host and, as ``own_`` and its name, of their layout; empty without one."""
+    wide = table.where("layout is null").select(F.col("host").alias("_h"), F.col(column))
+    narrow = table.where("layout is not null").select(F.col("host").alias("_h2"), F.col("layout").alias("_l2"), F.col(column).alias(f"own_{column}"))
+    pages = pages.join(hint(wide, F.struct("_h", column)), F.col("host") == F.col("_h"), "left")
+    pages = pages.join(hint(narrow, F.struct("_h2", f"own_{column}")), (F.col("host") == F.col("_h2")) & (F.col("layout") == F.col("_l2")), "left")
+    return pages.drop("_h", "_h2", "_l2")
+
+
+def induce(pages: DataFrame, refs: DataFrame, hint, *, url: str = "url", html: str = "html", least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+    """(host, layout, wrapper): each reference with its template nodes, from all pages of the host or layout."""
+    joined = _joined(_groups(pages, url, html), refs, "refs", hint).where("refs is not null")
 
     def run(batches):
         counts: Counter = Counter()
         for batch in batches:
-            for name, source, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, made, source, packed, own in zip(*(c.to_pylist() for c in batch.columns)):
                 if not source:
                     continue
                 page = Outline(outline(source))
-                counts[name, -1, -1] += 1
-                for r, one in enumerate(packed):
-                    other = _outline(one)
-                    for a, b in align(page, other).items():
-                        if page.hash[a] and page.hash[a] == other.hash[b]:
-                            counts[name, r, b] += 1
+                same: dict[str, list[int]] = {}
+                for group, some in (((name, None), packed), ((name, made), own)):
+                    if not some:
+                        continue
+                    counts[*group, -1, -1] += 1
+                    for r, one in enumerate(some):
+                        if one not in same:
+                            other = _outline(one)
+                            same[one] = [b for a, b in align(page, other).items() if page.hash[a] and page.hash[a] == other.hash[b]]
+                        for b in same[one]:
+                            counts[*group, r, b] += 1
                 if len(counts) > 50_000:
                     yield told(counts)
                     counts = Counter()
@@ -496,16 +533,20 @@ def induce(
 
     def told(counts):
         columns = list(zip(*((*k, v) for k, v in counts.items())))
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["host", "r", "node", "n"])
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["host", "layout", "r", "node", "n"])
 
-    found = joined.mapInArrow(run, "host string, r int, node int, n long").groupBy("host", "r", "node").agg(F.sum("n").alias("n"))
+    joined = joined.select("host", "layout", "html", "refs", "own_refs")
+    found = joined.mapInArrow(run, "host string, layout long, r int, node int, n long").groupBy("host", "layout", "r", "node").agg(F.sum("n").alias("n"))
     found = materialise(found)
-    total = found.where("r < 0").select("host", F.col("n").alias("pages"))
-    common = found.where("r >= 0").join(total, "host").where((F.col("n") >= least) & (F.col("n") >= share * F.col("pages")))
-    nodes = common.groupBy("host", "r").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
-    one = refs.select("host", F.posexplode("refs").alias("r", "ref")).join(nodes, ["host", "r"])
-    return one.groupBy("host").agg(F.collect_list(F.struct("ref", "nodes")).alias("wrapper"))
+    total = found.where("r < 0").select(F.col("host").alias("_h"), F.col("layout").alias("_l"), F.col("n").alias("pages"))
+    counted = found.where("r >= 0").join(total, (F.col("host") == F.col("_h")) & F.col("layout").eqNullSafe(F.col("_l")))
+    common = counted.where((F.col("n") >= least) & (F.col("n") >= share * F.col("pages")))
+    nodes = common.groupBy("host", "layout", "r").agg(F.array_sort(F.collect_list("node")).alias("nodes")).alias("nodes")
+    one = refs.select("host", "layout", F.posexplode("refs").alias("r", "ref")).alias("one")
+    same = (F.col("one.host") == F.col("nodes.host")) & F.col("one.layout").eqNullSafe(F.col("nodes.layout")) & (F.col("one.r") == F.col("nodes.r"))
+    both = one.join(nodes, same).select("one.host", "one.layout", "ref", "nodes.nodes")
+    return both.groupBy("host", "layout").agg(F.collect_list(F.struct("ref", "nodes")).alias("wrapper"))
 
 
 def _small(df: DataFrame, column: str, most: int) -> bool:
@@ -527,15 +568,15 @@ def main_text(
     A null or empty page has an empty text; a page without a host is judged on its
     own; copies of a page all count.  Columns of ``pages`` named like the result are replaced.
     References and wrappers go to all executors while they are small together;
-    otherwise they are joined by host.
+    otherwise they are joined by host and by layout.
     """
     keep = [c for c in keep if c != "main_text"]
     refs = materialise(references(pages, url=url, html=html, count=count))
     hint = (lambda df, column: F.broadcast(df) if _small(df, column, broadcast_bytes) else df)
-    wrappers = materialise(induce(pages, hint(refs, F.struct("host", "refs")), url=url, html=html))
-    source = pages.select(*keep, F.col(html).alias("_html"), host(url).alias("_host"))
-    wrapped = hint(wrappers.withColumnRenamed("host", "_own"), F.struct("_own", "wrapper"))
-    joined = source.join(wrapped, F.col("_host") == F.col("_own"), "left").select(*keep, "_html", "wrapper")
+    wrappers = materialise(induce(pages, refs, hint, url=url, html=html))
+    names = {c: f"_in{i}" for i, c in enumerate(keep)}
+    source = _groups(pages, url, html, *(F.col(c).alias(n) for c, n in names.items()))
+    joined = _joined(source, wrappers, "wrapper", hint).select(*names.values(), "html", "wrapper", "own_wrapper").toDF(*keep, "_html", "_wrapper", "_own_wrapper")
     from pyspark.sql import types as T
 
     out = T.StructType([*(joined.schema[c] for c in keep), T.StructField("main_text", T.StringType())])
@@ -545,8 +586,10 @@ def main_text(
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = []
-                for source, wrapper in zip(part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist()):
-                    known = {w["ref"]: set(w["nodes"]) for w in wrapper or ()}
+                for source, wrapper, own in zip(*(part.column(len(keep) + i).to_pylist() for i in range(3))):
+                    known: dict[str, set[int]] = {}
+                    for w in [*(wrapper or ()), *(own or ())]:
+                        known.setdefault(w["ref"], set()).update(w["nodes"])
                     texts.append(extract(source, known))
                 arrays = [part.column(i) for i in range(len(keep))] + [pa.array(texts, type=pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "main_text"])

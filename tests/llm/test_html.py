@@ -128,3 +128,24 @@ def test_long_lists_are_aligned_like_short_ones(monkeypatch):
         short = worth(a, b, H.align(a, b))
         monkeypatch.setattr(H, "CELLS", 4)
         assert worth(a, b, H.align(a, b)) == short
+
+
+@pytest.mark.parametrize("broadcast_bytes", [8 << 20, 0])
+def test_each_layout_of_a_host_has_its_template(spark, broadcast_bytes):
+    rnd = random.Random(6)
+    pages = []
+    kinds = [("<div>{}</div>", "div"), ("<table><tr><td>{}</table>", "table"), ("<section class='gallery'>{}</section>", "section"), ("<blockquote>{}</blockquote>", "quote")]
+    for i in range(40):
+        wrap, mark = kinds[i % 4]
+        said = " ".join("w%d" % rnd.randrange(10_000) for _ in range(20))
+        inner = f"<p>Menu of {mark}</p><p>{said}</p><p>Rights of {mark}</p>"
+        pages.append((i, "http://one.test/%d" % i, "<body>" + wrap.format(inner) + "</body>", said))
+    frame = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.main_text for r in H.main_text(frame, ["page_id"], broadcast_bytes=broadcast_bytes).collect()}
+    assert got == {p[0]: p[3] for p in pages}
+
+
+def test_two_references_whatever_their_hashes(spark):
+    for n in range(2, 6):
+        frame = spark.createDataFrame([(f"http://h{k}.test/", f"<p>{n} {k} {i}</p>") for k in range(8) for i in range(n)], "url string, html string")
+        assert {len(r.refs) for r in H.references(frame).where("layout is null").collect()} == {2}
