@@ -4,11 +4,19 @@ A page becomes a tree of its block elements.  A few pages of each host, and of e
 its layouts, serve as references; every page is aligned with those of its host and of
 its layout by simple tree matching (the largest order-preserving match of children,
 level by level).  Reference nodes whose text most pages of the host, or of the layout,
-repeat at the aligned place are template; the other slots vary and are content.  Menus, forms, notices and the like are left out by element and class name,
-which also serves hosts with too few pages to align.
-
-A page meets only the references of its host and layout, so a host with a third of all pages is as
-parallel as any other; counts are summed before they are shuffled.
+repeat at the aligned place are template; the other slots vary.  The text that the pages
+have in each slot is added up, and the content is the innermost container that holds
+most of the varying text outside links: what varies beside it (adverts, link lists,
+notices) is left out whatever it is called.
+
+Where no container stands out, and for hosts with too few pages to align, articles are
+found by element and class name.  Menus, forms, comments and the like inside the content
+go by element name or by whole class names; never the page's body, and no element that
+holds most of the page's text.
+
+A page meets only the references of its host and layout.  A host with many pages is
+dealt to several tasks, each with a copy of the references; counts are summed before
+they are shuffled.
 """
 
 from __future__ import annotations
@@ -16,6 +24,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -24,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .storage import materialise, read
 
 REFERENCES = 2
@@ -31,7 +41,10 @@ REFERENCES = 2
 LEAST_PAGES, SHARE = 4, 0.6
 #: Cells of an alignment table; longer lists of children are aligned by halves, with the same result
 CELLS = 40_000
-BROADCAST_BYTES = 8 << 20
+#: Share of a container's varying text that a container inside it must hold to be the content
+MAIN_SHARE = 0.7
+#: Larger references and wrappers are joined; a host is then dealt to one task for each 256th of the pages
+BROADCAST_BYTES, DEALS = 8 << 20, 256
 
 # Element names of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,14 +65,19 @@ _ENDS = {
     "body": ({"head"}, set()),
 }
 _DROPPED = frozenset("head nav aside footer form fieldset select option button menu dialog script style noscript template iframe svg math canvas object audio video textarea title".split())
-#: names that, as a whole word of a class, an id or a role, mark what is not the article
+#: words that mark what is not the article: a class, id or role of such words only, besides neutral ones
 _DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer foot sidebar sidenav aside rail widget widgets "
     "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist discussion disqus replies reply respond reactions feedback "
-    "search searchbox pagination pager skip toc copyright legal toolbar contentinfo complementary form".split()
+    "search searchbox pagination pager skip toc copyright legal toolbar contentinfo complementary".split()
 )
+_NEUTRAL_NAMES = frozenset("site page top bottom left right upper lower main list area box bar slot unit block wrap wrapper container section inner outer global primary secondary button buttons link links post posts item items group row col column thread form header footer".split())
+#: of these a page may hold more than of the article
+_COMMENT_NAMES = frozenset("comment comments commentlist discussion disqus replies reply respond reactions".split())
 _ARTICLE_NAMES = frozenset("article main articlebody".split())
-_NAME = re.compile(r"[a-z]+")
+_CONTAINERS = frozenset("#root html body div section article main center table tbody tr td".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_WORDS = re.compile(r"[a-z]+|[0-9]+")
 #: an opening tag of a block element up to its class, in lower case
 _OPENED = "<(?:" + "|".join(sorted(_BLOCK, key=lambda x: (-len(x), x))) + r""")(?=[\s/>])(?:[^>]{0,200}?\bclass\s*=\s*(?:"[^">]*"|'[^'>]*'|[^\s"'>]+))?"""
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -67,12 +85,13 @@ _ATTRIBUTE = re.compile(r"""(?:^|\s|/)(class|id|role|hidden|style|itemprop)\b(?:
 
 
 class Node:
-    __slots__ = ("tag", "names", "children", "parts", "parent")
+    __slots__ = ("tag", "names", "children", "parts", "parent", "linked")
 
     def __init__(self, tag: str, names: str, parent: Node | None):
         self.tag, self.names, self.parent = tag, names, parent
         self.children: list[Node] = []
         self.parts: list[str] | None = None  # of a text node
+        self.linked = 0  # characters of a text node that stand in links
 
     @property
     def text(self) -> str:
@@ -100,7 +119,8 @@ def parse(source: str) -> Node:
     root = node = Node("#root", "", None)
     text: Node | None = None
     at, n = 0, len(source)
-    depth, most = 0, 400
+    open_tags: Counter = Counter()
+    in_link = False
 
     def say(piece: str) -> None:
         nonlocal text
@@ -113,15 +133,20 @@ def parse(source: str) -> Node:
             text.parts = []
             node.children.append(text)
         text.parts.append(entities.unescape(piece) if "&" in piece else piece)
+        text.linked += len(piece) if in_link else 0
 
     def close(upto: Node) -> None:
         """Leave ``upto`` and all that is open inside it."""
-        nonlocal node, text, depth
+        nonlocal node, text
         while node is not upto:
-            node, depth = node.parent, depth - 1
-        node, depth, text = upto.parent, depth - 1, None
+            open_tags[node.tag] -= 1
+            node = node.parent
+        open_tags[upto.tag] -= 1
+        node, text = upto.parent, None
 
     def opened(names, stop) -> Node | None:
+        if not any(open_tags[t] for t in names):
+            return None
         x = node
         while x is not root and x.tag not in stop:
             if x.tag in names:
@@ -157,7 +182,9 @@ def parse(source: str) -> Node:
                 own = opened({tag}, ())
                 if own is not None:
                     close(own)
-                text = None
+                text, in_link = None, False
+            elif tag == "a":
+                in_link = False
             continue
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
@@ -170,6 +197,7 @@ def parse(source: str) -> Node:
                 say(" ") if text is not None else None
             continue
         if tag not in _BLOCK:
+            in_link = in_link or tag == "a"
             # inline elements that are never article text, such as buttons
             if tag in _DROPPED:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
@@ -181,43 +209,104 @@ def parse(source: str) -> Node:
             names, stop = _ENDS[tag]
             while (own := opened(names, stop)) is not None:
                 close(own)
-        text = None
-        if tag == "hr" or depth >= most:
+        text, in_link = None, False
+        if tag == "hr":
             continue
         child = Node(tag, _attributes(m.group(3)), node)
         node.children.append(child)
-        node, depth = child, depth + 1
+        node = child
+        open_tags[tag] += 1
     return root
 
 
-def _is_dropped(node: Node, inside: bool) -> bool:
+def _named(names: str) -> frozenset[str]:
+    """Telling words of those class names, ids and roles that consist of such words and neutral ones."""
+    out = set()
+    for name in names.split():
+        words = [w for w in _WORDS.findall(name)]
+        known = _DROPPED_NAMES.intersection(words)
+        if known and all(w in known or w in _NEUTRAL_NAMES or w.isdigit() for w in words):
+            out |= known
+    return frozenset(out)
+
+
+_named = functools.lru_cache(4096)(_named)
+
+
+def _is_dropped(node: Node, inside: bool, large: bool = False) -> bool:
+    """Whether a node is no part of the article; ``inside``: within one; ``large``: it holds most of the page's text."""
     if node.tag in _DROPPED or node.tag == "header" and not inside:
         return True
-    if not node.names:
+    if not node.names or node.tag in ("html", "body", "main"):
         return False
     if "!hidden" in node.names:
         return True
-    words = set(_NAME.findall(node.names))
-    return not words.isdisjoint(_DROPPED_NAMES) and words.isdisjoint(_ARTICLE_NAMES)
+    said = _named(node.names) - ({"header"} if inside else set())
+    if not said or not _ARTICLE_NAMES.isdisjoint(node.names.split()):
+        return False
+    return not said.isdisjoint(_COMMENT_NAMES) or not large and node.tag != "article"
 
 
 def _is_article(node: Node) -> bool:
     return node.tag in ("article", "main") or any(w in ("main", "article", "articlebody") for w in node.names.split())
 
 
+class Page:
+    """The nodes of a page in page order, and what of them is no part of an article."""
+
+    def __init__(self, source: str):
+        self.nodes: list[Node] = []
+        self.parent: list[int] = []
+        stack = [(parse(source), -1)]
+        while stack:
+            node, parent = stack.pop()
+            me = len(self.nodes)
+            self.nodes.append(node)
+            self.parent.append(parent)
+            stack += [(c, me) for c in reversed(node.children)]
+        self.said = [x.text if x.parts is not None else "" for x in self.nodes]
+        #: characters below each node outside links, where no element name tells against it
+        self.plain = [max(0, len(t) - x.linked) for t, x in zip(self.said, self.nodes)]
+        shut = [False] * len(self.nodes)
+        for i, node in enumerate(self.nodes):
+            shut[i] = node.tag in _DROPPED or i > 0 and shut[self.parent[i]]
+        self.mass = [0 if s else n for s, n in zip(shut, self.plain)]
+        for i in range(len(self.nodes) - 1, 0, -1):  # children follow their parent
+            self.mass[self.parent[i]] += self.mass[i]
+        self.inside, self.gone, self.dropped = ([False] * len(self.nodes) for _ in range(3))
+        for i, node in enumerate(self.nodes):
+            if node.parts is not None or i == 0:
+                self.dropped[i] = i > 0 and self.dropped[self.parent[i]]
+                continue
+            up = self.parent[i]
+            self.gone[i] = _is_dropped(node, self.inside[up], self.large(i))
+            self.dropped[i] = self.gone[i] or self.dropped[up]
+            self.inside[i] = self.inside[up] or not self.gone[i] and _is_article(node)
+
+    def large(self, i: int) -> bool:
+        return 2 * self.mass[i] > self.mass[0]
+
+    def below(self, top: int) -> range:
+        """Positions of ``top`` and all nodes inside it."""
+        end = top + 1
+        while end < len(self.nodes) and self.parent[end] >= top:
+            end += 1
+        return range(top, end)
+
+    def rows(self) -> list[list]:
+        """(parent, label, text hash) in page order; the hash is 0 without text."""
+        return [
+            [p, f"{x.tag}.{x.names}", (zlib.crc32(t.encode(errors="replace")) or 1) if t else 0]
+            for p, x, t in zip(self.parent, self.nodes, self.said)
+        ]
+
+
 # --- references and alignment -------------------------------------------------------
 
 
-def outline(source: str | Node) -> list[list]:
-    """A tree as rows (parent, label, text hash) in page order; the hash is 0 without text."""
-    rows, stack = [], [(parse(source) if isinstance(source, str) else source, -1)]
-    while stack:
-        node, parent = stack.pop()
-        me = len(rows)
-        said = node.text if node.parts else ""
-        rows.append([parent, f"{node.tag}.{node.names}", zlib.crc32(said.encode(errors="replace")) or 1 if said else 0])
-        stack += [(c, me) for c in reversed(node.children)]
-    return rows
+def outline(source: str) -> list[list]:
+    """A page as rows (parent, label, text hash) in page order."""
+    return Page(source).rows()
 
 
 def _pack(rows: list[list]) -> str:
@@ -277,6 +366,8 @@ def align(page: Outline, other: Outline) -> dict[int, int]:
     Roots match if their labels do; then children are matched in order, so that the
     matched subtrees have as many nodes as possible.  Equal texts count a half more.
     """
+    # a level takes six frames at most; frames of Python functions do not use the C stack
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 6 * min(len(page.label), len(other.label)) + 2000))
     weight: dict[tuple[int, int], float] = {}
     back: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
@@ -289,7 +380,9 @@ def align(page: Outline, other: Outline) -> dict[int, int]:
         own = 1.0 + (0.5 if page.hash[a] and page.hash[a] == other.hash[b] else 0.0)
         if len(xs) * len(ys) > CELLS:
             pairs = _halved(page, other, xs, ys, value)
-            total = sum(value(x, y) for x, y in pairs)
+            total = 0.0
+            for x, y in pairs:
+                total += value(x, y)
         else:
             table = [[0.0] * (len(ys) + 1)]
             columns = [(y, other.label[y], other.shape[y], other.inner[y]) for y in ys]
@@ -400,49 +493,93 @@ def _halved(page: Outline, other: Outline, xs: list[int], ys: list[int], value)
     return out
 
 
-def extract(source: str | None, template: dict[str, set[int]] | None = None) -> str:
-    """Main text of a page; ``template``: packed outline -> its nodes that are template."""
+def _main_slot(other: Outline, template: set[int], mass: dict[int, float]) -> int:
+    """The innermost container that holds most of the varying text, or -1 if none below the body does.
+
+    ``mass``: characters that the pages have in each node of the reference.  A container
+    with a varying heading before its main part is kept whole.
+    """
+    n = len(other.label)
+    below, heads = [mass.get(i, 0.0) for i in range(n)], [0] * n
+    tag = [x.split(".", 1)[0] for x in other.label]
+    for i in range(n - 1, -1, -1):  # children follow their parent
+        if i in template:
+            below[i] = 0.0
+        for c in other.children[i]:
+            below[i] += below[c]
+            heads[i] += heads[c]
+        heads[i] += tag[i] in _HEADINGS and below[i] > 0
+    node = 0
+    while n and below[0] > 0:
+        inner = [c for c in other.children[node] if tag[c] in _CONTAINERS and below[c] >= MAIN_SHARE * below[node]]
+        if not inner or any(heads[c] for c in other.children[node] if c < inner[0]):
+            break
+        node = inner[0]
+    return -1 if not n or tag[node] in ("#root", "html", "body") else node
+
+
+def _contents(page: Page, constant: set[int], top: int | None) -> list[str]:
+    """Blocks of the article below ``top``; without one, of the articles of the page, or else of all of it."""
+    nodes, n = page.nodes, len(page.nodes)
+
+    def outermost(within: range) -> list[int]:
+        out, free = [], 0
+        for i in within:
+            if i >= free and not page.dropped[i] and nodes[i].parts is None and _is_article(nodes[i]):
+                out.append(i)
+                free = page.below(i).stop
+        return out
+
+    if top is None:
+        tops = outermost(range(n)) or [0]
+    else:
+        up = top
+        while up >= 0:
+            if nodes[up].parts is None and _is_article(nodes[up]) and not page.dropped[up]:
+                top = up
+            up = page.parent[up]
+        within = outermost(page.below(top))
+        tops = within if 2 * sum(page.mass[i] for i in within) >= page.mass[top] > 0 else [top]
+    out = []
+    for t in tops:
+        free = 0
+        for i in page.below(t):
+            if i < free:
+                continue
+            node = nodes[i]
+            if node.parts is not None:
+                if page.said[i] and i not in constant:
+                    out.append(page.said[i])
+            elif i != t and (page.gone[i] if top is None else _is_dropped(node, True, page.large(i))):
+                free = page.below(i).stop
+    return out
+
+
+def extract(source: str | None, template: dict[str, set[int]] | None = None, slots: dict[str, int] | None = None) -> str:
+    """Main text of a page.
+
+    ``template``: packed outline -> its nodes that are template; ``slots``: packed
+    outline -> its node that holds the content.  The first outline with such a node in
+    the page decides.  A page of template only is its own content.
+    """
     if not source:
         return ""
-    root = parse(source)
-    nodes, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        nodes.append(node)
-        stack += reversed(node.children)
+    page = Page(source)
     constant: set[int] = set()
-    if template:
-        page = Outline(outline(root))
-        for packed, known in template.items():
+    top = None
+    if template or slots:
+        own = Outline(page.rows())
+        for packed in dict.fromkeys([*(slots or ()), *(template or ())]):
+            known, slot = (template or {}).get(packed, ()), (slots or {}).get(packed, -1)
             other = _outline(packed)
-            for a, b in align(page, other).items():
-                if b in known and page.hash[a] == other.hash[b]:
+            for a, b in align(own, other).items():
+                if b in known and own.hash[a] == other.hash[b]:
                     constant.add(a)
-    kept, number = [], {id(node): i for i, node in enumerate(nodes)}
-
-    def blocks(top: Node, inside: bool) -> list[str]:
-        out, todo = [], [(top, inside)]
-        while todo:
-            node, within = todo.pop()
-            if node.parts is not None:
-                if number[id(node)] not in constant and (said := node.text):
-                    out.append(said)
-                continue
-            within = within or _is_article(node)
-            todo += [(c, within) for c in reversed(node.children) if not _is_dropped(c, within)]
-        return out
-
-    # the outermost articles, or the whole page without its furniture if there is none
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        if node is not root and _is_dropped(node, False) and not _is_article(node):
-            continue
-        if node.parts is None and _is_article(node):
-            kept += blocks(node, True)
-        else:
-            todo += reversed(node.children)
-    return "\n".join(kept or blocks(root, False))
+                if b == slot and top is None:
+                    top = a
+    if top is not None and not page.mass[top]:
+        top = None
+    return "\n".join(_contents(page, constant, top) or _contents(page, set(), top))
 
 
 def host(url: str = "url"):
@@ -494,63 +631,112 @@ def references(pages: DataFrame, *, url: str = "url", html: str = "html", count:
     return outlines.groupBy("host", "layout").agg(F.array_sort(F.collect_set("ref")).alias("refs"))
 
 
-def _joined(pages: DataFrame, table: DataFrame, column: str, hint) -> DataFrame:
-    """``pages`` with ``column`` of their host and, as ``own_`` and its name, of their layout; empty without one."""
-    wide = table.where("layout is null").select(F.col("host").alias("_h"), F.col(column))
-    narrow = table.where("layout is not null").select(F.col("host").alias("_h2"), F.col("layout").alias("_l2"), F.col(column).alias(f"own_{column}"))
-    pages = pages.join(hint(wide, F.struct("_h", column)), F.col("host") == F.col("_h"), "left")
-    pages = pages.join(hint(narrow, F.struct("_h2", f"own_{column}")), (F.col("host") == F.col("_h2")) & (F.col("layout") == F.col("_l2")), "left")
-    return pages.drop("_h", "_h2", "_l2")
-
+def _joined(pages: DataFrame, table: DataFrame, column: str, broadcast_bytes: int) -> DataFrame:
+    """``pages`` with ``column`` of their host and, as ``own_`` and its name, of their layout; empty without one.
 
-def induce(pages: DataFrame, refs: DataFrame, hint, *, url: str = "url", html: str = "html", least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, layout, wrapper): each reference with its template nodes, from all pages of the host or layout."""
-    joined = _joined(_groups(pages, url, html), refs, "refs", hint).where("refs is not null")
+    A small table is sent to all executors.  A larger one is joined, by host and a deal:
+    a host has as many deals as 256ths of the pages, so no task gets a large host whole.
+    """
+    if _small(table, column, broadcast_bytes):
+        spread, dealt = F.broadcast, pages.withColumn("deal", F.lit(0))
+        copies = table.withColumn("_deal", F.lit(0))
+    else:
+        counts = pages.groupBy("host").agg(F.count("*").alias("_n"))
+        every = counts.agg(F.sum("_n")).first()[0] or 1
+        # at most DEALS hosts: bounded in size
+        large = F.broadcast(counts.where(F.col("_n") * DEALS > every).select(F.col("host").alias("_h0"), F.ceil(F.col("_n") * DEALS / every).cast("int").alias("_deals")))
+        dealt = pages.join(large, F.col("host") == F.col("_h0"), "left").withColumn("deal", F.pmod(F.xxhash64("html"), F.coalesce("_deals", F.lit(1))).cast("int")).drop("_h0", "_deals")
+        copies = table.join(large, F.col("host") == F.col("_h0"), "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1))).drop("_h0", "_deals")
+        spread = lambda df: df
+    wide = copies.where("layout is null").select(F.col("host").alias("_h"), F.col("_deal").alias("_d"), F.col(column))
+    narrow = copies.where("layout is not null").select(F.col("host").alias("_h2"), F.col("_deal").alias("_d2"), F.col("layout").alias("_l2"), F.col(column).alias(f"own_{column}"))
+    dealt = dealt.join(spread(wide), (F.col("host") == F.col("_h")) & (F.col("deal") == F.col("_d")), "left")
+    same = (F.col("host") == F.col("_h2")) & (F.col("deal") == F.col("_d2")) & (F.col("layout") == F.col("_l2"))
+    return dealt.join(spread(narrow), same, "left").drop("_h", "_h2", "_l2", "_d", "_d2", "deal")
+
+
+_COUNTS = "host string, layout long, r int, node int, n long, mass long"
+
+
+def induce(pages: DataFrame, refs: DataFrame, broadcast_bytes: int, *, url: str = "url", html: str = "html", least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+    """(host, layout, wrapper): each reference with its template nodes and its content slot, from all pages of the host or layout."""
+    joined = _joined(_groups(pages, url, html), refs, "refs", broadcast_bytes).where("refs is not null")
 
     def run(batches):
         counts: Counter = Counter()
+        masses: Counter = Counter()
         for batch in batches:
-            for name, made, source, packed, own in zip(*(c.to_pylist() for c in batch.columns)):
-                if not source:
-                    continue
-                page = Outline(outline(source))
-                same: dict[str, list[int]] = {}
-                for group, some in (((name, None), packed), ((name, made), own)):
-                    if not some:
+            for part, _ in K.slices(batch, "html"):
+                for name, made, source, packed, own in zip(*(c.to_pylist() for c in part.columns)):
+                    if not source:
                         continue
-                    counts[*group, -1, -1] += 1
-                    for r, one in enumerate(some):
-                        if one not in same:
-                            other = _outline(one)
-                            same[one] = [b for a, b in align(page, other).items() if page.hash[a] and page.hash[a] == other.hash[b]]
-                        for b in same[one]:
-                            counts[*group, r, b] += 1
-                if len(counts) > 50_000:
-                    yield told(counts)
-                    counts = Counter()
+                    page = Page(source)
+                    shape = Outline(page.rows())
+                    same: dict[str, tuple[list[int], Counter]] = {}
+                    for group, some in (((name, None), packed), ((name, made), own)):
+                        if not some:
+                            continue
+                        counts[*group, -1, -1] += 1
+                        for r, one in enumerate(some):
+                            if one not in same:
+                                same[one] = matched(page, shape, _outline(one))
+                            for b in same[one][0]:
+                                counts[*group, r, b] += 1
+                            for b, chars in same[one][1].items():
+                                masses[*group, r, b] += chars
+                if len(counts) + len(masses) > 50_000:
+                    yield told(counts, masses)
+                    counts, masses = Counter(), Counter()
         if counts:
-            yield told(counts)
-
-    def told(counts):
-        columns = list(zip(*((*k, v) for k, v in counts.items())))
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["host", "layout", "r", "node", "n"])
+            yield told(counts, masses)
+
+    def matched(page: Page, shape: Outline, other: Outline) -> tuple[list[int], Counter]:
+        """Reference nodes whose text the page repeats, and the page's other text by the node that it falls into."""
+        pairs = align(shape, other)
+        equal = [b for a, b in pairs.items() if shape.hash[a] and shape.hash[a] == other.hash[b]]
+        into, out = [0] * len(page.nodes), Counter()
+        for a in range(len(page.nodes)):
+            into[a] = pairs.get(a, into[max(page.parent[a], 0)])
+            if shape.hash[a] and not page.dropped[a] and shape.hash[a] != other.hash[pairs.get(a, 0)]:
+                out[into[a]] += page.plain[a]
+        return equal, out
+
+    def told(counts, masses):
+        keys = list(dict.fromkeys([*counts, *masses]))
+        columns = [*zip(*keys), [counts[k] for k in keys], [masses[k] for k in keys]]
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in _COUNTS.split(", ")])
 
     joined = joined.select("host", "layout", "html", "refs", "own_refs")
-    found = joined.mapInArrow(run, "host string, layout long, r int, node int, n long").groupBy("host", "layout", "r", "node").agg(F.sum("n").alias("n"))
-    found = materialise(found)
-    total = found.where("r < 0").select(F.col("host").alias("_h"), F.col("layout").alias("_l"), F.col("n").alias("pages"))
-    counted = found.where("r >= 0").join(total, (F.col("host") == F.col("_h")) & F.col("layout").eqNullSafe(F.col("_l")))
-    common = counted.where((F.col("n") >= least) & (F.col("n") >= share * F.col("pages")))
-    nodes = common.groupBy("host", "layout", "r").agg(F.array_sort(F.collect_list("node")).alias("nodes")).alias("nodes")
-    one = refs.select("host", "layout", F.posexplode("refs").alias("r", "ref")).alias("one")
-    same = (F.col("one.host") == F.col("nodes.host")) & F.col("one.layout").eqNullSafe(F.col("nodes.layout")) & (F.col("one.r") == F.col("nodes.r"))
-    both = one.join(nodes, same).select("one.host", "one.layout", "ref", "nodes.nodes")
-    return both.groupBy("host", "layout").agg(F.collect_list(F.struct("ref", "nodes")).alias("wrapper"))
+    added = [F.sum("n").alias("n"), F.sum("mass").alias("mass")]
+    found = materialise(joined.mapInArrow(run, _COUNTS).groupBy("host", "layout", "r", "node").agg(*added))
+    # a group is the nodes of one reference
+    listed = found.groupBy("host", "layout").agg(
+        F.max(F.when(F.col("r") < 0, F.col("n"))).alias("pages"),
+        F.collect_list(F.when(F.col("r") >= 0, F.struct("r", "node", "n", "mass"))).alias("found"),
+    )
+    both = refs.alias("one").join(listed.alias("l"), (F.col("one.host") == F.col("l.host")) & F.col("one.layout").eqNullSafe(F.col("l.layout")))
+    both = both.select("one.host", "one.layout", "refs", "pages", "found")
+
+    def decide(batches):
+        for batch in batches:
+            wrappers = []
+            for packed, n, found in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                wrapper = []
+                for r, one in enumerate(packed):
+                    own = [x for x in found if x["r"] == r]
+                    nodes = {x["node"] for x in own if x["n"] >= least and x["n"] >= share * n}
+                    slot = _main_slot(_outline(one), nodes, {x["node"]: x["mass"] for x in own}) if n >= least else -1
+                    wrapper.append({"ref": one, "nodes": sorted(nodes), "slot": slot})
+                wrappers.append(wrapper)
+            kind = pa.list_(pa.struct([("ref", pa.string()), ("nodes", pa.list_(pa.int32())), ("slot", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wrappers, type=kind)], names=["host", "layout", "wrapper"])
+
+    return both.mapInArrow(decide, "host string, layout long, wrapper array<struct<ref:string,nodes:array<int>,slot:int>>")
 
 
 def _small(df: DataFrame, column: str, most: int) -> bool:
-    size = df.agg(F.sum(F.length(F.to_json(column)))).first()[0] or 0
+    size = df.agg(F.sum(F.length(F.to_json(F.struct("host", column))))).first()[0] or 0
     return size <= most
 
 
@@ -566,31 +752,33 @@ def main_text(
     """``keep`` columns and ``main_text``, empty if there is none.
 
     A null or empty page has an empty text; a page without a host is judged on its
-    own; copies of a page all count.  Columns of ``pages`` named like the result are replaced.
+    own; copies of a page, and pages with equal ids, all count.  Columns of ``pages`` named like the result are replaced.
     References and wrappers go to all executors while they are small together;
     otherwise they are joined by host and by layout.
     """
     keep = [c for c in keep if c != "main_text"]
     refs = materialise(references(pages, url=url, html=html, count=count))
-    hint = (lambda df, column: F.broadcast(df) if _small(df, column, broadcast_bytes) else df)
-    wrappers = materialise(induce(pages, refs, hint, url=url, html=html))
+    wrappers = materialise(induce(pages, refs, broadcast_bytes, url=url, html=html))
     names = {c: f"_in{i}" for i, c in enumerate(keep)}
     source = _groups(pages, url, html, *(F.col(c).alias(n) for c, n in names.items()))
-    joined = _joined(source, wrappers, "wrapper", hint).select(*names.values(), "html", "wrapper", "own_wrapper").toDF(*keep, "_html", "_wrapper", "_own_wrapper")
+    joined = _joined(source, wrappers, "wrapper", broadcast_bytes).select(*names.values(), "html", "wrapper", "own_wrapper")
     from pyspark.sql import types as T
 
-    out = T.StructType([*(joined.schema[c] for c in keep), T.StructField("main_text", T.StringType())])
+    fields = [T.StructField(c, joined.schema[n].dataType) for c, n in names.items()]
+    out = T.StructType([*fields, T.StructField("main_text", T.StringType())])
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part, _ in K.slices(batch, "html"):
                 texts = []
                 for source, wrapper, own in zip(*(part.column(len(keep) + i).to_pylist() for i in range(3))):
                     known: dict[str, set[int]] = {}
-                    for w in [*(wrapper or ()), *(own or ())]:
+                    slots: dict[str, int] = {}
+                    for w in [*(own or ()), *(wrapper or ())]:
                         known.setdefault(w["ref"], set()).update(w["nodes"])
-                    texts.append(extract(source, known))
+                        if w["slot"] >= 0:
+                            slots.setdefault(w["ref"], w["slot"])
+                    texts.append(extract(source, known, slots))
                 arrays = [part.column(i) for i in range(len(keep))] + [pa.array(texts, type=pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "main_text"])
 

@@ -22,7 +22,15 @@ from docloom.llm import html as H
         ("<article><p>unclosed <b>bold<p>next", "unclosed bold\nnext"),
         ("<header>h</header><article><header><h1>T</h1></header><p>x</p></article>", "T\nx"),
         ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a\nb\nc\nd"),
-        ("<article><p>a</p><div class='header-image'>x</div></article><article><p>b</p></article>", "a\nb"),
+        ("<article><p>a</p><div class='site-footer'>x</div></article><article><p>b</p></article>", "a\nb"),
+        ("<article><div class='header-image'>x</div><p>a</p></article>", "x\na"),
+        ("<body class='right-sidebar'><p>x</p></body>", "x"),
+        ("<html class='no-js menu-closed'><body><div class='content has-sidebar'><p>x</p></div>", "x"),
+        ("<article><header class='entry-header'><h1>T</h1></header><p class='share-price'>1</p><p class='alert-level'>2</p><p class='form-1040'>3</p><p class='related-story-text'>4</p></article>", "T\n1\n2\n3\n4"),
+        ("<div class='sidebar'><p>holds most of the page</p></div><p>b</p>", "holds most of the page\nb"),
+        ("<p>b</p><ol class='comment-list'><li>longer than the page itself</ol>", "b"),
+        ("<div>" * 450 + "<nav><p>menu</p></nav><p>t</p>", "t"),
+        ("<div><article>" + "<div>" * 450 + "x" + "</div>" * 450 + "<p>more</p></article></div>", "x\nmore"),
         ("<article><p hidden>h</p><p style='display: none'>n</p><p>v</p></article>", "v"),
         ("<article>a<!-- open", "a"),
         ("<article>a<script>open", "a"),
@@ -149,3 +157,60 @@ def test_two_references_whatever_their_hashes(spark):
     for n in range(2, 6):
         frame = spark.createDataFrame([(f"http://h{k}.test/", f"<p>{n} {k} {i}</p>") for k in range(8) for i in range(n)], "url string, html string")
         assert {len(r.refs) for r in H.references(frame).where("layout is null").collect()} == {2}
+
+
+def test_deep_pages_are_aligned():
+    page = "<div>" * 5000 + "<p>said</p>" + "</div>" * 5000 + "<p>end</p>"
+    own = H.Outline(H.outline(page))
+    assert H.align(own, own) == {i: i for i in range(len(own.label))}
+
+
+def test_wrapper_finds_the_content_of_pages_without_telling_names(spark):
+    """Pages of the tables whose elements and classes no longer tell what is the article."""
+    import pandas as pd
+
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet")
+    pages = pages[pages.html.notnull()]
+    want = {p: H.extract(h) for p, h in zip(pages.page_id, pages.html)}
+    bare = pages.assign(html=pages.html.str.replace(r"<(/?)(?:article|nav|footer)\b", r"<\1div", regex=True).str.replace('<div class="ad">', "<div>"))
+    pages = pages.assign(host=pages.url.str.extract(r"//([^/:]+)")[0].str.lower())
+    many = set(pages[pages.groupby("host").page_id.transform("count") >= H.LEAST_PAGES].page_id)
+    frame = spark.createDataFrame(bare[["page_id", "url", "html"]])
+    got = {r.page_id: r.main_text for r in H.main_text(frame, ["page_id"]).collect()}
+    alone = {p: H.extract(h) for p, h in zip(bare.page_id, bare.html)}
+    assert len(many) > 100
+    assert sum(got[p] == want[p] for p in many) == len(many)
+    assert sum(alone[p] == want[p] for p in many) == 0
+
+
+def test_slot_against_a_plain_search():
+    """The content slot is the last of the containers on the way down that hold most of the varying text."""
+    rnd = random.Random(9)
+
+    def tree(depth):
+        tag = rnd.choice(["div", "div", "p", "h2"]) if depth < 5 else "div"
+        return [tag, rnd.randrange(50), [tree(depth - 1) for _ in range(rnd.randrange(4))] if depth else []]
+
+    for _ in range(200):
+        t, labels, parents, mass = tree(5), [], [], {}
+
+        def walk(x, parent):
+            me = len(labels)
+            labels.append(x[0])
+            parents.append(parent)
+            mass[me] = x[1]
+            x.append(me)
+            for c in x[2]:
+                walk(c, me)
+
+        walk(t, -1)
+        total = lambda x: x[1] + sum(map(total, x[2]))
+        heading = lambda x: (x[0] == "h2" and total(x) > 0) or any(map(heading, x[2]))
+        x = t
+        while True:
+            more = [c for c in x[2] if c[0] == "div" and total(c) >= H.MAIN_SHARE * total(x)] if total(t) else []
+            if not more or any(heading(c) for c in x[2][: x[2].index(more[0])]):
+                break
+            x = more[0]
+        other = H.Outline([[p, f"{g}.", 0] for p, g in zip(parents, labels)])
+        assert H._main_slot(other, set(), mass) == x[3]
