@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .kernels import LOWER
 
+_U = np.uint64
 WIDTH, GRAM = 10, 4
 BLOCK_BYTES = 16 << 20
 
@@ -29,57 +31,78 @@ _HITS = "n_words long, n_hit long, item_ids array<string>, hit_spans array<struc
 
 
 class _Index:
-    """What one block of items is looked up by."""
+    """What one block of items is looked up by: arrays of about eight bytes for each byte of item text.
+
+    The words of all items stand in one buffer, lower-cased and parted by single blanks.
+    ``tables``: for each window length, the hashes of the windows, sorted, and the first
+    word of each.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], width: int, gram: int):
         self.width, self.gram = width, gram
-        self.names: list[str] = []
-        self.owners: dict[bytes, set[int]] = defaultdict(set)
-        grams, full, short = [], [], defaultdict(list)
-        for name, raw in items:
-            data = np.frombuffer(raw, dtype=np.uint8)
-            words = K.Words(K.Text(data, np.array([0, len(data)])), K.ALPHANUMERIC)
-            n = len(words)
-            if not n:
-                continue
-            me = len(self.names)
-            self.names.append(name)
-            hashes = words.hashes(lower=True)
-            size = min(n, width)
-            at, window = words.windows(hashes, size)
-            for i in at.tolist():
-                self.owners[words.bytes(i, i + size, lower=True)].add(me)
-            if n < width:
-                short[n].append(window)
-            else:
-                full.append(window)
-                grams.append(words.windows(hashes, gram)[1])
-        self.sets = {}
-        for key, parts in [("gram", grams), ("full", full), *short.items()]:
-            if parts:
-                values = np.unique(np.concatenate(parts))
-                self.sets[key] = values, K.bitmap(values)
-
-    def hits(self, words: K.Words) -> list[tuple[int, int, set[int]]]:
+        self.names = [name for name, _ in items]
+        data = LOWER[np.frombuffer(b" ".join(raw for _, raw in items), dtype=np.uint8)]
+        size = np.array([len(raw) for _, raw in items], dtype=np.int64)
+        first = np.cumsum(size + 1) - size - 1
+        # a blank between two items belongs to the former
+        words = K.Words(K.Text(data, np.append(first, len(data)).astype(np.int64)), K.ALPHANUMERIC)
+        length = words.end - words.start
+        at = np.cumsum(length + 1) - length - 1
+        self.buffer = b" ".join(data[a:b].tobytes() for a, b in zip(words.start.tolist(), words.end.tolist()))
+        self.start, self.length = at, length.astype(np.int32)
+        self.owner = words.doc.astype(np.int32)
+        hashes = words.hashes()
+        count = words.count[words.doc] if len(words) else words.doc
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in sorted({min(int(n), width) for n in np.unique(words.count) if n}):
+            places, window = words.windows(hashes, k)
+            own = count[places] >= width if k == width else count[places] == k
+            places, window = places[own], window[own]
+            order = np.argsort(window, kind="stable")
+            window = window[order]
+            self.tables[k] = window, places[order].astype(np.int32), K.bitmap(window)
+        self.grams = None
+        if width in self.tables:
+            places, grams = words.windows(hashes, gram)
+            grams = np.unique(grams[count[places] >= width])
+            self.grams = grams, K.bitmap(grams)
+        self.known: dict[int, list[tuple[bytes, frozenset[int]]]] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
+    def _owners(self, size: int, window: int, said: bytes) -> frozenset[int]:
+        """Items with a window of this hash whose bytes are ``said``."""
+        if window not in self.known:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            every, places, _ = self.tables[size]
+            lo, hi = np.searchsorted(every, _U(window), "left"), np.searchsorted(every, _U(window), "right")
+            groups: dict[bytes, set[int]] = defaultdict(set)
+            for w in places[lo:hi].tolist():
+                last = w + size - 1
+                groups[self.buffer[self.start[w] : self.start[last] + self.length[last]]].add(int(self.owner[w]))
+            self.known[window] = [(k, frozenset(v)) for k, v in groups.items()]
+        return next((own for text, own in self.known[window] if text == said), frozenset())
+
+    def hits(self, words: K.Words) -> list[tuple[int, int, frozenset[int]]]:
         """First word, length and items of every occurrence of a window."""
         out, hashes = [], words.hashes(lower=True)
 
-        def verify(at: np.ndarray, size: int) -> None:
-            for i in at.tolist():
-                if own := self.owners.get(words.bytes(i, i + size, lower=True)):
+        def verify(at: np.ndarray, window: np.ndarray, size: int) -> None:
+            here = K.members(window, *self.tables[size][::2])
+            for i, h in zip(at[here].tolist(), window[here].tolist()):
+                if own := self._owners(size, h, words.bytes(i, i + size, lower=True)):
                     out.append((i, size, own))
 
-        if "gram" in self.sets:
+        if self.grams is not None:
             near = self._around(words, hashes)
             if len(near):
                 at = near[words.doc[near] == words.doc[near + self.width - 1]]
-                prefix = K.prefix_hash(hashes, K._WORD_POLY[0])
-                window = K.range_hash(prefix, at, at + self.width, K._WORD_POLY[0])
-                verify(at[K.members(window, *self.sets["full"])], self.width)
-        for size, known in self.sets.items():
-            if isinstance(size, int):
-                at, window = words.windows(hashes, size)
-                verify(at[K.members(window, *known)], size)
+                verify(at, K.window_hash_at(hashes, at, self.width), self.width)
+        for size in self.tables:
+            if size < self.width:
+                verify(*words.windows(hashes, size), size)
         return out
 
     def _around(self, words: K.Words, hashes: np.ndarray) -> np.ndarray:
@@ -88,9 +111,7 @@ class _Index:
         count = len(words) - self.width + 1
         if count <= 0:
             return np.empty(0, dtype=np.int64)
-        prefix = K.prefix_hash(hashes, K._WORD_POLY[0])
-        every = np.arange(len(words) - self.gram + 1)
-        gram = K.range_hash(prefix, every, every + self.gram, K._WORD_POLY[0])
+        gram = K.window_hash(hashes, self.gram)
         least, where = gram[:count].copy(), np.zeros(count, dtype=np.int64)
         for step in range(1, reach):
             other = gram[step : step + count]
@@ -99,7 +120,7 @@ class _Index:
             where[lower] = step
         inside = words.doc[:count] == words.doc[self.width - 1 :]
         selected = np.unique((np.arange(count) + where)[inside])
-        shared = selected[K.members(gram[selected], *self.sets["gram"])]
+        shared = selected[K.members(gram[selected], *self.grams)]
         near = np.unique((shared[:, None] - np.arange(reach)[None, :]).ravel())
         return near[(near >= 0) & (near < count)]
 

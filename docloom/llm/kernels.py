@@ -13,11 +13,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 19
 
 _U = np.uint64
+_ALL = (1 << 64) - 1
 _MIX1, _MIX2 = _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)
+_LEFT, _RIGHT = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)
+#: masks of the first 0 to 8 bytes of a little-endian value
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=_U)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -30,29 +35,75 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class _Poly:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=_U)
+def combine(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of two hashes in order; mixing after every step leaves no algebra between texts."""
+    return mix(a * _LEFT + (b ^ (b >> _U(29))) * _RIGHT + _U(salt * 0x9E3779B97F4A7C15 & _ALL))
+
+
+#: Words and lines of more bytes are hashed one by one
+_SHORT = 64
+
+
+def bytes_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of byte ranges: eight bytes a step, mixed after each, or XXH3 for long ranges."""
+    size = (end - start).astype(np.int64)
+    out = mix(size.astype(_U) + _U(which * 0xD6E8FEB86659FD93 + 1 & _ALL))
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    long = size > _SHORT
+    live = np.flatnonzero((size > 0) & ~long)
+    for step in range(0, _SHORT, 8):
+        if not len(live):
+            break
+        left = size[live] - step
+        chunk = eight[start[live] + step] & _KEEP[np.minimum(left, 8)]
+        out[live] = combine(out[live], chunk, step + which)
+        live = live[left > 8]
+    if long.any():
+        raw = data.tobytes() if isinstance(data, np.ndarray) else data
+        for i in np.flatnonzero(long).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]], which)
+    return out
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 20)
-            up, down = np.full(size, self.base, dtype=_U), np.full(size, self.inverse, dtype=_U)
-            up[0] = down[0] = 1
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-            if size > 1 << 22:  # do not hold on to what one huge text needed
-                out = self.up, self.down
-                self.up = self.down = np.ones(1, dtype=_U)
-                return out
-        return self.up, self.down
 
+def window_hash(hashes: np.ndarray, k: int, which: int = 0) -> np.ndarray:
+    """Hash of every ``k`` consecutive hashes, from those of its halves, quarters and so on."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.empty(0, dtype=_U)
+    out, level, size, done = None, hashes, 1, 0
+    parts = []
+    while size <= k:
+        if k & size:
+            parts.append((size, level))
+        if 2 * size <= k:
+            level = combine(level[:-size], level[size:], 2 * size + which * 4096)
+        size *= 2
+    for size, level in reversed(parts):
+        piece = level[done : done + n]
+        out = piece if out is None else combine(out, piece, 64 * size + 1 + which * 4096)
+        done += size
+    return mix(out + _U(k))
+
+
+def window_hash_at(hashes: np.ndarray, at: np.ndarray, k: int, which: int = 0) -> np.ndarray:
+    """``window_hash`` at some places only."""
+    if 4 * len(at) * k > len(hashes) * max(k.bit_length(), 1):
+        return window_hash(hashes, k, which)[at]
+    out, done = None, 0
+    for size in (1 << j for j in range(k.bit_length() - 1, -1, -1)):
+        if k & size:
+            level = hashes[at[:, None] + (done + np.arange(size))[None, :]]
+            half = 1
+            while level.shape[1] > 1:
+                level = combine(level[:, ::2], level[:, 1::2], 2 * half + which * 4096)
+                half *= 2
+            piece = level[:, 0]
+            out = piece if out is None else combine(out, piece, 64 * size + 1 + which * 4096)
+            done += size
+    return mix(out + _U(k))
 
-_BYTE_POLY = (_Poly(0x9E3779B97F4A7C15), _Poly(0xD6E8FEB86659FD93))
-_WORD_POLY = (_Poly(0xA0761D6478BD642F), _Poly(0xE7037ED1A0B428DB))
-_BYTE_CODE = tuple(mix(np.arange(1, 257, dtype=_U) * _U(k)) for k in (0x9FB21C651E98DF25, 0x8EBC6AF09C88C6E3))
 
 #: ``[^\x20\x09-\x0D]``
 BLANK_SEPARATED = np.ones(256, dtype=bool)
@@ -65,19 +116,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def prefix_hash(codes: np.ndarray, poly: _Poly) -> np.ndarray:
-    """Prefix sums from which the hash of any range follows in O(1)."""
-    up, _ = poly.upto(len(codes) + 1)
-    out = np.zeros(len(codes) + 1, dtype=_U)
-    np.cumsum(codes * up[: len(codes)], out=out[1:])
-    return out
-
-
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, poly: _Poly) -> np.ndarray:
-    _, down = poly.upto(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(_U) * _U(0x9E3779B97F4A7C15))
-
-
 class Text:
     """Bytes of the texts of a slice, with the bounds of each."""
 
@@ -91,10 +129,6 @@ class Text:
         np.cumsum(per_byte, out=total[1:])
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
-    def byte_prefix(self, which: int = 0, lower: bool = False) -> np.ndarray:
-        code = _BYTE_CODE[which][LOWER] if lower else _BYTE_CODE[which]
-        return prefix_hash(code[self.data], _BYTE_POLY[which])
-
 
 class Words:
     """The words of a slice: bounds in the bytes, and the first word of each text."""
@@ -121,14 +155,15 @@ class Words:
         return len(self.start)
 
     def hashes(self, which: int = 0, lower: bool = False) -> np.ndarray:
-        return range_hash(self.text.byte_prefix(which, lower), self.start, self.end, _BYTE_POLY[which])
+        data = self.text.data
+        return bytes_hash(LOWER[data] if lower else data, self.start, self.end, which)
 
     def windows(self, hashes: np.ndarray, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """First words, and hashes, of all runs of ``k`` words within one text."""
         if len(self) < k:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=_U)
         at = np.flatnonzero(self.doc[: len(self) - k + 1] == self.doc[k - 1 :])
-        return at, range_hash(prefix_hash(hashes, _WORD_POLY[which]), at, at + k, _WORD_POLY[which])
+        return at, window_hash(hashes, k, which)[at]
 
     def bytes(self, a: int, b: int, lower: bool = False) -> bytes:
         """Words ``a`` to ``b``, exclusive, joined by one space."""

@@ -74,7 +74,7 @@ def statistics(own: K.Text) -> dict[str, np.ndarray]:
     end = np.sort(np.concatenate((own.offsets[1:], cut)))
     filled = np.searchsorted(words.start, start) < np.searchsorted(words.start, end)
     start, end, owner = start[filled], end[filled], owner[filled]
-    line = K.range_hash(own.byte_prefix(), start, end, K._BYTE_POLY[0])
+    line = K.bytes_hash(data, start, end)
     n_lines = np.bincount(owner, minlength=n)
     has_symbol = np.concatenate(([0], np.cumsum(_IS_SYMBOL[data])))
     marked = has_symbol[words.end] > has_symbol[words.start]

@@ -8,26 +8,34 @@ its context: the words that decide that it is cut this way.  If a window of word
 contains the context of a symbol, every other occurrence of the window contains that
 symbol too.
 
-1. Every text sends its high-level symbols; they are counted over the whole corpus.
-2. A window that contains the context of a symbol which occurs once cannot repeat.
-   The other windows are candidates; in ordinary text there are few.
-3. Candidate windows are compared by 96 bits of two independent hashes of their words.
-4. Words covered by repeated windows go.
-
-A window that repeats within the texts at hand is known to repeat there; only one of
-its occurrences is sent on, so a passage of very many texts stays a few rows a task.
-No step holds a group: equal symbols and equal windows are met in sorted order.
+1. Texts are stored in chunks of a few megabytes; copies inside a chunk count once.
+2. Every chunk sends its high-level symbols, which are counted over the whole corpus.
+   Each chunk learns which of its symbols occur once.
+3. A window that contains the context of a symbol which occurs once cannot repeat.
+   The other windows are candidates; they are counted by 128 bits of two independent
+   hashes of their words, and each chunk learns which of them occur once.
+4. Words covered by the other candidates go.
+
+Counts are summed in each task before they are shuffled, so a symbol or a passage of
+very many texts is one row a task, and what goes back to the chunks is only what occurs
+once.  The hashes mix after every step, so equality of texts is decided by 128 bits
+without any algebra that could make unlike texts agree.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .storage import materialise, read
@@ -36,6 +44,8 @@ WINDOW = 35
 ROUNDS = 6
 #: Shorter symbols are not counted: alone they say little about a window
 LEAST_WORDS = 3
+#: Bytes of text of a chunk; a longer text is a chunk of its own
+CHUNK_BYTES = 2 << 20
 _FAR = 1 << 40
 _U, _MASK = np.uint64, (1 << 64) - 1
 _A, _B, _C = _U(0xD1B54A32D192ED03), _U(0x8CB92BA72F3D8DD7), _U(0xAAAAAAAAAAAAAAAB)
@@ -114,33 +124,13 @@ class Symbols:
         self._joined(head, name, low, high)
 
 
-def recompress(words: K.Words, hashes: np.ndarray, rounds: int = ROUNDS) -> Symbols:
-    out = Symbols(hashes, words.doc)
-    for level in range(rounds):
-        out.runs()
-        out.pairs(level)
-    return out
-
-
 def told(symbols: Symbols, window: int) -> np.ndarray:
     """Positions of the symbols that are counted: their context fits into a window."""
     length = symbols.end - symbols.start
     return np.flatnonzero((length >= LEAST_WORDS) & (symbols.high - symbols.low <= window))
 
 
-def _keys(words: K.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each text's whole word sequence."""
-    first, last = words.first[:-1], words.first[1:]
-    return tuple(
-        K.range_hash(K.prefix_hash(hashes, poly), first, last, poly).view(np.int64) for poly in K._WORD_POLY
-    )
-
-
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-def candidates(words: K.Words, symbols: Symbols, unique: np.ndarray, window: int) -> np.ndarray:
+def candidates(words, symbols: Symbols, unique: np.ndarray, window: int) -> np.ndarray:
     """First words of the windows that contain the context of no symbol in ``unique``."""
     n = len(words)
     if n < window:
@@ -154,273 +144,234 @@ def candidates(words: K.Words, symbols: Symbols, unique: np.ndarray, window: int
     return np.flatnonzero(free & (words.doc[: n - window + 1] == words.doc[window - 1 :]))
 
 
-def _symbol_rows(docs: DataFrame, text: str, window: int, rounds: int) -> DataFrame:
-    """(name, part, k1, k2): counted symbols of the distinct texts of a task, with part 0.
+class _Chunk:
+    """The distinct texts of a chunk, as far as they are long enough for a window.
 
-    A text of at least a window's length also sends a row for itself, named by its own
-    hash, with further bits of it as the part.  Further copies of a text in the same task send their key row only.
+    of: for each text of the chunk, its place among the distinct ones, or -1 if it is short.
     """
 
-    def run(batches):
-        seen: set[tuple[int, int]] = set()
-        for batch in batches:
-            for _, own in K.slices(batch, text):
-                words = K.Words(own)
-                hashes = words.hashes()
-                k1, k2 = _keys(words, hashes)
-                fresh = np.zeros(own.n, dtype=bool)
-                for i, key in enumerate(zip(k1.tolist(), k2.tolist())):
-                    if key not in seen:
-                        fresh[i] = True
-                        seen.add(key)
-                if len(seen) > 200_000:
-                    seen.clear()
-                symbols = recompress(words, hashes, rounds)
-                at = told(symbols, window)
-                at = at[fresh[symbols.doc[at]]]
-                owner = symbols.doc[at]
-                long = np.flatnonzero(words.count >= window)
-                name = np.concatenate((_signed(symbols.name[at]), k1[long]))
-                who = np.concatenate((owner, long))
-                more = (k2[long] >> 32).astype(np.int32) | 1
-                part = np.concatenate((np.zeros(len(at), dtype=np.int32), more))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(name), pa.array(part), pa.array(k1[who]), pa.array(k2[who])], names=["name", "part", "k1", "k2"]
-                )
-
-    return docs.select(text).mapInArrow(run, "name long, part int, k1 long, k2 long")
-
-
-def _repeated(rows: DataFrame, by: list[str], out: str, names: list[str]) -> DataFrame:
-    """Rows whose ``by`` columns equal another row's; other columns ride along.
-
-    ``rows`` is sorted by ``by`` within partitions that hold all equal ones.  One row is
-    held back across batches.
-    """
+    def __init__(self, whole: K.Text, window: int):
+        words = K.Words(whole)
+        hashes = words.hashes()
+        self.n_words = words.count
+        self.of = np.full(whole.n, -1, dtype=np.int64)
+        self.keys: list[tuple[int, int]] = []
+        places: dict[tuple[int, int], int] = {}
+        fresh: list[int] = []
+        other = words.hashes(1)
+        for i in np.flatnonzero(words.count >= window).tolist():
+            a, b = words.first[i], words.first[i + 1]
+            key = (xxhash.xxh3_64_intdigest(hashes[a:b].tobytes(), 1), xxhash.xxh3_64_intdigest(other[a:b].tobytes(), 2))
+            if key not in places:
+                places[key] = len(fresh)
+                fresh.append(i)
+                self.keys.append(key)
+            self.of[i] = places[key]
+        self.copies = np.bincount(self.of[self.of >= 0], minlength=len(fresh))
+        # words of the distinct texts, one text after the other
+        at = [np.arange(words.first[i], words.first[i + 1]) for i in fresh]
+        self.at = np.concatenate(at) if at else np.empty(0, dtype=np.int64)
+        self.hashes, self.other = hashes[self.at], other[self.at]
+        self.first = np.concatenate(([0], np.cumsum([len(x) for x in at]))).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(fresh)), np.diff(self.first))
+        self.words = words
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def windows(self, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(K.window_hash_at(x, at, window, w) for w, x in ((0, self.hashes), (1, self.other)))
+
+
+def recompress(hashes: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> Symbols:
+    out = Symbols(hashes, doc)
+    for level in range(rounds):
+        out.runs()
+        out.pairs(level)
+    return out
+
+
+def _chunks(docs: DataFrame, keep: list[str], text: str, chunk_bytes: int) -> DataFrame:
+    """(chunk, body): all rows, packed in the order of a task; the text is the last column of a body."""
+    source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def run(batches):
-        held = None
-        last_hit = False
+        task, k = TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []
+        size = 0
+        packer = zstandard.ZstdCompressor(level=1)
+
+        def packed():
+            nonlocal k
+            out = io.BytesIO()
+            table = pa.Table.from_batches(held).combine_chunks()
+            with pa.ipc.new_stream(out, table.schema) as writer:
+                writer.write_table(table)
+            k += 1
+            body = packer.compress(out.getvalue())
+            return pa.RecordBatch.from_arrays([pa.array([task << 33 | k]), pa.array([body], type=pa.binary())], names=["chunk", "body"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            equal = np.ones(table.num_rows - 1, dtype=bool)
-            for c in by:
-                values = table[c].to_numpy()
-                equal &= values[1:] == values[:-1]
-            hit = np.zeros(table.num_rows, dtype=bool)
-            hit[1:] |= equal
-            hit[:-1] |= equal
-            if held is not None:
-                hit[0] |= last_hit
-            last_hit, held = bool(hit[-1]), table.slice(table.num_rows - 1)
-            done = table.slice(0, table.num_rows - 1).filter(pa.array(hit[:-1]))
-            yield from done.select(names).to_batches()
-        if held is not None and last_hit:
-            yield from held.select(names).to_batches()
-
-    dealt = rows.repartition(*by).sortWithinPartitions(*by)
-    return dealt.mapInArrow(run, out)
+            for part, own in K.slices(batch, "t"):
+                if held and size + len(own.data) > chunk_bytes:
+                    yield packed()
+                    held, size = [], 0
+                held.append(part)
+                size += len(own.data)
+        if held:
+            yield packed()
 
+    return source.mapInArrow(run, "chunk long, body binary")
 
-def mark_repeats(
-    docs: DataFrame, keep: list[str], *, text: str = "text", window: int = WINDOW, rounds: int = ROUNDS
-) -> DataFrame:
-    """``keep`` columns with n_words, n_removed and kept, the remaining words joined by spaces.
 
-    A word goes if some window of ``window`` words of its text that covers it starts
-    anywhere else too, in this text or another; windows are judged on the input.  Rows
-    with a null, empty or short text keep all words; rows with equal texts lose all if
-    they have ``window`` words.  A null text comes back empty.  ids play no part, so null and repeated ids are rows
-    like any other.  Columns of ``docs`` named like a result are replaced.
-    """
-    keep = [c for c in keep if c not in ("n_words", "n_removed", "kept")]
-    rows = _symbol_rows(docs, text, window, rounds)
-    shared = _repeated(rows, ["name", "part"], "name long, part int, k1 long, k2 long", ["name", "part", "k1", "k2"])
-    by_text = shared.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(
-        F.collect_set(F.when(F.col("part") == 0, F.col("name"))).alias("_shared"), F.max(F.col("part") != 0).alias("_whole")
-    )
-    numbered = docs.select(*keep, *([text] if text not in keep else [])).withColumnRenamed(text, "_text")
-    carried = ["_text" if c == text else c for c in keep]
+def _opened(body: bytes) -> tuple[pa.RecordBatch, K.Text]:
+    raw = zstandard.ZstdDecompressor().decompress(body)
+    table = pa.ipc.open_stream(raw).read_all().combine_chunks()
+    batch = table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], schema=table.schema)
+    return batch, K.as_text(batch.column(batch.num_columns - 1))
 
-    def compress(_, own: K.Text) -> dict:
-        words, raw = K.Words(own), own.data.tobytes()
-        k1, k2 = _keys(words, words.hashes())
-        packer = zstandard.ZstdCompressor(level=1)
-        bounds = own.offsets.tolist()
-        return {"_k1": k1, "_k2": k2, "_blob": [packer.compress(raw[a:b]) for a, b in zip(bounds, bounds[1:])]}
-
-    inside = [c for c in carried if c != "_text"]
-    packed = K.map_texts(numbered, "_text", inside, "_k1 long, _k2 long, _blob binary", compress)
-    joined = packed.join(by_text, ["_k1", "_k2"], "left")
-    parsed = materialise(_find_candidates(joined, inside, window, rounds).withColumn("_row", F.monotonically_increasing_id()))
-    hits = _repeated(
-        _window_rows(parsed.where("_first is not null"), window), ["h1", "h2"], "_row long, at int", ["_row", "at"]
-    )
-    starts = hits.groupBy("_row").agg(F.collect_list("at").alias("_at"))
-    no_list = F.lit(None).cast("array<int>")
-    none = [no_list.alias(c) for c in ("_at", "_sure", "_sure_last")]
-    plain = parsed.where("_first is null").select(*inside, "n_words", F.col("_removed").alias("n_removed"), "_blob", *none)
-    cut = (
-        parsed.where("_first is not null and not _whole")
-        .join(starts, "_row", "left")
-        .select(*inside, "n_words", F.lit(-1).cast("long").alias("n_removed"), "_blob", "_at", "_sure", "_sure_last")
-    )
-    whole = parsed.where("_first is not null and _whole").select(
-        *inside, "n_words", F.col("n_words").alias("n_removed"), "_blob", *none
-    )
-    return _apply(plain.unionByName(cut).unionByName(whole), keep, text, window)
 
+def _each(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    """Values of one row at a time; a row is a chunk."""
+    at = [batch.schema.get_field_index(c) for c in columns]
+    for i in range(batch.num_rows):
+        yield tuple(batch.column(j)[i] for j in at)
 
-def _unpacked(blobs: list[bytes]) -> K.Text:
-    opener = zstandard.ZstdDecompressor()
-    texts = [opener.decompress(b) for b in blobs]
-    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    return K.Text(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets)
 
+def _symbol_rows(chunks: DataFrame, window: int, rounds: int) -> DataFrame:
+    """(name, part, n, chunk): counted symbols of each chunk, with part 0, and a row for each long text.
 
-def _few(batch: pa.RecordBatch, column: str, most: int = K.SLICE_BYTES // 2):
-    """Parts of a batch with about ``most`` bytes of packed text."""
-    yield from (part for part, _ in K.slices(batch, column, most))
+    A text's row is named by a hash of its words, with further bits of another as the part.
+    """
 
+    def run(batches):
+        for batch in batches:
+            for chunk, body in _each(batch, "chunk", "body"):
+                own = _Chunk(_opened(body.as_py())[1], window)
+                symbols = recompress(own.hashes, own.doc, rounds)
+                name, n = np.unique(symbols.name[told(symbols, window)], return_counts=True)
+                texts = np.array(own.keys, dtype=_U).reshape(-1, 2)
+                more = (texts[:, 1] >> _U(33)).astype(np.int32) | 1
+                arrays = [
+                    np.concatenate((name, texts[:, 0])).view(np.int64),
+                    np.concatenate((np.zeros(len(name), dtype=np.int32), more)),
+                    np.concatenate((np.minimum(n, 2), np.minimum(own.copies, 2))).astype(np.int32),
+                    np.full(len(name) + len(texts), chunk.as_py(), dtype=np.int64),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["name", "part", "n", "chunk"])
 
-def _local_repeats(words: K.Words, hashes: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows equal another one here, and which of these need not be sent on."""
-    again, spare = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
-    if len(at) > 1:
-        h = [K.range_hash(K.prefix_hash(x, p), at, at + window, p) for x, p in zip((hashes, words.hashes(1)), K._WORD_POLY)]
-        order = np.lexsort((h[1], h[0]))
-        equal = (h[0][order][1:] == h[0][order][:-1]) & (h[1][order][1:] == h[1][order][:-1])
-        spare[order[1:]] = equal
-        again[order[:-1]] = equal
-        again |= spare
-    return again, spare
+    return chunks.mapInArrow(run, "name long, part int, n int, chunk long")
 
 
-def _stretches(at: np.ndarray) -> tuple[list[int], list[int]]:
-    """First and last of each run of consecutive numbers."""
-    if not len(at):
-        return [], []
-    gap = np.flatnonzero(np.diff(at) > 1)
-    return at[np.concatenate(([0], gap + 1))].tolist(), at[np.concatenate((gap, [len(at) - 1]))].tolist()
+def _longs(value) -> np.ndarray:
+    """A list of longs as an array; none is empty."""
+    return np.empty(0, dtype=np.int64) if value is None or not value.is_valid else value.values.to_numpy(zero_copy_only=False)
 
 
-def _find_candidates(joined: DataFrame, keep: list[str], window: int, rounds: int) -> DataFrame:
-    """n_words, and of texts with candidate windows the stretches of their starts.
+def _candidates(own: _Chunk, once, texts, again, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the windows that may repeat, and which distinct texts occur elsewhere too.
 
-    _first, _last: first and last start of each stretch that is to be compared; _sure,
-    _sure_last: of each one that is known to repeat.
+    once: names of symbols that occur once in the corpus.  texts, again: names of the
+    texts whose first chunk is this one, and whether they occur more than once.
     """
-    from pyspark.sql import types as T
+    symbols = recompress(own.hashes, own.doc, rounds)
+    at = told(symbols, window)
+    unique = at[np.isin(symbols.name[at], _longs(once).view(_U))]
+    found = candidates(own, symbols, unique, window)
+    alone = {t for t, more in zip(_longs(texts).tolist(), again.as_py() or ()) if not more} if texts.is_valid else set()
+    copied = np.array([x[0] - (1 << 64 if x[0] >> 63 else 0) not in alone for x in own.keys], dtype=bool)
+    return found, copied
 
-    new = T._parse_datatype_string("n_words long, _removed long, _whole boolean, _first array<int>, _last array<int>, _sure array<int>, _sure_last array<int>, _blob binary")
-    out = T.StructType([*(joined.schema[c] for c in keep), *new.fields])
 
-    def run(batches):
-        sent: set[int] = set()
-        for batch in batches:
-            for part in _few(batch, "_blob"):
-                own = _unpacked(part.column("_blob").to_pylist())
-                words = K.Words(own)
-                hashes = words.hashes()
-                symbols = recompress(words, hashes, rounds)
-                at = told(symbols, window)
-                lists = part.column("_shared").to_pylist()
-                salt = K.mix(np.arange(1, own.n + 1, dtype=_U))
-                known = [np.array(x, dtype=np.int64).view(_U) ^ salt[i] for i, x in enumerate(lists) if x]
-                mine = symbols.name[at] ^ salt[symbols.doc[at]]
-                common = np.isin(mine, np.concatenate(known)) if known else np.zeros(len(at), dtype=bool)
-                found = candidates(words, symbols, at[~common], window)
-                again, spare = _local_repeats(words, hashes, found, window)
-                sure, found = found[again], found[~spare]
-                by_doc, by_sure = np.searchsorted(found, words.first), np.searchsorted(sure, words.first)
-                whole = [bool(x) for x in part.column("_whole").to_pylist()]
-                keys = part.column("_k1").to_pylist()
-                stretches, removed = ([], [], [], []), []
-                for i in range(own.n):
-                    mine = found[by_doc[i] : by_doc[i + 1]] - words.first[i]
-                    known = sure[by_sure[i] : by_sure[i + 1]] - words.first[i]
-                    removed.append(int(words.count[i]) if whole[i] else 0)
-                    # copies of a text in one task compare its windows once
-                    none = not len(mine) and not len(known) or whole[i] and keys[i] in sent
-                    if whole[i] and not none and len(sent) < 200_000:
-                        sent.add(keys[i])
-                    got = (None,) * 4 if none else (*_stretches(mine), *_stretches(known))
-                    for column, value in zip(stretches, got):
-                        column.append(value)
-                arrays = [part.column(c) for c in keep]
-                arrays += [pa.array(words.count), pa.array(removed, type=pa.int64()), pa.array(whole)]
-                arrays += [pa.array(x, type=pa.list_(pa.int32())) for x in stretches]
-                yield pa.RecordBatch.from_arrays([*arrays, part.column("_blob")], names=out.names)
-
-    return joined.mapInArrow(run, out)
-
-
-def _window_rows(parsed: DataFrame, window: int) -> DataFrame:
-    """(_row, at, h1, h2) of all candidate windows, by two hashes of the words themselves."""
+def _window_rows(joined: DataFrame, window: int, rounds: int) -> DataFrame:
+    """(h1, h2, n, chunk, at): candidate windows, each once in a chunk; n is 2 if it repeats there.
+
+    Of the chunks with a copy of a text only the first one sends its windows.
+    """
 
     def run(batches):
         for batch in batches:
-            for part in _few(batch, "_blob", 1 << 17):
-                own = _unpacked(part.column("_blob").to_pylist())
-                words = K.Words(own)
-                first, last = part.column("_first").to_pylist(), part.column("_last").to_pylist()
-                rows = part.column("_row").to_numpy()
-                spans = [(i, a, b) for i in range(own.n) for a, b in zip(first[i], last[i])]
-                if not spans:
+            for chunk, body, *lists in _each(batch, "chunk", "body", "once", "texts", "again"):
+                own = _Chunk(_opened(body.as_py())[1], window)
+                found, copied = _candidates(own, *lists, window, rounds)
+                first = set(_longs(lists[1]).tolist())
+                mine = np.array([x[0] - (1 << 64 if x[0] >> 63 else 0) in first for x in own.keys], dtype=bool)
+                found = found[mine[own.doc[found]]] if len(found) else found
+                if not len(found):
                     continue
-                doc, a, b = (np.array(x, dtype=np.int64) for x in zip(*spans))
-                size = b - a + 1
-                inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                at, doc = np.repeat(a, size) + inner, np.repeat(doc, size)
-                place = at + words.first[doc]
-                h = [
-                    K.range_hash(K.prefix_hash(words.hashes(w), K._WORD_POLY[w]), place, place + window, K._WORD_POLY[w])
-                    for w in (0, 1)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[doc]), pa.array(at.astype(np.int32)), pa.array(_signed(h[0])), pa.array((h[1] >> _U(32)).astype(np.uint32).view(np.int32))],
-                    names=["_row", "at", "h1", "h2"],
-                )
+                h1, h2 = own.windows(found, window)
+                order = np.lexsort((h2, h1))
+                head = np.flatnonzero(np.concatenate(([True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]))))
+                n = np.diff(np.concatenate((head, [len(order)])))
+                one = order[head]
+                n = np.where(copied[own.doc[found[one]]], 2, np.minimum(n, 2)).astype(np.int32)
+                arrays = [h1[one].view(np.int64), h2[one].view(np.int64), n, np.full(len(one), chunk.as_py()), found[one].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["h1", "h2", "n", "chunk", "at"])
+
+    return joined.mapInArrow(run, "h1 long, h2 long, n int, chunk long, at int")
 
-    return parsed.select("_row", "_first", "_last", "_blob").mapInArrow(run, "_row long, at int, h1 long, h2 int")
 
+def mark_repeats(
+    docs: DataFrame, keep: list[str], *, text: str = "text", window: int = WINDOW, rounds: int = ROUNDS, chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
+    """``keep`` columns with n_words, n_removed and kept, the remaining words joined by spaces.
+
+    A word goes if some window of ``window`` words of its text that covers it starts
+    anywhere else too, in this text or another; windows are judged on the input.  Rows
+    with a null, empty or short text keep all words; rows with equal texts lose all if
+    they have ``window`` words.  A null text comes back empty.  ids play no part, so null and repeated ids are rows
+    like any other.  Columns of ``docs`` named like a result are replaced.
+    """
+    keep = [c for c in keep if c not in ("n_words", "n_removed", "kept")]
+    chunks = materialise(_chunks(docs, [c for c in keep if c != text], text, chunk_bytes))
+    counted = _symbol_rows(chunks, window, rounds).groupBy("name", "part").agg(F.sum("n").alias("n"), F.min("chunk").alias("chunk"))
+    symbol = F.col("part") == 0
+    # a chunk's own symbols and texts: as many as it has
+    told_back = counted.where(~symbol | (F.col("n") == 1)).groupBy(F.col("chunk").alias("_chunk")).agg(
+        F.collect_list(F.when(symbol, F.col("name"))).alias("once"),
+        F.collect_list(F.when(~symbol, F.struct("name", (F.col("n") > 1).alias("again")))).alias("_texts"),
+    )
+    told_back = told_back.select("_chunk", "once", F.col("_texts.name").alias("texts"), F.col("_texts.again").alias("again"))
+    joined = chunks.join(told_back, F.col("chunk") == F.col("_chunk"), "left").drop("_chunk")
+    windows = _window_rows(joined, window, rounds).groupBy("h1", "h2")
+    alone = windows.agg(F.sum("n").alias("n"), F.min("chunk").alias("_chunk"), F.min("at").alias("at")).where("n = 1")
+    alone = alone.groupBy("_chunk").agg(F.collect_list("at").alias("alone"))
+    return _apply(joined.join(alone, F.col("chunk") == F.col("_chunk"), "left"), docs, keep, text, window, rounds)
 
-def _apply(rows: DataFrame, keep: list[str], text: str, window: int) -> DataFrame:
-    """Cut what the repeated windows cover; n_removed >= 0 says all or nothing goes."""
-    from pyspark.sql import types as T
 
+def _apply(rows: DataFrame, docs: DataFrame, keep: list[str], text: str, window: int, rounds: int) -> DataFrame:
+    """Cut what the candidate windows cover, but for those that occur once."""
     inside = [c for c in keep if c != text]
-    fields = [T.StructField(c, T.StringType()) if c == text else rows.schema[c] for c in keep]
+    fields = [T.StructField(c, T.StringType()) if c == text else docs.schema[c] for c in keep]
     out = T.StructType([*fields, *T._parse_datatype_string("n_words long, n_removed long, kept string").fields])
 
     def run(batches):
         for batch in batches:
-            for part in _few(batch, "_blob"):
-                own = _unpacked(part.column("_blob").to_pylist())
-                words = K.Words(own)
-                removed, kept = [], []
-                names = ("_at", "_sure", "_sure_last", "n_removed")
-                for i, (starts, sure, sure_last, known) in enumerate(zip(*(part.column(c).to_pylist() for c in names))):
-                    lo, hi = int(words.first[i]), int(words.first[i + 1])
-                    if known is not None and known >= 0:
-                        gone = np.full(hi - lo, known > 0)
-                    else:
-                        begin = np.array((starts or []) + (sure or []), dtype=np.int64)
-                        last = np.array((starts or []) + (sure_last or []), dtype=np.int64)
-                        gone = K.run_mask(hi - lo, begin, last - begin + window)
-                    removed.append(int(gone.sum()))
-                    raw, left = own.data, np.flatnonzero(~gone) + lo
-                    kept.append(b" ".join(raw[s:e].tobytes() for s, e in zip(words.start[left], words.end[left])).decode())
-                source = {c: part.column(c) for c in inside}
-                if text in keep:
-                    raw, bounds = own.data.tobytes(), own.offsets.tolist()
-                    source[text] = pa.array([raw[a:b].decode() for a, b in zip(bounds, bounds[1:])], type=pa.string())
-                arrays = [source[c] for c in keep] + [part.column("n_words"), pa.array(removed), pa.array(kept, type=pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, names=out.names)
+            for body, once, texts, again, alone in _each(batch, "body", "once", "texts", "again", "alone"):
+                source, whole = _opened(body.as_py())
+                own = _Chunk(whole, window)
+                found, copied = _candidates(own, once, texts, again, window, rounds)
+                found = np.setdiff1d(found, _longs(alone), assume_unique=True)
+                gone = K.run_mask(len(own), found, window)
+                many = copied | (own.copies > 1)
+                gone |= many[own.doc] if len(gone) else gone
+                yield from _cut(source, whole, own, gone)
+
+    def _cut(source, whole, own, gone):
+        words, raw = own.words, whole.data
+        kept, removed = [], np.zeros(whole.n, dtype=np.int64)
+        for i in range(whole.n):
+            lo, hi = int(words.first[i]), int(words.first[i + 1])
+            if (d := int(own.of[i])) >= 0:
+                mine = gone[own.first[d] : own.first[d + 1]]
+                removed[i] = mine.sum()
+                left = np.flatnonzero(~mine) + lo
+            else:
+                left = np.arange(lo, hi)
+            kept.append(b" ".join([raw[s:e].tobytes() for s, e in zip(words.start[left].tolist(), words.end[left].tolist())]).decode())
+        columns = {c: source.column(i) for i, c in enumerate(inside)} | {text: source.column(source.num_columns - 1)}
+        every = [columns[c] for c in keep] + [pa.array(words.count.astype(np.int64)), pa.array(removed), pa.array(kept, type=pa.string())]
+        yield pa.RecordBatch.from_arrays(every, names=out.names)
 
     return rows.mapInArrow(run, out)
 

@@ -6,9 +6,13 @@ import numpy as np
 
 from docloom.llm import quality as Q
 
+_TM = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+_SWAP = str.maketrans("ab", "ba")
 CASES = [
     None, "", " \n\t", "one", "a b c d e f g h i j", "a b a b a b a b a b a b", "x#y $ | <b> %&*\n\nx#y $ | <b> %&*\n",
     "L one\nL one\nL one \n\nü É 1\n", "\n\n\n", "a\x0bb\x0cc\rd", "word " * 50_000, "ünïcode wörds 漢字 🚀 " * 9, "\nq", "q\n", "q\nq",
+    # a long word and its complement, as words and as lines: their polynomial hashes agree
+    "%s %s" % (_TM, _TM.translate(_SWAP)), "%s\n%s\n" % (_TM, _TM.translate(_SWAP)), " ".join(_TM + _TM.translate(_SWAP)),
 ]
 
 

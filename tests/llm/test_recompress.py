@@ -44,7 +44,7 @@ def test_equals_brute_force(spark, window, seed):
     own = texts(rnd, window)
     rows = [(i if i % 9 else None, t, i, "clash") for i, t in enumerate(own)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, i int, kept string").repartition(3)
-    got = {r.i: r for r in R.mark_repeats(docs, ["doc_id", "i", "text"], window=window).collect()}
+    got = {r.i: r for r in R.mark_repeats(docs, ["doc_id", "i", "text"], window=window, chunk_bytes=seed * 3000).collect()}
     assert len(got) == len(own)
     for i, want in enumerate(brute(own, window)):
         assert (got[i].n_words, got[i].n_removed, got[i].kept) == want, i
@@ -64,7 +64,7 @@ def test_every_window_keeps_its_inner_symbols(vocabulary):
         for line in lines:
             data = np.frombuffer(line.encode(), dtype=np.uint8)
             w = K.Words(K.Text(data, np.array([0, len(data)])))
-            s = R.recompress(w, w.hashes())
+            s = R.recompress(w.hashes(), w.doc)
             text = line.split()
             at = next(i for i in range(len(text)) if text[i : i + 40] == list(map(str, core)))
             inner = np.flatnonzero((s.low >= at) & (s.high <= at + 40))
@@ -85,6 +85,46 @@ def test_repeats_across_arrow_batches(spark):
     assert [(got[i].n_words, got[i].n_removed, got[i].kept) for i in range(40)] == brute(own, 8)
 
 
+def thue_morse(n, zero="a", one="b"):
+    return [one if bin(i).count("1") % 2 else zero for i in range(n)]
+
+
+def test_words_that_agree_modulo_powers_of_two(spark):
+    """Long words and rows of words whose polynomial hashes agree whatever the base is."""
+    word, complement = "".join(thue_morse(1024)), "".join(thue_morse(1024, "b", "a"))
+    same = ["w%d" % i for i in range(34)]
+    rows, other = thue_morse(2048, "x", "y"), thue_morse(2048, "y", "x")
+    own = [" ".join([*same, word]), " ".join([*same, complement]), " ".join(rows), " ".join(other), " ".join([*rows, "z", *other])]
+    docs = spark.createDataFrame(list(enumerate(own)), "i int, text string").repartition(2)
+    got = {r.i: r for r in R.mark_repeats(docs, ["i"]).collect()}
+    assert [(got[i].n_words, got[i].n_removed, got[i].kept) for i in range(5)] == brute(own, 35)
+    assert got[0].n_removed == got[1].n_removed == 0
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["_text", "_whole", "_at", "_shared", "_blob", "_row", "_k1", "chunk", "body", "n", "once", "t", "c0", "at"]
+    own = ["a b c d e f g h", "x y", "a b c d e f g h i", None]
+    docs = spark.createDataFrame([(t, *[f"{c}{i}" for c in names]) for i, t in enumerate(own)], ["text", *names])
+    got = R.mark_repeats(docs, names, window=5).collect()
+    assert sorted((r._row, r.once, r.n_removed) for r in got) == [("_row0", "once0", 8), ("_row1", "once1", 0), ("_row2", "once2", 8), ("_row3", "once3", 0)]
+
+
+def test_hashes_of_windows_and_bytes():
+    rnd = np.random.default_rng(3)
+    hashes = rnd.integers(0, 1 << 63, 500).astype(np.uint64)
+    for k in (1, 2, 3, 4, 5, 10, 35, 64):
+        every = K.window_hash(hashes, k, 1)
+        some = np.array([0, 7, len(every) - 1])
+        assert (K.window_hash_at(hashes, some, k, 1) == every[some]).all()
+        assert len(np.unique(every)) == len(every) == 501 - k
+        assert (K.window_hash(hashes[9 : 9 + k], k, 1) == every[9]).all()
+    data = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz" * 9, dtype=np.uint8)
+    spans = [(a, a + n) for n in (0, 1, 7, 8, 9, 16, 63, 64, 65, 150) for a in (0, 26, 52)]
+    start, end = (np.array(x) for x in zip(*spans))
+    got = K.bytes_hash(data, start, end).reshape(-1, 3)
+    assert (got == got[:, :1]).all() and len(np.unique(got)) == 10
+
+
 def test_query_and_empty(spark, tmp_path):
     own = texts(random.Random(5), 35)
     spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
