@@ -206,6 +206,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         at = to
 
 
+def unused(names: list[str], stem: str) -> str:
+    """``stem``, or a longer name, that none of ``names`` has in any case."""
+    taken = {n.lower() for n in names}
+    while stem in taken:
+        stem = f"_{stem}"
+    return stem
+
+
 def map_texts(df, text: str, keep: list[str], schema: str, work: Callable[[pa.RecordBatch, Text], dict], most: int = SLICE_BYTES):
     """``keep`` columns of ``df`` next to what ``work`` returns for each slice.
 

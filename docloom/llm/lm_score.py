@@ -1,14 +1,14 @@
 """Cross-entropy difference of a target and a background n-gram model.
 
-Both models are interpolated bigram models over one vocabulary.  The background model
-counts all documents, the target model those labelled good.  The vocabulary is every
-word that occurs at least ``LEAST_COUNT`` times in the corpus; other words fall into
-classes by their last characters.  Bigrams that occur as often are kept; others get
-their mass from the unigram level.  So the models grow with the corpus.
+Both models are interpolated bigram models over one vocabulary, all words of the corpus.
+The background model counts all documents, the target model those labelled good; no word
+or pair is left out, so the models grow with the corpus.  A document is scored by models
+that have not seen it: its own counts are taken off first.
 
-A small model is sent to all executors.  A larger one stays in distributed tables:
-only its most frequent entries, whose number is bounded by their share of all words,
-are sent out, and all others are joined.  Both ways give the same scores.
+Models are never gathered.  Texts are stored in chunks; each chunk sends its distinct
+words and pairs, as sorted and compressed keys, to the ranges of a table that is dealt
+by key, and gets back what the rest of the corpus counts for them, in the same order.
+A word or pair of all documents is one key a chunk.
 
 A document's score is the mean over its words of the target model's loss minus the
 background model's: low means alike to the target.
@@ -16,384 +16,194 @@ background model's: low means alike to the target.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .chunks import each, opened, pack
 from .storage import materialise, read
 
-LEAST_COUNT = 2
-#: Share of all words from which a word or pair of a large model is sent to all executors; rarer ones are joined
-LEAST_WORD_SHARE, LEAST_PAIR_SHARE = 5e-6, 2e-6
-#: A model with at most so many words and pairs is sent out whole
-LOCAL_WORDS, LOCAL_PAIRS = 200_000, 500_000
-CLASSES = 512
+#: Share of the bigram level, and what is added to each word's count
 WEIGHT, ADD = 0.7, 0.5
+CHUNK_BYTES = 4 << 20
+#: Bytes of corpus text for each range of the table: a task holds the keys of one range
+RANGE_BYTES = 16 << 20
+#: Labels of at most so many good rows are sent to all executors
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
-_BEFORE = 0x5851F42D4C957F2D  # tells the key of a word before from that of the word
-_COUNT = 200_000  # distinct n-grams that a task holds before it sends their counts on
+#: Keys have 56 bits: odd ones are words, even ones pairs; two stand for starts of texts and for all words
+_BITS, _START, _ALL = 56, 0, 2
+_BEFORE = _U(0x5851F42D4C957F2D)
 
 
-def flagged(docs: DataFrame, labels: DataFrame, *, row_id: str, label_id: str, quality: str, broadcast_rows: int) -> DataFrame:
-    """``docs`` with ``_target``: labelled good.  The labels are sent out while they are few."""
-    good = labels.where(F.col(quality) > 0).select(F.col(label_id).alias("_label")).where("_label is not null").distinct()
-    few = good.count() <= broadcast_rows
-    joined = docs.join(F.broadcast(good) if few else good, F.col(row_id) == F.col("_label"), "left")
-    out = joined.withColumn("_target", F.col("_label").isNotNull()).drop("_label")
-    return out if few else materialise(out)
+class Counts:
+    """Distinct keys of a chunk, sorted, and how often all and the target's texts have them."""
 
+    def __init__(self, own: K.Text, target: np.ndarray):
+        words = self.words = K.Words(own)
+        hashes = words.hashes(lower=True)
+        before = np.full(len(hashes), _BEFORE, dtype=_U)
+        if len(hashes) > 1:
+            before[1:] = np.where(words.doc[1:] == words.doc[:-1], hashes[:-1], _BEFORE)
+        drop = _U(64 - _BITS)
+        word = hashes >> drop | _U(1)
+        pair = K.combine(before, hashes, 1) >> drop & _U((1 << _BITS) - 2)
+        filled = np.flatnonzero(words.count)
+        special = np.array([_START, _ALL], dtype=_U)
+        self.keys, place = np.unique(np.concatenate((word, pair, special)), return_inverse=True)
+        n = len(word)
+        self.word, self.pair, (self.start, self.all) = place[:n], place[n : 2 * n], place[2 * n :]
+        self.n = np.zeros((2, len(self.keys)), dtype=np.int64)
+        for m, weight in ((0, np.ones(own.n)), (1, target.astype(np.float64))):
+            each_word = weight[words.doc]
+            sums = np.bincount(self.word, each_word, len(self.keys)) + np.bincount(self.pair, each_word, len(self.keys))
+            sums[self.start] += weight[filled].sum()
+            sums[self.all] += each_word.sum()
+            self.n[m] = sums.astype(np.int64)
 
-def _counted(docs: DataFrame, text: str, grams) -> DataFrame:
-    """(gram, background, target): sums over all documents of what ``grams`` finds in a slice."""
+    def ranges(self, many: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the key ranges that the keys fall into, and where each starts."""
+        number = ((self.keys >> _U(24)) * _U(many) >> _U(32)).astype(np.int64)
+        return np.unique(number, return_index=True)
 
-    def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+    def own(self, place: np.ndarray) -> np.ndarray:
+        """How often each word's text has the word's key."""
+        both = self.words.doc.astype(np.int64) * len(self.keys) + place
+        _, at, n = np.unique(both, return_inverse=True, return_counts=True)
+        return n[at]
 
-        def told():
-            gram = np.concatenate([h[0] for h in held])
-            every, place = np.unique(gram, return_inverse=True)
-            sums = [np.bincount(place, weights=np.concatenate([h[k] for h in held]), minlength=len(every)).astype(np.int64) for k in (1, 2)]
-            return every, *sums
 
-        def sent(rows):
-            arrays = [pa.array(rows[0].view(np.int64)), pa.array(rows[1]), pa.array(rows[2])]
-            return pa.RecordBatch.from_arrays(arrays, names=["gram", "background", "target"])
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of 64-bit values, all first bytes first."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
-        for batch in batches:
-            for part, own in K.slices(batch, text):
-                gram, doc = grams(K.Words(own))
-                target = np.asarray(part.column("_target").to_numpy(zero_copy_only=False), dtype=np.float64)
-                every, place = np.unique(gram, return_inverse=True)
-                held.append((every, np.bincount(place, minlength=len(every)), np.bincount(place, weights=target[doc], minlength=len(every))))
-                size += len(every)
-                if size > 2 * _COUNT:
-                    held = [told()]
-                    size = len(held[0][0])
-                    if size > _COUNT:
-                        yield sent(held[0])
-                        held, size = [], 0
-        if held:
-            yield sent(told())
-
-    rows = docs.select(text, "_target").mapInArrow(run, "gram long, background long, target long")
-    return rows.groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def _endings(words: K.Words, classes: int) -> np.ndarray:
-    """Class of each word by its last three bytes and its length up to 15."""
-    data = words.text.data
-    out = np.minimum(words.end - words.start, 15).astype(_U)
-    for k in (1, 2, 3):
-        at = words.end - k
-        byte = np.where(at >= words.start, data[np.maximum(at, 0)], 0).astype(_U)
-        out = out << _U(8) | byte
-    return K.mix(out + _U(1)) % _U(classes)
-
-
-@dataclass
-class Vocabulary:
-    """Hashes of known words, sorted; ids follow after the classes of other words."""
-
-    known: np.ndarray
-    classes: int
-
-    @property
-    def size(self) -> int:
-        return self.classes + len(self.known)
-
-    def ids(self, words: K.Words) -> np.ndarray:
-        hashes = words.hashes(lower=True)
-        at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
-        found = self.known[at] == hashes if len(self.known) else np.zeros(len(hashes), dtype=bool)
-        out = (at + self.classes).astype(np.int64)
-        other = np.flatnonzero(~found)
-        if len(other):
-            out[other] = _endings(words, self.classes)[other].astype(np.int64)
-        return out
-
-
-def bigrams(words: K.Words, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(first id * size + second id, document) of neighbouring words; the first word of a text follows the id ``size``."""
-    ids = vocabulary.ids(words)
-    before = np.full(len(ids), vocabulary.size, dtype=np.int64)
-    if len(ids) > 1:
-        before[1:] = np.where(words.doc[1:] == words.doc[:-1], ids[:-1], vocabulary.size)
-    return (before * vocabulary.size + ids).astype(_U), words.doc
-
-
-@dataclass
-class Model:
-    """Log probabilities of words and of pairs for both models; what is not kept backs off.
-
-    The probability of b after a is ``WEIGHT * count(ab) / count(a) + rest * p(b)``,
-    where the rest is what kept pairs after a leave over.
-    """
 
-    vocabulary: Vocabulary
-    pairs: np.ndarray
-    word: np.ndarray  # [2, size] background, target
-    pair: np.ndarray  # [2, pairs]: loss of a kept pair
-    rest: np.ndarray  # [2, size + 1]: share that is left to the unigram level
-
-    def losses(self, words: K.Words) -> tuple[np.ndarray, np.ndarray]:
-        """Background and target loss of each word, in bits."""
-        gram, _ = bigrams(words, self.vocabulary)
-        size = _U(self.vocabulary.size)
-        a, b = (gram // size).astype(np.int64), (gram % size).astype(np.int64)
-        at = np.minimum(np.searchsorted(self.pairs, gram), max(len(self.pairs) - 1, 0))
-        kept = self.pairs[at] == gram if len(self.pairs) else np.zeros(len(gram), dtype=bool)
-        out = []
-        for m in (0, 1):
-            p = self.rest[m][a] * self.word[m][b]
-            if len(self.pairs):
-                p = p + np.where(kept, self.pair[m][at], 0.0)
-            out.append(-np.log2(p))
-        return out[0], out[1]
-
-
-def build(vocabulary: Vocabulary, pairs: np.ndarray, pair_counts: np.ndarray, word_counts: np.ndarray, before: np.ndarray) -> Model:
-    """Model from counts: kept pairs [2, pairs], ids [2, size], and ids as first of a pair [2, size + 1]."""
-    word = (word_counts + ADD) / (word_counts.sum(axis=1, keepdims=True) + ADD * vocabulary.size)
-    first = (pairs // _U(vocabulary.size)).astype(np.int64)
-    share = WEIGHT * pair_counts / np.maximum(before[:, first], 1)
-    given = np.stack([np.bincount(first, weights=share[m], minlength=vocabulary.size + 1) for m in (0, 1)])
-    return Model(vocabulary, pairs, word, share, 1.0 - given)
-
-
-def train(docs: DataFrame, *, text: str = "text", classes: int = CLASSES, local_words: int = LOCAL_WORDS, local_pairs: int = LOCAL_PAIRS) -> Model | None:
-    """Both models from ``docs`` with ``_target``, or None if they have too many words or pairs for the driver."""
-    counted = materialise(_counted(docs, text, lambda words: (words.hashes(lower=True), words.doc)))
-    frequent = counted.where(F.col("background") >= LEAST_COUNT)
-    if frequent.count() > local_words:
-        return None
-    known = np.sort(np.array([r[0] for r in frequent.select("gram").collect()], dtype=np.int64).view(_U))
-    vocabulary = Vocabulary(known, classes)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    size = vocabulary.size
-    grams = materialise(_counted(docs, text, lambda words: bigrams(words, shared.value)))
-    kept = grams.where(F.col("background") >= LEAST_COUNT)
-    if kept.count() > local_pairs:
-        return None
-    counts = []
-    for part, n in ((F.col("gram") % size, size), (F.floor(F.col("gram") / size), size + 1)):
-        by_id = grams.groupBy(part.cast("long").alias("id")).agg(F.sum("background").alias("b"), F.sum("target").alias("t"))
-        got = by_id.toPandas()
-        table = np.zeros((2, n))
-        table[0, got["id"]], table[1, got["id"]] = got["b"], got["t"]
-        counts.append(table)
-    often = kept.toPandas().sort_values("gram")
-    pairs = often["gram"].to_numpy(dtype=np.int64).view(_U)
-    return build(vocabulary, pairs, often[["background", "target"]].to_numpy(dtype=np.float64).T, *counts)
-
-
-# --- models in tables -----------------------------------------------------------------
-
-
-def _named(words: K.Words, rare: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of words and of what stands before each, and the key of each pair.
-
-    A known word's id is its hash, a word among the sorted ``rare`` has its class, and
-    the id before a text is ``classes``.
-    """
-    ids = words.hashes(lower=True)
-    if len(rare):
-        at = np.minimum(np.searchsorted(rare, ids), len(rare) - 1)
-        other = rare[at] == ids
-        ids[other] = _endings(words, classes)[other]
-    before = np.full(len(ids), classes, dtype=_U)
-    if len(ids) > 1:
-        before[1:] = np.where(words.doc[1:] == words.doc[:-1], ids[:-1], _U(classes))
-    return ids, before, K.mix(before * _U(0x9E3779B97F4A7C15) + ids)
+def _values(raw: bytes, width: int, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(width, n).T
+    return out.reshape(-1).view("<u8")
 
 
-def _rare_of(part: pa.RecordBatch) -> np.ndarray:
-    """Hashes of all words that the slice's ``_rare`` calls unknown; each is so in the whole corpus."""
-    said = part.column("_rare").flatten().to_numpy(zero_copy_only=False)
-    return np.unique(said.astype(np.int64).view(_U))
+def _request(keys: np.ndarray, n: np.ndarray) -> bytes:
+    gaps = np.diff(keys, prepend=_U(0))
+    return _planes(gaps, 7) + _planes(n[0].astype(_U), 4) + _planes(n[1].astype(_U), 4)
 
 
-def _word_table(docs: DataFrame, text: str, classes: int) -> DataFrame:
-    """(gram, background, target, class, own, last_background, last_target) of each word.
+def _requested(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(raw) // 15
+    gaps, every, target = _values(raw[: 7 * n], 7, n), _values(raw[7 * n : 11 * n], 4, n), _values(raw[11 * n :], 4, n)
+    return np.cumsum(gaps, dtype=_U), every.astype(np.int64), target.astype(np.int64)
 
-    ``own``: hash of a text with the word, the only one if the word occurs once; the
-    last two count where a word ends a text.
-    """
 
-    def run(batches):
-        for batch in batches:
-            for part, own in K.slices(batch, text):
-                words = K.Words(own)
-                gram, first, place = np.unique(words.hashes(lower=True), return_index=True, return_inverse=True)
-                target = np.asarray(part.column("_target").to_numpy(zero_copy_only=False), dtype=np.float64)[words.doc]
-                last = np.ones(len(words))
-                last[:-1] = words.doc[1:] != words.doc[:-1]
-                sums = [np.bincount(place, weights=w, minlength=len(gram)).astype(np.int64) for w in (np.ones(len(words)), target, last, last * target)]
-                key = np.asarray(part.column("_key").to_numpy(zero_copy_only=False))[words.doc[first]]
-                arrays = [gram.view(np.int64), *sums[:2], _endings(words, classes)[first].astype(np.int64), key, *sums[2:]]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
-
-    names = ["gram", "background", "target", "class", "own", "last_background", "last_target"]
-    rows = docs.select(text, "_target", F.xxhash64(text).alias("_key")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
-    added = [F.sum(n).alias(n) for n in ("background", "target", "last_background", "last_target")]
-    return rows.groupBy("gram").agg(*added, F.min("class").alias("class"), F.min("own").alias("own"))
-
-
-def _pair_table(docs: DataFrame, text: str, classes: int) -> DataFrame:
-    """(gram, a, b, background, target) of each pair of ids that occurs often enough."""
-
-    def run(batches):
-        for batch in batches:
-            for part, own in K.slices(batch, text):
-                words = K.Words(own)
-                ids, before, pair = _named(words, _rare_of(part), classes)
-                gram, first, place = np.unique(pair, return_index=True, return_inverse=True)
-                target = np.asarray(part.column("_target").to_numpy(zero_copy_only=False), dtype=np.float64)[words.doc]
-                sums = [np.bincount(place, weights=w, minlength=len(gram)).astype(np.int64) for w in (np.ones(len(words)), target)]
-                arrays = [gram.view(np.int64), before[first].view(np.int64), ids[first].view(np.int64), *sums]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["gram", "a", "b", "background", "target"])
-
-    rows = docs.select(text, "_target", "_rare").mapInArrow(run, "gram long, a long, b long, background long, target long")
-    every = rows.groupBy("gram").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.sum("background").alias("background"), F.sum("target").alias("target"))
-    return every.where(F.col("background") >= LEAST_COUNT)
+def _target(rows: int, good) -> np.ndarray:
+    out = np.zeros(rows, dtype=bool)
+    if good.is_valid:
+        out[good.values.to_numpy(zero_copy_only=False)] = True
+    return out
 
 
-def _looked_up(rows: DataFrame, key: str, table: DataFrame, head) -> DataFrame:
-    """``rows`` with the columns of ``table`` at id ``key``; those where ``head`` holds are sent out.
-
-    A row with a frequent key goes anywhere in the join with the others, so that no key gathers many rows.
-    """
-    more = [c for c in table.columns if c != "id"]
-    few = F.broadcast(table.where(head).select(F.col("id").alias(key), *(F.col(c).alias(f"_head_{c}") for c in more)))
-    rows = rows.join(few, key, "left")
-    rows = rows.withColumn("_deal", F.when(F.col(f"_head_{more[0]}").isNotNull(), F.xxhash64("gram")).otherwise(F.col(key)))
-    rest = table.where(~head).select(F.col("id").alias("_deal"), *(F.col(c).alias(f"_rest_{c}") for c in more))
-    rows = rows.join(rest, "_deal", "left")
-    found = [F.coalesce(f"_head_{c}", f"_rest_{c}").alias(f"{c}_{key}") for c in more]
-    return rows.select(*[c for c in rows.columns if c != "_deal" and not c.startswith(("_head_", "_rest_"))], *found)
+def _requests(chunks: DataFrame, many: int) -> DataFrame:
+    """(range, chunk, body): the keys and counts of each chunk for each range of keys."""
 
+    def run(batches):
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for chunk, body, good in each(batch, "chunk", "body", "good"):
+                own = opened(body.as_py())[1]
+                counts = Counts(own, _target(own.n, good))
+                number, at = counts.ranges(many)
+                ends = [*at[1:].tolist(), len(counts.keys)]
+                bodies = [packer.compress(_request(counts.keys[a:b], counts.n[:, a:b])) for a, b in zip(at.tolist(), ends)]
+                arrays = [pa.array(number), pa.array(np.full(len(at), chunk.as_py())), pa.array(bodies, type=pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["range", "chunk", "body"])
 
-def _collected(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and their [2, keys] values."""
-    got = table.toPandas()
-    keys = got["key"].to_numpy(dtype=np.int64).view(_U)
-    order = np.argsort(keys)
-    return keys[order], got[["vb", "vt"]].to_numpy(dtype=np.float64).T[:, order]
+    return chunks.mapInArrow(run, "range long, chunk long, body binary")
 
 
-def score_by_tables(
-    docs: DataFrame,
-    keep: list[str],
-    *,
-    text: str = "text",
-    classes: int = CLASSES,
-    least_word_share: float = LEAST_WORD_SHARE,
-    least_pair_share: float = LEAST_PAIR_SHARE,
-) -> DataFrame:
-    """As ``score`` with the model of ``docs``, whatever its size.
+def _replies(requests: DataFrame) -> DataFrame:
+    """(chunk, range, body, n): what all other chunks count for the keys of a request.
 
-    A word's loss is the sum of three values: one of the word before, one of the word,
-    and one of the pair, which is 0 unless the pair is kept.  A text's frequent keys
-    are summed where it is read; the others are joined with the values.
+    A row with chunk -1 has in n the distinct words of the range.
     """
-    keep = [c for c in keep if c not in ("n_words", "target_loss", "background_loss", "score")]
-    words = materialise(_word_table(docs, text, classes))
-    known = F.col("background") >= LEAST_COUNT
-    total, total_target, size = words.agg(F.sum("background"), F.sum("target"), F.count_if(known)).first()
-    total, total_target, size = total or 0, total_target or 0, size + classes
-    rare = words.where(~known).groupBy(F.col("own").alias("_own")).agg(F.collect_list("gram").alias("_rare"))
-    own = docs.join(rare, F.xxhash64(text) == F.col("_own"), "left").drop("_own")
-    own = own.withColumn("_rare", F.coalesce("_rare", F.array().cast("array<long>")))
-    pairs = materialise(_pair_table(own, text, classes))
-
-    # counts of each id, and what kept pairs after it leave to the unigram level
-    sums = [F.sum(n).alias(n) for n in ("background", "target", "last_background", "last_target")]
-    ids = words.groupBy(F.when(known, F.col("gram")).otherwise(F.col("class")).alias("id")).agg(*sums)
-    starts = docs.where(F.regexp_like(F.col(text), F.lit("[^ \\t-\\r]")))
-    start = starts.agg(F.count("*").alias("background"), F.coalesce(F.sum(F.col("_target").cast("long")), F.lit(0)).alias("target"))
-    start = start.select(F.lit(classes).cast("long").alias("id"), "background", "target", F.lit(0).cast("long").alias("last_background"), F.lit(0).cast("long").alias("last_target"))
-    kept = pairs.groupBy(F.col("a").alias("id")).agg(F.sum("background").alias("kb"), F.sum("target").alias("kt"))
-    table = ids.unionByName(start).join(kept, "id", "left")
-    loss = lambda x: -F.log2(x)
-    columns = []
-    for m, n, every in (("b", "background", total), ("t", "target", total_target)):
-        first = F.greatest(F.col(n) - F.col(f"last_{n}"), F.lit(1))
-        columns += [first.alias(f"first_{m}"), loss(1 - WEIGHT * F.coalesce(f"k{m}", F.lit(0)) / first).alias(f"rest_{m}")]
-        columns += [loss((F.col(n) + ADD) / (every + ADD * size)).alias(f"word_{m}")]
-    often = F.greatest(F.lit(LEAST_COUNT), F.lit(least_word_share) * total)
-    table = materialise(table.select("id", *columns, ((F.col("background") >= often) | F.col("id").between(0, classes)).alias("often")))
-    head = F.col("often")
-    full = _looked_up(_looked_up(pairs, "a", table.select("id", "first_b", "first_t", "rest_b", "rest_t", "often"), head), "b", table.select("id", "word_b", "word_t", "often"), head)
-    values = []
-    for m, n in (("b", "background"), ("t", "target")):
-        least = F.col(f"rest_{m}_a") + F.col(f"word_{m}_b")
-        p = F.pow(F.lit(2.0), -least) + WEIGHT * F.col(n) / F.col(f"first_{m}_a")
-        values.append((loss(p) - least).alias(f"v{m}"))
-    often_pair = F.col("background") >= F.greatest(F.lit(LEAST_COUNT), F.lit(least_pair_share) * total)
-    pair_values = materialise(full.select(F.col("gram").alias("key"), *values, often_pair.alias("often")))
-    # an id has one key as a word before and another one as a word
-    before = table.select(F.col("id").bitwiseXOR(F.lit(_BEFORE)).alias("key"), F.col("rest_b").alias("vb"), F.col("rest_t").alias("vt"), "often")
-    after = table.where(F.col("id") != classes).select(F.col("id").alias("key"), F.col("word_b").alias("vb"), F.col("word_t").alias("vt"), "often")
-    every = pair_values.unionByName(before).unionByName(after)
-    shared = docs.sparkSession.sparkContext.broadcast([_collected(x.where(head)) for x in (before, after, pair_values)])
 
     def run(batches):
+        held: list[tuple[int, bytes]] = []
+        now = None
         for batch in batches:
-            for part, said in K.slices(batch, text):
-                found = K.Words(said)
-                word, first, pair = _named(found, _rare_of(part), classes)
-                sums, open_keys, open_docs = np.zeros((2, said.n)), [], []
-                for keys, (there, value) in zip((first ^ _U(_BEFORE), word, pair), shared.value):
-                    at = np.minimum(np.searchsorted(there, keys), max(len(there) - 1, 0))
-                    here = there[at] == keys if len(there) else np.zeros(len(keys), dtype=bool)
-                    for m in (0, 1):
-                        if len(there):
-                            sums[m] += np.bincount(found.doc[here], weights=value[m][at[here]], minlength=said.n)
-                    open_keys.append(keys[~here])
-                    open_docs.append(found.doc[~here])
-                key, doc = np.concatenate(open_keys), np.concatenate(open_docs)
-                order = np.argsort(doc, kind="stable")
-                bounds = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=said.n)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(key[order].view(np.int64)))
-                arrays = [part.column(c) for c in keep] + [pa.array(found.count.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), lists]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_words", "_sb", "_st", "_open"])
-
-    source = own.select(*keep, *([text] if text not in keep else []), "_rare")
-    fields = T._parse_datatype_string("n_words long, _sb double, _st double, _open array<long>").fields
-    read_once = source.mapInArrow(run, T.StructType([*(source.schema[c] for c in keep), *fields]))
-    read_once = materialise(read_once.withColumn("_row", F.monotonically_increasing_id()))
-    asked = read_once.select("_row", F.explode("_open").alias("key")).join(every.where(~head), "key")
-    rest = asked.groupBy("_row").agg(F.sum("vb").alias("_rb"), F.sum("vt").alias("_rt"))
-    out = read_once.join(rest, "_row", "left")
-    mean = lambda a, b: F.when(F.col("n_words") > 0, (F.col(a) + F.coalesce(b, F.lit(0.0))) / F.col("n_words"))
-    out = out.select(*keep, "n_words", mean("_st", "_rt").alias("target_loss"), mean("_sb", "_rb").alias("background_loss"))
-    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
-
-
-def score(docs: DataFrame, model: Model, keep: list[str], *, text: str = "text") -> DataFrame:
-    """``keep`` columns, n_words, target_loss, background_loss (bits a word) and score.
-
-    A text without words (null, empty, blank) has 0 words and null losses.
+            for number, chunk, body in each(batch, "range", "chunk", "body"):
+                if (number := number.as_py()) != now:
+                    yield from done(now, held)
+                    held, now = [], number
+                held.append((chunk.as_py(), body.as_py()))
+        yield from done(now, held)
+
+    def done(number, held) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        opener, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        parts = [_requested(opener.decompress(body)) for _, body in held]
+        keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        sums = [np.bincount(place, np.concatenate([p[m] for p in parts]), len(keys)).astype(np.int64) for m in (1, 2)]
+        at, out = 0, []
+        for (chunk, _), part in zip(held, parts):
+            mine = place[at : at + len(part[0])]
+            at += len(mine)
+            rest = [_planes((sums[m - 1][mine] - part[m]).astype(_U), 8) for m in (1, 2)]
+            out.append((chunk, number, packer.compress(b"".join(rest)), None))
+        out.append((-1, number, None, int((keys & _U(1)).sum())))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
+        for lo in range(0, len(out), 512):
+            columns = zip(*out[lo : lo + 512])
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["chunk", "range", "body", "n"])
+
+    dealt = requests.repartition("range").sortWithinPartitions("range", "chunk")
+    return dealt.mapInArrow(run, "chunk long, range long, body binary, n long")
+
+
+def losses(counts: Counts, rest: np.ndarray, target: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Loss in bits of each word of a chunk under the background and the target model, its own text left out.
+
+    ``rest``: what other chunks count for each key.  ``vocabulary``: distinct words of the corpus.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def work(_, own: K.Text) -> dict:
-        words = K.Words(own)
-        background, target = shared.value.losses(words)
-        n = np.maximum(words.count, 1)
-        none = words.count == 0
-        means = [np.bincount(words.doc, weights=x, minlength=own.n) / n for x in (target, background)]
-        columns = [*means, means[0] - means[1]]
-        out = {name: pa.array(x, mask=none) for name, x in zip(("target_loss", "background_loss", "score"), columns)}
-        return out | {"n_words": words.count}
-
-    return K.map_texts(docs, text, keep, "n_words long, target_loss double, background_loss double, score double", work)
+    words = counts.words
+    total = counts.n + rest
+    word, pair = counts.own(counts.word), counts.own(counts.pair)
+    first = np.ones(len(word), dtype=bool)
+    first[1:] = words.doc[1:] != words.doc[:-1]
+    context = np.where(first, counts.start, np.concatenate(([0], counts.word[:-1])))
+    before = np.where(first, 1, np.concatenate(([0], word[:-1])))
+    out = []
+    for m in (0, 1):
+        seen = np.ones(len(word), dtype=np.int64) if m == 0 else target[words.doc].astype(np.int64)
+        a = total[m][context] - before * seen
+        ab = total[m][counts.pair] - pair * seen
+        b = total[m][counts.word] - word * seen
+        n = total[m][counts.all] - words.count[words.doc] * seen
+        p = (b + ADD) / (n + ADD * (vocabulary + 1))
+        p = np.where(a > 0, WEIGHT * ab / np.maximum(a, 1) + (1 - WEIGHT) * p, p)
+        out.append(-np.log2(p))
+    return out[0], out[1]
+
+
+def _chunks(docs: DataFrame, good: DataFrame, keep: list[str], text: str, row_id: str, chunk_bytes: int, broadcast_rows: int) -> DataFrame:
+    """(chunk, size, body, good): all rows, and the places of those whose id is in ``good`` (_key)."""
+    key = F.when(F.col(row_id).isNotNull(), F.xxhash64(F.col(row_id)))
+    if good.count() <= broadcast_rows:
+        name = K.unused(docs.columns, "good")
+        known = good.select(F.col("_key").alias(name))
+        packed = pack(docs.join(F.broadcast(known), key == F.col(name), "left"), keep, text, chunk_bytes=chunk_bytes, key=F.col(name))
+        places = F.expr("filter(sequence(0, size(keys) - 1), i -> keys[i] is not null)")
+        return materialise(packed.withColumn("good", places).drop("keys"))
+    packed = materialise(pack(docs, keep, text, chunk_bytes=chunk_bytes, key=key))
+    asked = packed.select("chunk", F.posexplode("keys").alias("_at", "_key")).where("_key is not null")
+    listed = asked.join(good, "_key", "left_semi").groupBy(F.col("chunk").alias("_chunk")).agg(F.collect_list("_at").alias("good"))
+    return materialise(packed.drop("keys").join(listed, F.col("chunk") == F.col("_chunk"), "left").drop("_chunk"))
 
 
 def cross_entropy_difference(
@@ -406,23 +216,62 @@ def cross_entropy_difference(
     label_id: str = "doc_id",
     quality: str = "quality",
     broadcast_rows: int = BROADCAST_ROWS,
-    classes: int = CLASSES,
-    local_words: int = LOCAL_WORDS,
-    local_pairs: int = LOCAL_PAIRS,
-    **options,
+    chunk_bytes: int = CHUNK_BYTES,
+    range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
-    """Scores of all ``docs``; the target is what ``labels`` call good.
+    """``keep`` columns, n_words, target_loss, background_loss (bits a word) and score.
 
-    Words are compared with ASCII letters lower-cased.  Rows with a null or repeated id
-    are scored like any other, and a label counts for each row of its id.  Without
-    good rows the target model is uniform over the vocabulary.  Columns named like a
-    result are replaced.
+    The target is what ``labels`` call good.  Words are compared with ASCII letters
+    lower-cased.  A text without words (null, empty, blank) has 0 words and null losses.
+    Rows with a null or repeated id are scored like any other, and a label counts for
+    each row of its id; a null id has no label.  Each row is left out of the models that
+    score it, but its copies are not.  Without good rows the target model is uniform
+    over the vocabulary.  Columns of ``docs`` named like a result are replaced; a null
+    text that is kept comes back empty.
     """
-    known = flagged(docs, labels, row_id=row_id, label_id=label_id, quality=quality, broadcast_rows=broadcast_rows)
-    model = train(known, text=text, classes=classes, local_words=local_words, local_pairs=local_pairs)
-    if model is not None:
-        return score(docs, model, keep, text=text)
-    return score_by_tables(known, keep, text=text, classes=classes, **options)
+    keep = [c for c in keep if c not in ("n_words", "target_loss", "background_loss", "score")]
+    inside = [c for c in keep if c != text]
+    good = labels.where((F.col(quality) > 0) & F.col(label_id).isNotNull())
+    good = good.select(F.xxhash64(F.col(label_id).cast(docs.schema[row_id].dataType)).alias("_key")).distinct()
+    chunks = _chunks(docs, good, inside, text, row_id, chunk_bytes, broadcast_rows)
+    size = chunks.agg(F.sum("size")).first()[0] or 0
+    many = max(1, -(-size // range_bytes))
+    replies = materialise(_replies(_requests(chunks, many)))
+    vocabulary = replies.where("chunk < 0").agg(F.sum("n")).first()[0] or 0
+    # as many replies as there are ranges, and as many counts as the chunk has keys
+    told = replies.where("chunk >= 0").groupBy(F.col("chunk").alias("_chunk")).agg(F.collect_list(F.struct("range", "body")).alias("told"))
+    joined = chunks.join(told, F.col("chunk") == F.col("_chunk"), "left")
+    fields = [docs.schema[c] for c in keep]
+    new = T._parse_datatype_string("n_words long, target_loss double, background_loss double, score double").fields
+    out = T.StructType([*fields, *new])
+
+    def run(batches):
+        opener = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for body, good, told in each(batch, "body", "good", "told"):
+                source, own = opened(body.as_py())
+                target = _target(own.n, good)
+                counts = Counts(own, target)
+                rest = np.zeros((2, len(counts.keys)), dtype=np.int64)
+                at = 0
+                for one in sorted(told.as_py() or (), key=lambda x: x["range"]):
+                    raw = opener.decompress(one["body"])
+                    n = len(raw) // 16
+                    for m in (0, 1):
+                        rest[m, at : at + n] = _values(raw[8 * n * m : 8 * n * (m + 1)], 8, n).astype(np.int64)
+                    at += n
+                yield scored(source, own, counts, losses(counts, rest, target, vocabulary))
+
+    def scored(source, own, counts, loss) -> pa.RecordBatch:
+        words = counts.words
+        n, none = np.maximum(words.count, 1), words.count == 0
+        background, target = (np.bincount(words.doc, x, own.n) / n for x in loss)
+        columns = {c: source.column(i) for i, c in enumerate(inside)} | {text: source.column(source.num_columns - 1)}
+        arrays = [columns[c] for c in keep] + [pa.array(words.count.astype(np.int64))]
+        arrays += [pa.array(x, mask=none) for x in (target, background, target - background)]
+        return pa.RecordBatch.from_arrays(arrays, names=out.names)
+
+    return joined.mapInArrow(run, out)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

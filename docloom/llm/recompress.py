@@ -25,27 +25,22 @@ without any algebra that could make unlike texts agree.
 from __future__ import annotations
 
 import hashlib
-import io
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .chunks import CHUNK_BYTES, each, opened, pack
 from .storage import materialise, read
 
 WINDOW = 35
 ROUNDS = 6
 #: Shorter symbols are not counted: alone they say little about a window
 LEAST_WORDS = 3
-#: Bytes of text of a chunk; a longer text is a chunk of its own
-CHUNK_BYTES = 2 << 20
 _FAR = 1 << 40
 _U, _MASK = np.uint64, (1 << 64) - 1
 _A, _B, _C = _U(0xD1B54A32D192ED03), _U(0x8CB92BA72F3D8DD7), _U(0xAAAAAAAAAAAAAAAB)
@@ -191,53 +186,6 @@ def recompress(hashes: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> Sym
     return out
 
 
-def _chunks(docs: DataFrame, keep: list[str], text: str, chunk_bytes: int) -> DataFrame:
-    """(chunk, body): all rows, packed in the order of a task; the text is the last column of a body."""
-    source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("t"))
-
-    def run(batches):
-        task, k = TaskContext.get().partitionId(), 0
-        held: list[pa.RecordBatch] = []
-        size = 0
-        packer = zstandard.ZstdCompressor(level=1)
-
-        def packed():
-            nonlocal k
-            out = io.BytesIO()
-            table = pa.Table.from_batches(held).combine_chunks()
-            with pa.ipc.new_stream(out, table.schema) as writer:
-                writer.write_table(table)
-            k += 1
-            body = packer.compress(out.getvalue())
-            return pa.RecordBatch.from_arrays([pa.array([task << 33 | k]), pa.array([body], type=pa.binary())], names=["chunk", "body"])
-
-        for batch in batches:
-            for part, own in K.slices(batch, "t"):
-                if held and size + len(own.data) > chunk_bytes:
-                    yield packed()
-                    held, size = [], 0
-                held.append(part)
-                size += len(own.data)
-        if held:
-            yield packed()
-
-    return source.mapInArrow(run, "chunk long, body binary")
-
-
-def _opened(body: bytes) -> tuple[pa.RecordBatch, K.Text]:
-    raw = zstandard.ZstdDecompressor().decompress(body)
-    table = pa.ipc.open_stream(raw).read_all().combine_chunks()
-    batch = table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], schema=table.schema)
-    return batch, K.as_text(batch.column(batch.num_columns - 1))
-
-
-def _each(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
-    """Values of one row at a time; a row is a chunk."""
-    at = [batch.schema.get_field_index(c) for c in columns]
-    for i in range(batch.num_rows):
-        yield tuple(batch.column(j)[i] for j in at)
-
-
 def _symbol_rows(chunks: DataFrame, window: int, rounds: int) -> DataFrame:
     """(name, part, n, chunk): counted symbols of each chunk, with part 0, and a row for each long text.
 
@@ -246,8 +194,8 @@ def _symbol_rows(chunks: DataFrame, window: int, rounds: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for chunk, body in _each(batch, "chunk", "body"):
-                own = _Chunk(_opened(body.as_py())[1], window)
+            for chunk, body in each(batch, "chunk", "body"):
+                own = _Chunk(opened(body.as_py())[1], window)
                 symbols = recompress(own.hashes, own.doc, rounds)
                 name, n = np.unique(symbols.name[told(symbols, window)], return_counts=True)
                 texts = np.array(own.keys, dtype=_U).reshape(-1, 2)
@@ -291,8 +239,8 @@ def _window_rows(joined: DataFrame, window: int, rounds: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for chunk, body, *lists in _each(batch, "chunk", "body", "once", "texts", "again"):
-                own = _Chunk(_opened(body.as_py())[1], window)
+            for chunk, body, *lists in each(batch, "chunk", "body", "once", "texts", "again"):
+                own = _Chunk(opened(body.as_py())[1], window)
                 found, copied = _candidates(own, *lists, window, rounds)
                 first = set(_longs(lists[1]).tolist())
                 mine = np.array([x[0] - (1 << 64 if x[0] >> 63 else 0) in first for x in own.keys], dtype=bool)
@@ -323,7 +271,7 @@ def mark_repeats(
     like any other.  Columns of ``docs`` named like a result are replaced.
     """
     keep = [c for c in keep if c not in ("n_words", "n_removed", "kept")]
-    chunks = materialise(_chunks(docs, [c for c in keep if c != text], text, chunk_bytes))
+    chunks = materialise(pack(docs, [c for c in keep if c != text], text, chunk_bytes=chunk_bytes).select("chunk", "body"))
     counted = _symbol_rows(chunks, window, rounds).groupBy("name", "part").agg(F.sum("n").alias("n"), F.min("chunk").alias("chunk"))
     symbol = F.col("part") == 0
     # a chunk's own symbols and texts: as many as it has
@@ -347,8 +295,8 @@ def _apply(rows: DataFrame, docs: DataFrame, keep: list[str], text: str, window:
 
     def run(batches):
         for batch in batches:
-            for body, once, texts, again, alone in _each(batch, "body", "once", "texts", "again", "alone"):
-                source, whole = _opened(body.as_py())
+            for body, once, texts, again, alone in each(batch, "body", "once", "texts", "again", "alone"):
+                source, whole = opened(body.as_py())
                 own = _Chunk(whole, window)
                 found, copied = _candidates(own, once, texts, again, window, rounds)
                 found = np.setdiff1d(found, _longs(alone), assume_unique=True)

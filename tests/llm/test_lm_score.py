@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -9,12 +10,6 @@ from docloom.llm import kernels as K
 from docloom.llm import lm_score as L
 
 
-def slice_of(texts):
-    raw = [t.encode() for t in texts]
-    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    return K.Words(K.Text(data, np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)))
-
-
 def corpus(rnd):
     good = ["alpha", "beta", "gamma", "delta"]
     bad = ["spam", "buy", "now", "win"]
@@ -28,69 +23,52 @@ def corpus(rnd):
 
 
 def brute(docs, labels):
-    """Plain dictionaries: the same model, word by word."""
-    good = {k for k, q, _ in labels if q}
-    total = sum(len((t or "").split()) for _, t in docs)
-    counts = Counter(w for _, t in docs for w in (t or "").lower().split())
-    known = {w for w, n in counts.items() if n >= max(2, L.LEAST_WORD_SHARE * total)}
-    known_classes = {}
-
-    def name(w):
-        if w in known:
-            return w
-        if w not in known_classes:
-            known_classes[w] = int(L._endings(slice_of([w]), L.CLASSES)[0])
-        return known_classes[w]
-
-    size = L.CLASSES + len(known)
-    models = []
-    pairs = Counter()
-    for k, t in docs:
-        ids = [None, *map(name, (t or "").lower().split())]
-        pairs.update(zip(ids, ids[1:]))
-    kept = {p for p, n in pairs.items() if n >= max(2, L.LEAST_PAIR_SHARE * total)}
-    for part in (docs, [d for d in docs if d[0] in good]):
-        uni, bi, first = Counter(), Counter(), Counter()
-        for _, t in part:
-            ids = [None, *map(name, (t or "").lower().split())]
-            uni.update(ids[1:])
-            bi.update(zip(ids, ids[1:]))
-            first.update(ids[:-1])
-        models.append((uni, bi, first))
-
-    def loss(m, a, b):
-        uni, bi, first = models[m]
-        word = (uni[b] + L.ADD) / (sum(uni.values()) + L.ADD * size)
-        share = lambda x, y: L.WEIGHT * bi[x, y] / max(first[x], 1)
-        rest = 1 - sum(share(*p) for p in kept if p[0] == a)
-        return -math.log2(rest * word + (share(a, b) if (a, b) in kept else 0))
-
-    out = {}
-    for k, t in docs:
-        ids = [None, *map(name, (t or "").lower().split())]
-        each = [(loss(0, a, b), loss(1, a, b)) for a, b in zip(ids, ids[1:])]
-        n = len(each)
-        out[k] = (n, *(sum(e[m] for e in each) / n for m in (1, 0))) if n else (0, None, None)
+    """Plain dictionaries: the same models, counted anew without each document."""
+    good = {k for k, q, _ in labels if q and k is not None}
+    lists = [(k, [w.lower() for w in re.findall(r"[^ \t-\r]+", t or "")]) for k, t in docs]
+    vocabulary = len({w for _, own in lists for w in own})
+    every = []
+    for m in (0, 1):
+        uni, bi = Counter(), Counter()
+        for k, own in lists:
+            if m == 0 or k in good:
+                uni.update([None, *own] if own else [])
+                bi.update(zip([None, *own], own))
+        every.append((uni, bi))
+    out = []
+    for k, own in lists:
+        means = []
+        for m, (uni, bi) in enumerate(every):
+            mine = m == 0 or k in good
+            less = Counter([None, *own]) if mine else Counter()
+            less_pairs = Counter(zip([None, *own], own)) if mine else Counter()
+            n = sum(uni.values()) - uni[None] - (len(own) if mine else 0)
+            total = 0
+            for a, b in zip([None, *own], own):
+                p = (uni[b] - less[b] + L.ADD) / (n + L.ADD * (vocabulary + 1))
+                if (first := uni[a] - less[a]) > 0:
+                    p = L.WEIGHT * (bi[a, b] - less_pairs[a, b]) / first + (1 - L.WEIGHT) * p
+                total -= math.log2(p)
+            means.append(total / len(own) if own else None)
+        out.append((k, len(own), means[1], means[0]))
     return out
 
 
-@pytest.mark.parametrize("broadcast_rows", [1000, 0])
-def test_equals_dictionaries(spark, broadcast_rows):
+def rounded(rows):
+    return sorted((str(k), n, *(None if x is None else round(x, 6) for x in more)) for k, n, *more in rows)
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0}, {"chunk_bytes": 300, "range_bytes": 500}, {"chunk_bytes": 1, "broadcast_rows": 0}])
+def test_equals_dictionaries(spark, options):
     docs, labels = corpus(random.Random(1))
-    docs += [(500, None), (501, ""), (502, "Unseen words Unseen alpha"), (503, "the " * 20_000)]
-    frame = spark.createDataFrame([(k, t, "x") for k, t in docs], "doc_id long, text string, score string").repartition(3)
-    said = spark.createDataFrame([*labels, (None, 1, 0)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in L.cross_entropy_difference(frame, said, ["doc_id"], broadcast_rows=broadcast_rows).collect()}
-    want = brute(docs, labels)
-    assert len(got) == len(docs)
-    for k, (n, target, background) in want.items():
-        assert got[k].n_words == n
-        if n:
-            assert got[k].target_loss == pytest.approx(target)
-            assert got[k].background_loss == pytest.approx(background)
-            assert got[k].score == pytest.approx(target - background)
-        else:
-            assert got[k].score is None
+    docs += [(500, None), (501, ""), (502, "Unseen words Unseen alpha"), (503, "the " * 5_000), (2, "one id, another text"), (None, "no id")]
+    docs += [(504, "a pair of copies"), (505, "a pair of copies")]
+    frame = spark.createDataFrame([(k, t, "x", "y") for k, t in docs], "doc_id long, text string, score string, _label string").repartition(3)
+    said = spark.createDataFrame([*labels, (None, 1, 0), (2, 0, 0)], "doc_id int, quality int, toxic int")
+    got = L.cross_entropy_difference(frame, said, ["doc_id", "_label"], **options).collect()
+    assert rounded((r.doc_id, r.n_words, r.target_loss, r.background_loss) for r in got) == rounded(brute(docs, labels))
+    assert all(r.score is None if r.n_words == 0 else r.score == pytest.approx(r.target_loss - r.background_loss) for r in got)
+    assert {r._label for r in got} == {"y"}
 
 
 def test_held_out_documents_are_told_apart(spark, tmp_path):
@@ -103,16 +81,32 @@ def test_held_out_documents_are_told_apart(spark, tmp_path):
     assert max(good) < min(bad)
 
 
-def test_probabilities_sum_to_one(spark):
-    docs, labels = corpus(random.Random(3))
-    frame = spark.createDataFrame([(*d, d[0] % 2 == 0) for d in docs], "doc_id long, text string, _target boolean")
-    model = L.train(frame)
-    size = model.vocabulary.size
-    for m in (0, 1):
-        assert model.word[m].sum() == pytest.approx(1)
-        first = (model.pairs // np.uint64(size)).astype(int)
-        for a in set(first.tolist()):
-            assert model.rest[m][a] + model.pair[m][first == a].sum() == pytest.approx(1)
+def test_probabilities_sum_to_one():
+    """After a word, the chances of all words of the vocabulary and of an unknown one are one in all, but for ends of texts."""
+    rnd = random.Random(3)
+    said = [rnd.choices("abcd", k=50) for _ in range(8)]
+    raw = [" ".join(w).encode() for w in said]
+    text = K.Text(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+    counts = L.Counts(text, np.ones(8, dtype=bool))
+    background, target = L.losses(counts, np.zeros((2, len(counts.keys))), np.ones(8, dtype=bool), 4)
+    assert (background == target).all()
+    own = [w for x in said for w in x]
+    for d in range(8):
+        rest = [x for i, x in enumerate(said) if i != d]
+        unseen = L.ADD / (350 + L.ADD * 5)
+        for a in "abcd":
+            ends = sum(x[-1] == a for x in rest) / sum(x.count(a) for x in rest)
+            chances = {own[i]: 2 ** -background[i] for i in range(50 * d + 1, 50 * d + 50) if own[i - 1] == a}
+            if len(chances) == 4:
+                assert sum(chances.values()) + (1 - L.WEIGHT) * unseen + L.WEIGHT * ends == pytest.approx(1)
+
+
+def test_keys_and_counts_survive_packing():
+    rnd = np.random.default_rng(1)
+    keys = np.unique(rnd.integers(0, 1 << 56, 1000).astype(np.uint64))
+    n = rnd.integers(0, 1 << 31, (2, len(keys)))
+    got = L._requested(L._request(keys, n))
+    assert (got[0] == keys).all() and (got[1] == n[0]).all() and (got[2] == n[1]).all()
 
 
 def test_empty_tables(spark):
@@ -121,27 +115,3 @@ def test_empty_tables(spark):
     assert L.cross_entropy_difference(docs, labels, ["doc_id"]).count() == 0
     some = spark.createDataFrame([(1, "a b a b")], "doc_id long, text string")
     assert L.cross_entropy_difference(some, labels, ["doc_id"]).first().n_words == 4
-
-
-@pytest.mark.parametrize("shares", [{}, {"least_word_share": 0.02, "least_pair_share": 0.01}, {"least_word_share": 2.0, "least_pair_share": 2.0}])
-@pytest.mark.parametrize("local_words", [L.LOCAL_WORDS, 0])
-def test_rare_words_and_pairs_count_whatever_the_size(spark, local_words, shares):
-    docs, labels = corpus(random.Random(4))
-    docs += [(600, "twice here twice here"), (601, "Only once, never twice alpha"), (602, None), (602, "alpha alpha"), (None, " "), (603, "the " * 5000)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    said = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    options = shares if local_words == 0 else {}
-    got = {(r.doc_id, r.n_words): r for r in L.cross_entropy_difference(frame, said, ["doc_id"], local_words=local_words, **options).collect()}
-    assert len(got) == len(docs)
-    want = brute([d for d in docs if d[0] not in (None, 602)] + [(602, "alpha alpha")], labels)
-    for k, (n, target, background) in want.items():
-        row = got[k, n]
-        assert (row.target_loss, row.background_loss) == (pytest.approx(target), pytest.approx(background))
-    assert got[602, 0].score is None and got[None, 0].score is None
-
-
-def test_words_are_kept_by_count_not_by_share(spark):
-    docs = [(1, "pair made pair made"), *((i, "the " * 20_000) for i in range(2, 40))]
-    frame = spark.createDataFrame([(*d, d[0] == 1) for d in docs], "doc_id long, text string, _target boolean")
-    model = L.train(frame)
-    assert len(model.vocabulary.known) == 3 and len(model.pairs) == 3
