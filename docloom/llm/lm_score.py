@@ -67,10 +67,10 @@ class Counts:
             sums[self.all] += each_word.sum()
             self.n[m] = sums.astype(np.int64)
 
-    def ranges(self, many: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the key ranges that the keys fall into, and where each starts."""
-        number = ((self.keys >> _U(24)) * _U(many) >> _U(32)).astype(np.int64)
-        return np.unique(number, return_index=True)
+    def ranges(self, many: int) -> list[int]:
+        """Where each range of keys starts, and the end."""
+        number = (self.keys >> _U(24)) * _U(many) >> _U(32)
+        return np.searchsorted(number, np.arange(many + 1).astype(_U)).tolist()
 
     def own(self, place: np.ndarray) -> np.ndarray:
         """How often each word's text has the word's key."""
@@ -109,7 +109,7 @@ def _target(rows: int, good) -> np.ndarray:
 
 
 def _requests(chunks: DataFrame, many: int) -> DataFrame:
-    """(range, chunk, body): the keys and counts of each chunk for each range of keys."""
+    """(range, chunk, body): the keys and counts of each chunk for every range of keys."""
 
     def run(batches):
         packer = zstandard.ZstdCompressor(level=1)
@@ -117,20 +117,16 @@ def _requests(chunks: DataFrame, many: int) -> DataFrame:
             for chunk, body, good in each(batch, "chunk", "body", "good"):
                 own = opened(body.as_py())[1]
                 counts = Counts(own, _target(own.n, good))
-                number, at = counts.ranges(many)
-                ends = [*at[1:].tolist(), len(counts.keys)]
-                bodies = [packer.compress(_request(counts.keys[a:b], counts.n[:, a:b])) for a, b in zip(at.tolist(), ends)]
-                arrays = [pa.array(number), pa.array(np.full(len(at), chunk.as_py())), pa.array(bodies, type=pa.binary())]
+                at = counts.ranges(many)
+                bodies = [packer.compress(_request(counts.keys[a:b], counts.n[:, a:b])) for a, b in zip(at, at[1:])]
+                arrays = [pa.array(np.arange(many)), pa.array(np.full(many, chunk.as_py())), pa.array(bodies, type=pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["range", "chunk", "body"])
 
     return chunks.mapInArrow(run, "range long, chunk long, body binary")
 
 
 def _replies(requests: DataFrame) -> DataFrame:
-    """(chunk, range, body, n): what all other chunks count for the keys of a request.
-
-    A row with chunk -1 has in n the distinct words of the range.
-    """
+    """(chunk, range, body, words): what all other chunks count for the keys of a request, and the distinct words of the range."""
 
     def run(batches):
         held: list[tuple[int, bytes]] = []
@@ -151,19 +147,19 @@ def _replies(requests: DataFrame) -> DataFrame:
         keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         sums = [np.bincount(place, np.concatenate([p[m] for p in parts]), len(keys)).astype(np.int64) for m in (1, 2)]
         at, out = 0, []
+        distinct = int((keys & _U(1)).sum())
         for (chunk, _), part in zip(held, parts):
             mine = place[at : at + len(part[0])]
             at += len(mine)
             rest = [_planes((sums[m - 1][mine] - part[m]).astype(_U), 8) for m in (1, 2)]
-            out.append((chunk, number, packer.compress(b"".join(rest)), None))
-        out.append((-1, number, None, int((keys & _U(1)).sum())))
+            out.append((chunk, number, packer.compress(b"".join(rest)), distinct))
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
         for lo in range(0, len(out), 512):
             columns = zip(*out[lo : lo + 512])
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["chunk", "range", "body", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["chunk", "range", "body", "words"])
 
     dealt = requests.repartition("range").sortWithinPartitions("range", "chunk")
-    return dealt.mapInArrow(run, "chunk long, range long, body binary, n long")
+    return dealt.mapInArrow(run, "chunk long, range long, body binary, words long")
 
 
 def losses(counts: Counts, rest: np.ndarray, target: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,10 +232,9 @@ def cross_entropy_difference(
     chunks = _chunks(docs, good, inside, text, row_id, chunk_bytes, broadcast_rows)
     size = chunks.agg(F.sum("size")).first()[0] or 0
     many = max(1, -(-size // range_bytes))
-    replies = materialise(_replies(_requests(chunks, many)))
-    vocabulary = replies.where("chunk < 0").agg(F.sum("n")).first()[0] or 0
     # as many replies as there are ranges, and as many counts as the chunk has keys
-    told = replies.where("chunk >= 0").groupBy(F.col("chunk").alias("_chunk")).agg(F.collect_list(F.struct("range", "body")).alias("told"))
+    replies = _replies(_requests(chunks, many)).groupBy(F.col("chunk").alias("_chunk"))
+    told = replies.agg(F.collect_list(F.struct("range", "body")).alias("told"), F.sum("words").alias("vocabulary"))
     joined = chunks.join(told, F.col("chunk") == F.col("_chunk"), "left")
     fields = [docs.schema[c] for c in keep]
     new = T._parse_datatype_string("n_words long, target_loss double, background_loss double, score double").fields
@@ -248,7 +243,7 @@ def cross_entropy_difference(
     def run(batches):
         opener = zstandard.ZstdDecompressor()
         for batch in batches:
-            for body, good, told in each(batch, "body", "good", "told"):
+            for body, good, told, vocabulary in each(batch, "body", "good", "told", "vocabulary"):
                 source, own = opened(body.as_py())
                 target = _target(own.n, good)
                 counts = Counts(own, target)
@@ -260,7 +255,7 @@ def cross_entropy_difference(
                     for m in (0, 1):
                         rest[m, at : at + n] = _values(raw[8 * n * m : 8 * n * (m + 1)], 8, n).astype(np.int64)
                     at += n
-                yield scored(source, own, counts, losses(counts, rest, target, vocabulary))
+                yield scored(source, own, counts, losses(counts, rest, target, vocabulary.as_py()))
 
     def scored(source, own, counts, loss) -> pa.RecordBatch:
         words = counts.words
