@@ -3,10 +3,10 @@
 Plain identifiers are found by fixed rules.  For disguised ones the text goes through
 a chain of transducers: homoglyphs and other scripts' digits become ASCII, invisible
 characters go, spelled digits become digits, and at/dot disguises become ``@`` and
-``.``.  Each output character carries the source range that it was made from, so an
-identifier found in the output maps back to source characters.  Only spans that the
-chain has changed, and that are not plain spans of the same kind, are added; they may
-overlap plain ones.
+``.``.  Each transducer keeps its edits in order, so an identifier found in the output
+maps back to source characters by bisection.  Only spans that the chain has changed,
+and that are not plain spans of the same kind, are added; they may overlap plain ones.
+All steps take linear time, and memory in proportion to the edits.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -105,25 +107,26 @@ _SPELLED = {
 _AT_WORDS, _DOT_WORDS = "at arroba arobase", "dot punkt punto point"
 
 _DIGIT_WORDS = {w: str(d) for words in _SPELLED.values() for d, w in enumerate(words.split())} | {"oh": "0"}
-_OTHER = re.compile(
-    "[" + "".join(map(re.escape, _LOOKALIKES)) + _INVISIBLE + "！-～٠-٩۰-۹०-९\U0001d400-\U0001d7ff]"
-)
 _one = "(?:" + "|".join(sorted(map(re.escape, _DIGIT_WORDS), key=len, reverse=True)) + ")"
 _SEPARATOR = r"(?:[ ]?[,-][ ]?|[ ])"
 #: at least three digits spelled out one after another, possibly among written ones
 _RUN = re.compile(rf"(?<!\w)(?:(?:{_one}|[0-9])(?:{_SEPARATOR})){{2,}}(?:{_one}|[0-9])(?!\w)", re.I)
 _WORD = re.compile(rf"(?<!\w){_one}(?!\w)", re.I)
+_SEPARATED = re.compile(_SEPARATOR)
 _at, _dot = _AT_WORDS.replace(" ", "|"), _DOT_WORDS.replace(" ", "|")
 _BRACKETS = re.compile(rf"\s?[\[({{<]\s?(?:(?P<at>{_at}|@)|(?P<dot>{_dot}|\.))\s?[\])}}>]\s?", re.I)
-_LABEL = "[A-Za-z0-9-]+"
-# Endings that an address written in words must have; prose has other words there.
-_ENDINGS = "com org net edu gov info biz dev app io co uk de fr es eu us ca ch nl be pt mx ar br"
-_ending = "(?:" + _ENDINGS.replace(" ", "|") + r")(?![\w-])"
-#: a whole address in words or with blanks around @; "at" without a dot word is ordinary prose
-_PROSE = re.compile(
-    rf"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.|[ ](?:{_dot})[ ])[A-Za-z0-9_%+-]+)*(?P<at>[ ](?:{_at})[ ]|[ ]@[ ]|@){_LABEL}(?:(?:[ ](?:{_dot})[ ]|\.){_LABEL})*(?:[ ](?:{_dot})[ ]|\.){_ending}", re.I
+# Endings that an address with a word for a mark may have; prose has other words there.
+_ENDINGS = frozenset(
+    "com org net edu gov mil int info biz name pro mobi dev app io ai co xyz online site store tech cloud shop blog wiki news email museum travel jobs coop aero uk de fr es eu us ca ch nl be pt mx ar br jp cn ru kr pl cz dk fi au nz ie gr hu ro ua tr za".split()
 )
-_DOT_WORD = re.compile(rf"[ ](?:{_dot})[ ]", re.I)
+# Endings of countries that are words as well; they must end a sentence or the text.
+_WORD_ENDINGS = frozenset("am an as at be by do en et he hi id il im in is it la lo ma me mi mu my no of on or pa pm re se si so st su to tu un va we".split())
+_LOCAL_WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
+_LABEL = re.compile("[A-Za-z0-9-]+")
+#: the mark of an address in words, or with blanks around @
+_AT_MARK = re.compile(rf"[ ](?:{_at})[ ]|[ ]@[ ]|@", re.I)
+_DOT_MARK = re.compile(rf"[ ](?:{_dot})[ ]|\.", re.I)
+_DOTS = tuple(f" {w} " for w in _DOT_WORDS.split())
 _DIGIT_DOT = re.compile(rf"(?<=[0-9])[ ](?:{_dot})[ ](?=[0-9])", re.I)
 _PLUS = re.compile(r"(?<!\w)plus[ ](?=[0-9])", re.I)
 _TRIGGER_WORDS = frozenset(_DIGIT_WORDS)
@@ -133,8 +136,6 @@ _MARK = re.compile(rf"(?:[\[({{<]\s?(?:{_at}|{_dot}|@|\.)\s?[\])}}>])|[ ](?:{_do
 def _fold(c: str) -> str:
     if c in _LOOKALIKES:
         return _LOOKALIKES[c]
-    if c in _INVISIBLE:
-        return ""
     plain = unicodedata.normalize("NFKC", c)
     if len(plain) == 1 and plain.isascii():
         return plain
@@ -142,45 +143,125 @@ def _fold(c: str) -> str:
     return c if value is None else str(value)
 
 
+def _folding() -> dict[int, str]:
+    """Look-alikes, full-width forms, mathematical letters and the digits of some scripts, each as one ASCII character."""
+    ranges = ((0xFF01, 0xFF5E), (0x660, 0x669), (0x6F0, 0x6F9), (0x966, 0x96F), (0x1D400, 0x1D7FF))
+    every = [*map(ord, _LOOKALIKES), *(c for a, b in ranges for c in range(a, b + 1))]
+    return {c: f for c in every if (f := _fold(chr(c))) != chr(c)}
+
+
+_FOLDED = _folding()
+_NO_GLYPH = re.compile(f"[{_INVISIBLE}]+")
+
+
 class Mapped:
-    """A text with the source range of each of its characters."""
+    """A text after some edits, which lead back to the source."""
 
-    def __init__(self, text: str):
-        self.text = text
-        self.start = list(range(len(text)))
-        self.end = list(range(1, len(text) + 1))
-        self.changed = bytearray(len(text))
+    def __init__(self, source: str, text: str):
+        self.source, self.text = source, text
+        #: of each transducer, its edits in order: start and end after it and before it
+        self.layers: list[tuple[array, array, array, array]] = []
 
     def replace(self, edits: Iterable[tuple[int, int, str]]) -> None:
         """Apply (start, end, new) edits, in order and not overlapping."""
-        text, start, end, changed, at = [], [], [], bytearray(), 0
+        text, at, size, own = [], 0, 0, tuple(array("q") for _ in range(4))
         for a, b, new in edits:
             text += (self.text[at:a], new)
-            lo, hi = (self.start[a], self.end[b - 1])
-            start += self.start[at:a] + [lo] * len(new)
-            end += self.end[at:a] + [hi] * len(new)
-            changed += self.changed[at:a] + b"\x01" * len(new)
-            if not new and changed:  # what stands next to a removed character has changed too
-                changed[-1] = 1
+            size += a - at
+            for column, value in zip(own, (size, size + len(new), a, b)):
+                column.append(value)
+            size += len(new)
             at = b
         if at:
             self.text = "".join([*text, self.text[at:]])
-            self.start, self.end = start + self.start[at:], end + self.end[at:]
-            self.changed = changed + self.changed[at:]
-
-    def source(self, a: int, b: int) -> tuple[int, int]:
-        return self.start[a], self.end[b - 1]
+            self.layers.append(own)
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        """The source range of a range of the text."""
+        for start, end, before, after in reversed(self.layers):
+            i, j = bisect_right(start, a) - 1, bisect_right(start, b - 1) - 1
+            a = a if i < 0 else before[i] if a < end[i] else a - end[i] + after[i]
+            b = b if j < 0 else after[j] if b <= end[j] else b - end[j] + after[j]
+        return a, b
+
+
+def _has_digit_word(text: str) -> bool:
+    """Whether a spelled digit stands between blanks and marks; a piece of the text at a time."""
+    step = 1 << 20
+    for at in range(0, len(text), step):
+        if not _TRIGGER_WORDS.isdisjoint(re.split(r"[\s,;.-]+", text[max(0, at - 16) : at + step].lower())):
+            return True
+    return False
+
+
+def _local_start(text: str, free: int, at: int) -> int | None:
+    """Where the words and dot marks that end at ``at`` begin, not before ``free``."""
+    start = at
+    while True:
+        word = start
+        while word > free and text[word - 1] in _LOCAL_WORD:
+            word -= 1
+        if word == start:
+            return None
+        if word > free and text[word - 1] == ".":
+            mark = word - 1
+        else:
+            mark = next((word - len(d) for d in _DOTS if word - len(d) >= free and text[word - len(d) : word].lower() == d), word)
+        if mark == word or mark <= free or text[mark - 1] not in _LOCAL_WORD:
+            before = text[word - 1] if word else " "
+            return None if before.isalnum() or before in "_.%+-" else word
+        start = mark
+
+
+def _domain_end(text: str, at: int) -> int | None:
+    """Where the labels and dot marks that start at ``at`` end with a known ending."""
+    found, spoken, first = None, False, True
+    while m := _LABEL.match(text, at):
+        label, after = m.group().lower(), text[m.end() : m.end() + 1]
+        if label in _AT_SET and not spoken and not first:
+            break
+        if not first and not (after.isalnum() or after == "_"):
+            plain = label in _ENDINGS
+            country = spoken and len(label) == 2 and label.isalpha()
+            if plain and label not in _WORD_ENDINGS or (plain or country) and (label not in _WORD_ENDINGS or after in _STOPS):
+                found = m.end()
+        mark = _DOT_MARK.match(text, m.end())
+        if not mark or mark.end() > mark.start() + 1 and label in _AT_SET and not first:
+            break
+        spoken, first, at = mark.end() > mark.start() + 1, False, mark.end()
+    return found
+
+
+_AT_SET = frozenset(_AT_WORDS.split())
+_STOPS = ("", ".", ",", ";", ":", "!", "?", ")", "\n", '"')
+
+
+def _spoken_addresses(text: str) -> list[tuple[int, int, str]]:
+    """Edits that turn addresses in words, or with blanks around @, into plain ones."""
+    out, free, at = [], 0, 0
+    while m := _AT_MARK.search(text, at):
+        at = m.start() + 1
+        start = _local_start(text, free, m.start())
+        free_after = m.start() + 1
+        if start is not None and (end := _domain_end(text, m.end())) is not None:
+            dots = [(d.start(), d.end(), ".") for part in ((start, m.start()), (m.end(), end)) for d in _DOT_MARK.finditer(text, *part) if d.group() != "."]
+            if dots or m.group() == " @ ":
+                out += sorted([*dots, *([(*m.span(), "@")] if m.group() != "@" else [])])
+                free_after = at = end
+        free = max(free, free_after)
+    return out
 
 
 def normalise(text: str) -> Mapped | None:
     """The text after all transducers, or None if none of them has work."""
-    other = _OTHER.search(text) is not None
-    spelled = not _TRIGGER_WORDS.isdisjoint(re.split(r"[\s,;.-]+", text.lower()))
-    if not (other or spelled or _MARK.search(text)):
-        return None
-    out = Mapped(text)
-    if other:
-        out.replace((m.start(), m.end(), f) for m in _OTHER.finditer(out.text) if (f := _fold(m.group())) != m.group())
+    folded = text if text.isascii() else text.translate(_FOLDED)
+    hidden = not text.isascii() and _NO_GLYPH.search(text) is not None
+    if folded is text or folded == text:
+        if not (hidden or _MARK.search(text) or _has_digit_word(text)):
+            return None
+    out = Mapped(text, folded)
+    if hidden:
+        out.replace((*m.span(), "") for m in _NO_GLYPH.finditer(out.text))
     edits = []
     for run in _RUN.finditer(out.text):
         words = list(_WORD.finditer(out.text, run.start(), run.end()))
@@ -188,19 +269,13 @@ def normalise(text: str) -> Mapped | None:
             continue
         # words joined to the next digit; a separator between written digits stays
         for word in words:
-            stop = re.compile(_SEPARATOR).match(out.text, word.end(), run.end())
+            stop = _SEPARATED.match(out.text, word.end(), run.end())
             edits.append((word.start(), stop.end() if stop and stop.end() < run.end() else word.end(), _DIGIT_WORDS[word.group().lower()]))
     out.replace(edits)
     out.replace([(m.start(), m.end(), "+") for m in _PLUS.finditer(out.text)])
     out.replace([(m.start(), m.end(), "@" if m.group("at") else ".") for m in _BRACKETS.finditer(out.text)])
     out.replace([(m.start(), m.end(), ".") for m in _DIGIT_DOT.finditer(out.text)])
-    edits = []
-    for m in _PROSE.finditer(out.text):
-        dots = [(d.start(), d.end(), ".") for d in _DOT_WORD.finditer(out.text, m.start(), m.end())]
-        at = [(*m.span("at"), "@")] if m.group("at") != "@" else []
-        if dots or m.group("at") == " @ ":
-            edits += sorted(dots + at)
-    out.replace(edits)
+    out.replace(_spoken_addresses(out.text))
     return out
 
 
@@ -216,12 +291,11 @@ def find_disguised(text: str, plain: dict[str, list[tuple[int, int]]]) -> list[t
     out = []
     for kind, spans in find(mapped.text).items():
         for a, b in spans:
-            if not any(mapped.changed[a:b]):
-                continue
-            if kind == "email" and not _TOP.search(mapped.text[a:b]):
+            said = mapped.text[a:b]
+            if kind == "email" and not _TOP.search(said):
                 continue
-            span = (kind, *mapped.source(a, b))
-            if span not in taken:
+            span = (kind, *mapped.span(a, b))
+            if span not in taken and text[span[1] : span[2]] != said:
                 out.append(span)
     return out
 
