@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .storage import read
 
 ESCAPE = "\\"
@@ -132,7 +133,7 @@ class Reader:
             raise ValueError("the text ends inside a turn")
 
 
-_SEGMENT = "conv_id long, seq long, turn long, role string, segment string, loss boolean, in_order boolean, ended boolean"
+_SEGMENT = "conv_id long, seq long, turn long, role string, segment string, loss boolean, in_order boolean, ended boolean, accepted boolean"
 
 
 def format_conversations(
@@ -148,7 +149,8 @@ def format_conversations(
 
     seq counts a conversation's segments from 0.  in_order says whether the machine
     accepts the turn; once a turn is out of order the later ones are too, and all are
-    formatted all the same.  ended is true on a conversation's last segment.  A null
+    formatted all the same.  ended is true on a conversation's last segment; accepted
+    says there whether the machine stops in a final state, and is null before.  A null
     text is empty, a null role is the empty role, a null conv_id is one conversation of
     its own; turns with equal numbers come in the order of role and text, null
     turns first.  Rows that repeat are turns that repeat.
@@ -164,7 +166,7 @@ def format_conversations(
 
     def run(batches):
         t, current, state, seq, last = template, _NONE, "start", 0, None
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_()]
         out: list[tuple] = []
         size = 0
 
@@ -172,28 +174,27 @@ def format_conversations(
             columns = list(zip(*out))
             return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=_NAMES)
 
-        for batch in batches:
-            for conv, number, who, said in zip(*(c.to_pylist() for c in batch.columns)):
-                if conv != current:
-                    if last is not None:
-                        out.append((*last, True))
-                        last = None
-                    current, state, seq = conv, "start", 0
-                    pending = [(t.begin, False)]
-                else:
-                    pending = []
-                state = t.steps.get((state, who), "broken")
-                for part, loss in pending + t.segments(who, said):
-                    if last is not None:
-                        out.append((*last, False))
-                        size += len(last[4])
-                    last = (conv, seq, number, who, part, loss, state != "broken")
-                    seq += 1
-                if size > 1 << 20 or len(out) > 4096:
-                    yield flush()
-                    out, size = [], 0
+        for conv, number, who, said in (r for b in batches for part, _ in K.slices(b, "text") for r in zip(*(c.to_pylist() for c in part.columns))):
+            if conv != current:
+                if last is not None:
+                    out.append((*last, True, state in t.final))
+                    last = None
+                current, state, seq = conv, "start", 0
+                pending = [(t.begin, False)]
+            else:
+                pending = []
+            state = t.steps.get((state, who), "broken")
+            for part, loss in pending + t.segments(who, said):
+                if last is not None:
+                    out.append((*last, False, None))
+                    size += len(last[4])
+                last = (conv, seq, number, who, part, loss, state != "broken")
+                seq += 1
+            if size > 1 << 20 or len(out) > 4096:
+                yield flush()
+                out, size = [], 0
         if last is not None:
-            out.append((*last, True))
+            out.append((*last, True, state in t.final))
         if out:
             yield flush()
 
@@ -202,7 +203,7 @@ def format_conversations(
 
 _NONE = object()
 _NAMES = [x.split()[0] for x in _SEGMENT.split(", ")]
-_DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, in_order boolean"
+_DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, in_order boolean, accepted boolean"
 
 
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
@@ -211,12 +212,13 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
 
     def run(batches):
         fresh = lambda: [Reader(template), hashlib.sha256(), hashlib.sha256(), 0, 0, 0, True]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.bool_()]
         state = fresh()
         for batch in batches:
             out = []
-            names = ["conv_id", "segment", "loss", "in_order", "ended"]
-            for conv, part, loss, valid, ended in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)):
+            names = ["conv_id", "segment", "loss", "in_order", "ended", "accepted"]
+            few = (x.select(names) for x, _ in K.slices(batch, "segment"))
+            for conv, part, loss, valid, ended, accepted in (r for x in few for r in zip(*(c.to_pylist() for c in x.columns))):
                 reader, turns, learnt, n, chars, size, ordered = state
                 for who, said in reader.feed(part):
                     turns.update(f"{who}\n{said}\n".encode())
@@ -228,7 +230,7 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
                 state = [reader, turns, learnt, n, chars, size + len(part), ordered and valid]
                 if ended:
                     reader.finish()
-                    out.append((conv, state[3], turns.hexdigest(), state[4], learnt.hexdigest(), state[5], state[6]))
+                    out.append((conv, state[3], turns.hexdigest(), state[4], learnt.hexdigest(), state[5], state[6], state[6] and accepted))
                     state = fresh()
             if out:
                 yield pa.RecordBatch.from_arrays(

@@ -207,7 +207,7 @@ def decontaminate(
     without words never occurs; items with equal texts are all reported; a null
     item id is reported as the string ``null``.  Columns of ``docs`` named like a
     result are replaced.  With several blocks of items a document is known by its
-    ``_row``; rows that repeat stay rows of their own.
+    row number; rows that repeat stay rows of their own.
     """
     if gram > width:
         raise ValueError("gram must not exceed width")
@@ -223,13 +223,14 @@ def decontaminate(
         return _pass(docs, text, wanted, [(r[0], bytes(r[1])) for r in items.collect()], width, gram)
     from .storage import materialise
 
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    row = K.unused(docs.columns, "_row")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()))
     part = F.pmod(F.xxhash64("name", "raw"), F.lit(blocks))
     passes = [
-        _pass(numbered, text, ["_row"], [(r[0], bytes(r[1])) for r in items.where(part == b).collect()], width, gram)
+        _pass(numbered, text, [row], [(r[0], bytes(r[1])) for r in items.where(part == b).collect()], width, gram)
         for b in range(blocks)
     ]
-    return numbered.select("_row", *wanted).join(_merged(passes, ["_row"]), "_row").drop("_row")
+    return numbered.select(row, *wanted).join(_merged(passes, [row]), row).drop(row)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -15,6 +15,22 @@ select doc_id, len(w)::bigint n_words, coalesce(n.n, 0) n_removed, sha256(coales
 from t left join n using (r) left join kept using (r)
 """
 
+_SCORE = "-ln((('0x' || substr(md5(k || '/' || s), 1, 13))::bigint + 0.5) / 4503599627370496.0)"
+OP5 = rf"""
+with recursive bits as (select i, i::bigint c, 0 n from range(256) t(i) union all
+  select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n + 1 from bits where n < 8),
+crc as (select list(c order by i) t from bits where n = 8),
+d as (select row_number() over () r, doc_id, coalesce(doc_id::varchar, 'null') k, coalesce(text, '') text from documents),
+b as (select r, doc_id, k, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint) bytes, t from d, crc),
+c as (select r, doc_id, k, (len(bytes) + 1)::bigint size,
+  xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)::bigint text_crc32 from b),
+w as (select r, s, {_SCORE} score from d, range(17) g(s)),
+p as (select r, arg_min(s, (score, s)) filter (s < 16) shard, arg_min(s, (score, s)) grown from w group by r)
+select doc_id, size, text_crc32, 'key' law, shard::int shard,
+  row_number() over (partition by shard order by substr(md5(k || '/' || text_crc32), 1, 2), doc_id nulls first, text_crc32, size) - 1 slot, grown::int grown_shard
+from c join p using (r)
+"""
+
 OP9 = r"""
 with a as (
   select conv_id, turn, role, coalesce(text, '') as text from conversations
@@ -25,7 +41,8 @@ select conv_id, count(*) n_turns,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) loss_sha256,
   (3 + sum(n + case role when 'system' then 11 when 'user' then 13 else 12 end))::bigint formatted_chars,
-  regexp_full_match(string_agg(role[1], '' order by turn, role, text), 's?(ua)*u?') in_order
+  regexp_full_match(string_agg(role[1], '' order by turn, role, text), 's?(ua)*u?') in_order,
+  regexp_full_match(string_agg(role[1], '' order by turn, role, text), 's?(ua)+') accepted
 from b group by conv_id
 """
 

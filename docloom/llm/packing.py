@@ -18,8 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .slots import numbered
@@ -131,33 +133,58 @@ def pieces(
     capacity: int = CAPACITY,
     json_path: str | None = None,
     ranks_path: str | None = None,
+    ids: bool = False,
 ) -> DataFrame:
-    """One row per piece: ``keep`` columns, piece, start, length, ids_crc32.
+    """One row per piece: ``keep`` columns, piece, start, length, ids_crc32, and ``ids`` if asked for.
 
-    A null or empty text is one piece of one token, the end id.
+    A null or empty text is one piece of one token, the end id.  The ids travel
+    compressed; ``with_ids`` opens them.  Columns named like a result are replaced.
     """
+    result = ["piece", "start", "length", "ids_crc32", "ids"]
+    keep = [c for c in keep if c not in result[: 4 + ids]]
     json_path = json_path or _vocabulary("byte_bpe_50k.json")
     ranks_path = ranks_path or _vocabulary("byte_bpe_50k.tiktoken")
     closing = np.array([END_ID], dtype="<u4").tobytes()
-    span = pa.struct([("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    fields = [("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]
+    span = pa.struct(fields[: 4 + ids])
+    packed = (lambda part: {"ids": zstandard.compress(part, 1)}) if ids else (lambda part: {})
 
     def work(_, own: K.Text) -> dict:
         encode = _encoder(json_path, ranks_path)
         raw, bounds, out = own.data.tobytes(), own.offsets.tolist(), []
         for a, b, odd in zip(bounds, bounds[1:], odd_texts(own).tolist()):
-            ids = encode(raw[a:b].decode(), odd) + closing
-            n = len(ids) // 4
+            said = encode(raw[a:b].decode(), odd) + closing
+            n = len(said) // 4
             cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
             out.append(
                 [
-                    {"piece": i, "start": s, "length": e - s, "ids_crc32": zlib.crc32(ids[4 * s : 4 * e])}
+                    {"piece": i, "start": s, "length": e - s, "ids_crc32": zlib.crc32(said[4 * s : 4 * e]), **packed(said[4 * s : 4 * e])}
                     for i, (s, e) in enumerate(zip(cuts, cuts[1:]))
                 ]
             )
-        return {"_pieces": pa.array(out, type=pa.list_(span))}
+        return {name: pa.array(out, type=pa.list_(span))}
 
-    ddl = "_pieces array<struct<piece:long,start:long,length:long,ids_crc32:long>>"
-    return K.map_texts(docs, text, keep, ddl, work).select(*keep, F.inline("_pieces"))
+    name = K.unused([*docs.columns], "_pieces")
+    ddl = f"{name} array<struct<piece:long,start:long,length:long,ids_crc32:long{',ids:binary' if ids else ''}>>"
+    return K.map_texts(docs, text, keep, ddl, work).select(*keep, F.inline(name))
+
+
+def with_ids(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``ids`` as a list of token ids."""
+    fields = [T.StructField(f.name, T.ArrayType(T.IntegerType())) if f.name == "ids" else f for f in rows.schema.fields]
+    at = rows.columns.index("ids")
+
+    def run(batches):
+        opened = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                raw = [opened(x) for x in part.column(at).to_pylist()]
+                ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
+                yield pa.RecordBatch.from_arrays([lists if i == at else c for i, c in enumerate(part.columns)], names=part.schema.names)
+
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
 @dataclass
@@ -276,6 +303,7 @@ def pack(rows: DataFrame, order: list[str], *, capacity: int = CAPACITY) -> Data
     most ``capacity`` rows, reaches the driver; the ranges that go out are sorted into
     arrays by length, a few for each.
     """
+    rank, length, found = K.unused(rows.columns, "_rank"), K.unused(rows.columns, "_length"), K.unused(rows.columns, "_ranges")
     spark = rows.sparkSession
     histogram = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     ranges = places(plan(histogram, capacity))
@@ -283,14 +311,14 @@ def pack(rows: DataFrame, order: list[str], *, capacity: int = CAPACITY) -> Data
     by_length = (
         spark.createDataFrame(ranges, schema)
         .groupBy("length")
-        .agg(F.array_sort(F.collect_list(F.struct("first", "end", "sequence", "copies", "start_at"))).alias("_ranges"))
-        .withColumnRenamed("length", "_length")
+        .agg(F.array_sort(F.collect_list(F.struct("first", "end", "sequence", "copies", "start_at"))).alias(found))
+        .withColumnRenamed("length", length)
     )
-    ranked = numbered(rows, ["length"], order, "_rank")
+    ranked = numbered(rows, ["length"], order, rank)
     # at most ``capacity`` rows with a bounded number of ranges in all: bounded in size
-    joined = ranked.join(F.broadcast(by_length), ranked["length"] == by_length["_length"])
-    own = F.filter("_ranges", lambda r: (r["first"] <= F.col("_rank")) & (F.col("_rank") < r["end"]))[0]
-    nth = F.col("_rank") - own["first"]
+    joined = ranked.join(F.broadcast(by_length), ranked["length"] == by_length[length])
+    own = F.filter(found, lambda r: (r["first"] <= F.col(rank)) & (F.col(rank) < r["end"]))[0]
+    nth = F.col(rank) - own["first"]
     return joined.select(
         *rows.columns,
         (own["sequence"] + F.floor(nth / own["copies"])).cast("long").alias("sequence_id"),

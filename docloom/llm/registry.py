@@ -28,6 +28,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_rendezvous_sharding": oracles.OP5,
     "op6_recompression": oracles.OP6,
     "op9_chat_format": oracles.OP9,
     "op10_decontamination": oracles.OP10,

@@ -230,20 +230,19 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def components(edges: DataFrame, *, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that is reachable, for every node of ``edges`` (a, b).
 
     Large-star and small-star rounds over edges kept as (larger, smaller).  Their
-    number grows with the logarithm of the longest path; the state is as large as the
-    edge list and is written after each round.
+    number grows with the logarithm of the longest path, and each round that changes
+    anything lowers the sum of the smaller ends, so they end; the state is as large as
+    the edge list and is written after each round.
     """
     now = materialise(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     seen = None
-    for _ in range(rounds):
-        if seen is None and now.isEmpty():
-            break
+    while not now.isEmpty():
         # large star: link the larger neighbours of each node to its least neighbour
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -258,8 +257,6 @@ def components(edges: DataFrame, *, rounds: int = 64) -> DataFrame:
         if tuple(state) == seen:
             break
         seen = tuple(state)
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
@@ -271,17 +268,48 @@ def near_duplicates(
 
     ``component_id`` is the least id reachable over links of at most two differing
     bits.  A text without words (null, empty, blank) has fingerprint zero, linked like
-    any other.  Repeated ids stay rows of their own.  A row with a null id gets the
-    component of its fingerprint, null if no other row has an id there.
+    any other.  Repeated ids stay rows of their own, and texts that share an id are
+    linked by their fingerprints only.  A row with a null id gets the component of its
+    fingerprint, null if no row there has an id.
     """
-    fps = materialise(fingerprints(docs, [row_id], text=text))
-    distinct = fps.where(F.col(row_id).isNotNull()).groupBy("fp").agg(F.min(row_id).alias("rep"))
-    # an id may repeat with other texts: its fingerprints are one node then
+    key = K.unused([row_id], "key")
+    fps = materialise(fingerprints(docs.select(F.col(row_id).alias(key), F.col(text).alias(K.unused([key], "t"))), [key], text=K.unused([key], "t")))
+    found = with_classes(fps, most=most)
+    least = found.groupBy("class").agg(F.min(key).alias("component_id"))
+    # as many fingerprints as there are, not rows: copies are not dealt by their class
+    known = found.select("fp", "class").distinct().join(least, "class").select("fp", "component_id")
+    return spread(fps, known).select(F.col(key).alias(row_id), "fp", "component_id")
+
+
+def classes(fps: DataFrame, *, most: int = MOST) -> DataFrame:
+    """(fp, class): the least fingerprint that each distinct one reaches."""
+    distinct = fps.groupBy("fp").agg(F.count("*").alias("n")).select("fp", F.col("fp").alias("rep"))
     joined = components(near_links(distinct, most=most).where("a <> b"))
-    classes = distinct.join(joined, distinct["rep"] == joined["node"], "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
-    return fps.join(classes, "fp", "left")
+    return distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("class"))
+
+
+def spread(rows: DataFrame, table: DataFrame, *, share: int = 4096) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each ``fp`` of theirs.
+
+    Fingerprints that more than one in ``share`` rows have, ``share`` of them at most,
+    are sent to all executors, so their rows stay where they are.
+    """
+    counts = rows.groupBy("fp").agg(F.count("*").alias("_n"))
+    every = rows.count()
+    hot = table.join(counts.where(F.col("_n") * share > every), "fp", "left_semi")
+    names = [c for c in table.columns if c != "fp"]
+    sent = hot.select("fp", F.struct(*names).alias("_hot"))
+    marked = rows.join(F.broadcast(sent), "fp", "left").withColumn("_deal", F.when(F.col("_hot").isNull(), F.col("fp")))
+    # a null key joins nothing; it is dealt by the row's other columns
+    rest = table.select(F.col("fp").alias("_fp"), F.struct(*names).alias("_rest"))
+    here = marked.where("_hot is not null").select(*rows.columns, *[F.col("_hot")[c].alias(c) for c in names])
+    away = marked.where("_hot is null").join(rest, F.col("_deal") == F.col("_fp")).select(*rows.columns, *[F.col("_rest")[c].alias(c) for c in names])
+    return here.unionByName(away)
+
+
+def with_classes(fps: DataFrame, *, most: int = MOST) -> DataFrame:
+    """``fps`` with ``class``."""
+    return spread(fps, materialise(classes(fps, most=most)))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

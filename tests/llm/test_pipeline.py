@@ -1,4 +1,7 @@
 import random
+import zlib
+
+import numpy as np
 
 import corpus_pipeline as C
 from tests.llm.test_packing import plain  # noqa: F401
@@ -38,6 +41,7 @@ def documents():
 def test_stages(spark, tmp_path, plain):  # noqa: F811
     docs, items, labels = documents()
     rows = [(k, t, "en", "src0", len(t or ""), 1, "n", "f", 3) for k, t in docs.items()]
+    rows += [(9, " ".join(reversed(docs[12].split())), "en", "x", 0, 1, "n", "f", 3)]  # another text under a known id
     rows += [rows[7], (None, "One two three four five six seven eight nine ten dozen words without an id.", "en", "s", 9, 1, "n", "f", 3), (None, docs[9], "en", "s", 9, 1, "n", "f", 3)]
     spark.createDataFrame(rows, SCHEMA).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -59,7 +63,9 @@ def test_stages(spark, tmp_path, plain):  # noqa: F811
     ids = sorted(k for k in kept if k is not None)
     parts = brute_components([(k, brute_fingerprint(docs[k])) for k in ids])
     named = [r.doc_id for r in results[1] if r.doc_id is not None]
-    assert sorted(named) == sorted(k for k, c in zip(ids, parts) if k == c)
+    want = brute_components([(k, brute_fingerprint(docs[k])) for k in ids] + [(9, brute_fingerprint(rows[-4][1]))])
+    assert sorted(named) == sorted([*(k for k, c in zip(ids, parts) if k == c), *([9] if want[-1] == 9 else [])])
+    assert len({(r.doc_id, r.text) for r in results[1]}) == len(results[1])
     assert sum(r.doc_id is None for r in results[1]) == 1
     # decontamination
     assert {r.doc_id for r in results[1]} - {r.doc_id for r in results[2]} == {210, 211}
@@ -69,14 +75,19 @@ def test_stages(spark, tmp_path, plain):  # noqa: F811
     assert texts[220].text.endswith(" mail [EMAIL] or [PHONE]") and texts[221].text.endswith(" [EMAIL]")
     for r in results[3]:
         assert r.n_chars == len(r.text) and not spans(r.text)
-        if r.doc_id in docs and r.doc_id not in (220, 221):
+        if r.doc_id in docs and r.doc_id not in (9, 220, 221):
             assert r.text == docs[r.doc_id]
     # packing
     tokens = {k: len(plain.encode(r.text, add_special_tokens=False).ids) + 1 for k, r in texts.items()}
     size = {}
     for r in results[4]:
         size[r.doc_id] = size.get(r.doc_id, 0) + r.length
-    assert size == tokens
+        assert zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length
+    assert {k: n for k, n in size.items() if k != 9} == {k: n for k, n in tokens.items() if k != 9}
+    said = {r.doc_id: [] for r in results[4]}
+    for r in sorted((r for r in results[4] if r.doc_id != 9), key=lambda r: r.piece):
+        said[r.doc_id] += r.ids
+    assert all(said[k] == [*plain.encode(r.text, add_special_tokens=False).ids, 0] for k, r in texts.items() if k != 9)
     whole = sorted(map(tuple, C.run(spark, str(tmp_path)).select("doc_id", "piece", "start", "length", "ids_crc32").collect()), key=str)
     assert whole == sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in results[4]), key=str)
 
