@@ -28,12 +28,17 @@ from .plans.values import Value
 from .sources.documents import ObjectId, from_row, merged, to_frame, validate
 
 
+#: Appended parts that a version may have before it is written anew
+APPENDS = 16
+
+
 @dataclass
 class State:
     """One version of a collection; what a transaction restores."""
 
     df: DataFrame | None = None
     next_order: int = 0
+    appends: int = 0
     indexes: dict[str, dict] = field(default_factory=dict)
     search: dict[str, dict] = field(default_factory=dict)
 
@@ -80,18 +85,23 @@ class Cursor:
         old = self._map
         return self._set(_map=f if old is None else lambda d: f(old(d)))
 
-    def _window(self) -> DataFrame:
-        df = self._c.frame
+    def _window(self, natural: bool = False) -> DataFrame:
+        """The matching rows; they are sorted if a sort or a window asks for it, or the ``natural`` order is wanted."""
+        df = self._c.source
         c = self._c.context(df)
         df = df.where(matches_or_all(c, self._query))
+        if self._sort or self._limit or self._skip:
+            df = df if ORDER in df.columns else df.withColumn(ORDER, F.monotonically_increasing_id())
+        elif not natural or ORDER not in df.columns:  # a scan is in its own order
+            return df
         terms = ordering.columns(ordering.terms(c, self._sort)) if self._sort else []
         df = df.orderBy(*terms, F.col(ORDER))
         df = df.offset(self._skip) if self._skip else df
         return df.limit(self._limit) if self._limit else df
 
-    def df(self) -> DataFrame:
-        """The query as a DataFrame."""
-        df = self._window()
+    def df(self, natural: bool = False) -> DataFrame:
+        """The query as a DataFrame; sorted only as far as the query says, or by the ``natural`` order."""
+        df = self._window(natural)
         if self._projection:
             df = find_projection(df, self._c.context(df), self._projection, self._query)
         return df.drop(ORDER)
@@ -106,7 +116,7 @@ class Cursor:
 
     def __iter__(self) -> Iterator:
         if self._rows is None:
-            self._rows = (self._map(d) if self._map else d for d in map(from_row, self.df().toLocalIterator()))
+            self._rows = (self._map(d) if self._map else d for d in map(from_row, self.df(natural=True).toLocalIterator()))
         return self._rows
 
     def next(self) -> Any:
@@ -133,12 +143,19 @@ class Collection:
     # --- reading --------------------------------------------------------------------
 
     @property
-    def frame(self) -> DataFrame:
+    def source(self) -> DataFrame:
+        """All documents, with the hidden order column if they have one."""
         df = self.state.df
         if df is None:
             return self.db.spark.createDataFrame([], T.StructType([T.StructField(ID, T.StringType()), T.StructField(ORDER, T.LongType())]))
         return df
 
+    @property
+    def frame(self) -> DataFrame:
+        """All documents, numbered in their order."""
+        df = self.source
+        return df if ORDER in df.columns else df.withColumn(ORDER, F.monotonically_increasing_id())
+
     def context(self, df: DataFrame | None = None) -> Context:
         return Context(visible(df if df is not None else self.frame), strict=self.db.strict)
 
@@ -150,17 +167,17 @@ class Collection:
         return next(iter(self.find(query, projection, **options).limit(1)), None)
 
     def aggregate(self, pipeline: list[dict]) -> DataFrame:
-        scope = Scope(lambda name: self.db.collection(name).frame, strict=self.db.strict)
-        return run_pipeline(self.frame, pipeline, scope).drop(ORDER)
+        scope = Scope(lambda name: self.db.collection(name).source, strict=self.db.strict)
+        return run_pipeline(self.source, pipeline, scope).drop(ORDER)
 
     def count_documents(self, query: dict | None = None, **window: Any) -> int:
         return self.find(query, **window).count()
 
     def estimated_document_count(self) -> int:
-        return self.frame.count()
+        return self.source.count()
 
     def distinct(self, path: str, query: dict | None = None) -> list:
-        df = self.frame
+        df = self.source
         c = self.context(df)
         v = paths.plain(c.root, path, c.strict)
         if v.kind == "null":
@@ -172,7 +189,15 @@ class Collection:
 
     def _put(self, df: DataFrame, next_order: int | None = None) -> None:
         stored = self.db.versions.store(self.name, df)
-        self.state = replace(self.state, df=stored, next_order=self.state.next_order if next_order is None else next_order)
+        self.state = replace(self.state, df=stored, next_order=self.state.next_order if next_order is None else next_order, appends=0)
+
+    def _put_more(self, rows: DataFrame, df: DataFrame, next_order: int) -> None:
+        """Store further rows next to the old ones; after ``APPENDS`` times all rows, ``df``, anew."""
+        if self.state.df is None or self.state.appends >= APPENDS or ORDER not in self.source.columns:
+            self._put(df, next_order)
+            return
+        stored = self.db.versions.store(self.name, rows, append=True)
+        self.state = replace(self.state, df=merged(self.source, stored), next_order=next_order, appends=self.state.appends + 1)
 
     @property
     def _watched(self) -> bool:
@@ -220,6 +245,32 @@ class Collection:
             raise DuplicateKey(f"duplicate _id in {self.name} at document {at}", result)
         return result
 
+    def insert_frame(self, df: DataFrame) -> int:
+        """All rows of a frame that has an ``_id``, without passing the driver; the number of rows.
+
+        Repeated ids, in the frame or in the collection, are an error, and nothing is written.
+        """
+        if ID not in df.columns:
+            raise CompileError("a frame needs a column _id")
+        start = self.state.next_order
+        rows = df.drop(ORDER).withColumn(ORDER, F.monotonically_increasing_id() + F.lit(start))
+        counts = rows.agg(F.count("*").alias("n"), F.count(ID).alias("given")).first()
+        if counts.given < counts.n:
+            raise DocError("a row has no _id")
+        if not rows.groupBy(ID).count().where("count > 1").isEmpty():
+            raise DuplicateKey(f"duplicate _id in {self.name}")
+        old = self.state.df
+        if old is not None and ID in old.columns and not rows.join(old.select(F.col(ID).alias("_old")), F.col(ID) == F.col("_old"), "left_semi").isEmpty():
+            raise DuplicateKey(f"duplicate _id in {self.name}")
+        every = rows if old is None else merged(self.frame, rows)
+        self._check_unique(every)
+        # numbers of a frame leave gaps, and later rows follow the last possible one
+        self._put_more(rows, every, start + (rows.rdd.getNumPartitions() << 33))
+        if self._watched:
+            added = self.frame.where(F.col(ORDER) >= start)
+            self.db.publish_frame(self._event("insert"), added.orderBy(ORDER).drop(ORDER), None)
+        return counts.n
+
     def _taken(self, new: DataFrame, ids: list) -> set[str]:
         """Which of the ids the collection has."""
         if self.state.df is None or ID not in self.frame.columns:
@@ -237,7 +288,7 @@ class Collection:
         rows = to_frame(self.db.spark, [{**d, ORDER: start + i} for i, d in enumerate(docs)])
         df = rows if self.state.df is None else merged(self.frame, rows)
         self._check_unique(df)
-        self._put(df, start + len(docs))
+        self._put_more(rows, df, start + len(docs))
         if self._watched:
             self.db.publish([self._event("insert", documentKey={ID: d[ID]}, fullDocument=d) for d in docs])
 
@@ -371,9 +422,10 @@ class Collection:
     def _delete(self, hit) -> int:
         n = self.frame.where(hit).count()
         if n:
-            gone = [from_row(r) for r in self.frame.where(hit).orderBy(ORDER).drop(ORDER).collect()] if self._watched else []
+            gone = self.frame.where(hit).orderBy(ORDER).drop(ORDER)
             self._put(self.frame.where(~hit))
-            self.db.publish([self._event("delete", documentKey={ID: d.get(ID)}, fullDocumentBeforeChange=d) for d in gone])
+            if self._watched:
+                self.db.publish_frame(self._event("delete"), None, gone)
         return n
 
     def delete_many(self, query: dict) -> dict:
@@ -425,13 +477,23 @@ class Collection:
     def bulk_write(self, operations: list[dict], *, ordered: bool = True) -> dict:
         total = {"inserted_count": 0, "matched_count": 0, "modified_count": 0, "deleted_count": 0, "upserted_count": 0, "upserted_ids": {}, "inserted_ids": {}}
         errors = []
+        done = 0
         for i, op in enumerate(operations):
             ((name, a),) = op.items()
+            if i < done:
+                continue
             try:
-                if name == "insert_one":
-                    got = self.insert_one(a["document"])
-                    total["inserted_count"] += 1
-                    total["inserted_ids"][i] = got["inserted_id"]
+                if name == "insert_one":  # as many as follow each other are one append
+                    got = {"inserted_count": 0, "inserted_ids": {}}
+                    done = next((k for k in range(i, len(operations)) if "insert_one" not in operations[k]), len(operations))
+                    try:
+                        got = self.insert_many([o["insert_one"]["document"] for o in operations[i:done]], ordered=ordered)
+                    except DuplicateKey as e:
+                        got = e.result
+                        raise
+                    finally:
+                        total["inserted_count"] += got["inserted_count"]
+                        total["inserted_ids"].update({i + k: v for k, v in got["inserted_ids"].items()})
                     continue
                 more = {k: a[k] for k in ("upsert", "array_filters") if k in a}
                 if name in ("update_one", "update_many"):
@@ -447,7 +509,7 @@ class Collection:
                 if got.get("upserted_count"):
                     total["upserted_ids"][i] = got["upserted_id"]
             except DocError as e:
-                e.result = {**total, "failed_at": i}
+                e.result = {**total, "failed_at": i + len([k for k in total["inserted_ids"] if i <= k < done])}
                 if ordered or isinstance(e, CompileError):
                     raise
                 errors.append(e)

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from .collection import Collection, State
 from .errors import DocError
 from .operators.projection import ORDER
-from .sources.documents import Versions
+from .sources.documents import Versions, local_folder
 from .streaming.changes import ChangeLog, ChangeStream
 
 
@@ -55,10 +54,14 @@ class Database:
     __getitem__ = collection
 
     def register(self, name: str, df: DataFrame, order: str | None = None) -> Collection:
-        """An existing DataFrame as a collection; ``order``: a column with the natural order."""
+        """An existing DataFrame as a collection; ``order``: a column with the natural order.
+
+        Without one the order is that of the scan, and is only numbered where a stage or
+        a write asks for it, so that filters still reach the scan.
+        """
         c = self.collection(name)
-        if ORDER not in df.columns:
-            df = df.withColumn(ORDER, F.col(order).cast("long") if order else F.monotonically_increasing_id())
+        if ORDER not in df.columns and order:
+            df = df.withColumn(ORDER, F.col(order).cast("long"))
         c.state = State(df, 1 << 60)
         return c
 
@@ -73,7 +76,7 @@ class Database:
     def drop_collection(self, name: str) -> bool:
         there = self._collections.pop(name, None) is not None
         if there and self.path:
-            shutil.rmtree(f"{self.path}/{name}", ignore_errors=True)
+            self.versions.remove(name)
         if there:
             ns = {"db": self.name, "coll": name}
             self.publish([{"operationType": "drop", "ns": ns}, {"operationType": "invalidate", "ns": ns, "invalidateReason": "drop"}])
@@ -160,21 +163,38 @@ class Database:
             if not self._snapshots:
                 self._flush()
 
+    def publish_frame(self, event: dict, after: DataFrame | None, before: DataFrame | None) -> None:
+        """One event like ``event`` for each row of a frame; the rows never pass the driver."""
+        if self.watched:
+            self._pending.append((event, after, before))
+            if not self._snapshots:
+                self._flush()
+
     def _flush(self) -> None:
         events, self._pending = self._pending, []
-        if self._log is not None:
-            self._log.append(events)
+        if self._log is None:
+            return
+        for framed, group in itertools.groupby(events, key=lambda e: isinstance(e, tuple)):
+            if framed:
+                for e in group:
+                    self._log.append_frame(*e)
+            else:
+                self._log.append(list(group))
 
     def _watch(self, where: dict, pipeline, options) -> ChangeStream:
         if self._log is None:
-            shared = self.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docloom-log-")
-            self._log = ChangeLog(self.spark, f"{self.path or shared}/_changes/{uuid.uuid4().hex}")
+            self._log = new_log(self.spark, self.path)
         return ChangeStream(self._log, where, pipeline, **options)
 
     def watch(self, pipeline: list[dict] | None = None, **options: Any) -> ChangeStream:
         return self._watch({"db": self.name}, pipeline, options)
 
 
+def new_log(spark: SparkSession, path: str | None) -> ChangeLog:
+    shared = path or spark.sparkContext.getConf().get("spark.checkpoint.dir") or local_folder(spark)
+    return ChangeLog(spark, f"{shared}/_changes/{uuid.uuid4().hex}")
+
+
 class ClientSession:
     """none → started → in progress → committed or aborted."""
 
@@ -236,11 +256,20 @@ class Client:
     def __init__(self, spark: SparkSession, path: str | None = None, *, strict: bool = False):
         self.spark, self.path, self.strict = spark, path, strict
         self._databases: dict[str, Database] = {}
+        self._log: ChangeLog | None = None
+
+    def watch(self, pipeline: list[dict] | None = None, **options: Any) -> ChangeStream:
+        """Events of all databases; those that are watched on their own already keep their logs."""
+        self._log = self._log or new_log(self.spark, self.path)
+        for db in self._databases.values():
+            db._log = db._log or self._log
+        return ChangeStream(self._log, {}, pipeline, **options)
 
     def db(self, name: str = "test") -> Database:
         if name not in self._databases:
             folder = f"{self.path}/{name}" if self.path else None
             self._databases[name] = Database(self.spark, folder, name=name, strict=self.strict)
+            self._databases[name]._log = self._log
         return self._databases[name]
 
     __getitem__ = db

@@ -7,8 +7,10 @@ picks join and aggregation strategies.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
@@ -22,7 +24,7 @@ from ..plans import paths
 from ..plans.values import Value
 from . import accumulators, ordering, projection
 from .filters import compile_filter
-from .projection import ID, LATERAL, ORDER, has_order, put, select_values
+from .projection import ID, LET, ORDER, has_order, put, select_values, variables_of
 
 _ABSENT = "$facet $bucket $bucketAuto $replaceRoot $replaceWith $out $merge $sample $graphLookup $unionWith $documents $setWindowFields $geoNear $redact".split()
 
@@ -45,7 +47,8 @@ class Scope:
 
 
 def visible(df: DataFrame) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name != ORDER])
+    hidden = {ORDER, *variables_of(df)}
+    return T.StructType([f for f in df.schema.fields if f.name not in hidden])
 
 
 def context(df: DataFrame, scope: Scope) -> Context:
@@ -56,9 +59,15 @@ def run_pipeline(df: DataFrame, stages: list[dict], scope: Scope | None = None)
     """All stages over ``df``; the hidden order column stays if it was there."""
     scope = scope or Scope()
     validate(stages)
-    for i, stage in enumerate(stages):
-        ((name, arg),) = stage.items()
+    i = 0
+    while i < len(stages):
+        fused = _lookup_as_join(df, stages[i], stages[i + 1 :], scope)
+        if fused is not None:
+            df, i = fused, i + 2
+            continue
+        ((name, arg),) = stages[i].items()
         df = STAGES[name](df, arg, scope, stages[i + 1 :])
+        i += 1
     return df
 
 
@@ -95,6 +104,21 @@ def _order_matters(rest: list[dict]) -> bool:
     return False
 
 
+#: stages between a sort and an order-aware group that need no sorted input: the group has the order in a column
+_ROWWISE = frozenset(("$match", "$project", "$addFields", "$set", "$unset", "$unwind"))
+
+
+def _only_grouped(rest: list[dict]) -> bool:
+    """Whether a sorted frame goes, row by row, into a group."""
+    for stage in rest:
+        (name,) = stage
+        if name == "$group":
+            return True
+        if name not in _ROWWISE:
+            return False
+    return False
+
+
 # --- stages -----------------------------------------------------------------------------
 
 
@@ -106,8 +130,11 @@ def _sort(df, arg, scope, rest):
     c = context(df, scope)
     own = ordering.terms(c, arg)
     last = [F.col(ORDER).asc()] if has_order(df) else []
-    out = df.orderBy(*ordering.columns(own), *last) if own or last else df
-    if _order_matters(rest) or scope.depth:
+    keyed = _order_matters(rest) or scope.depth
+    # in a lookup's pipeline the order column alone counts
+    sorts = (own or last) and not (scope.depth or keyed and _only_grouped(rest))
+    out = df.orderBy(*ordering.columns(own), *last) if sorts else df
+    if keyed:
         base = F.col(ORDER) if has_order(df) else F.monotonically_increasing_id()
         out = out.withColumn(ORDER, ordering.key(own, base))
     return out
@@ -119,19 +146,28 @@ def _count_arg(arg, name, least):
     return int(arg)
 
 
+def _each_place(df: DataFrame, test) -> DataFrame:
+    """The documents of each outer row whose place, from 1, passes a test."""
+    place = F.row_number().over(Window.partitionBy(*variables_of(df)).orderBy(ORDER))
+    return df.withColumn("_place", place).where(test(F.col("_place"))).drop("_place")
+
+
 def _limit(df, arg, scope, rest):
-    return df.limit(_count_arg(arg, "$limit", 0))
+    n = _count_arg(arg, "$limit", 0)
+    return _each_place(df, lambda p: p <= n) if variables_of(df) else df.limit(n)
 
 
 def _skip(df, arg, scope, rest):
-    return df.offset(_count_arg(arg, "$skip", 0))
+    n = _count_arg(arg, "$skip", 0)
+    return _each_place(df, lambda p: p > n) if variables_of(df) else df.offset(n)
 
 
 def _count(df, arg, scope, rest):
     if not isinstance(arg, str) or not arg or "." in arg or arg.startswith("$"):
         raise CompileError("$count needs a plain field name")
-    hidden = [F.lit(0).alias(ORDER)] if LATERAL.get() else []
-    return df.select(F.count(F.lit(1)).alias(arg), *hidden).where(F.col(paths.quoted(arg)) > 0)
+    if outer := variables_of(df):
+        return df.groupBy(*outer).agg(F.count(F.lit(1)).alias(arg), F.lit(0).alias(ORDER))
+    return df.select(F.count(F.lit(1)).alias(arg)).where(F.col(paths.quoted(arg)) > 0)
 
 
 def _group(df, arg, scope, rest):
@@ -142,36 +178,46 @@ def _group(df, arg, scope, rest):
     c = context(df, scope)
     key = compile_expression(c, arg[ID])
     order = F.col(ORDER) if has_order(df) else F.lit(0)
-    columns = []
-    # a subquery about an outer row takes its groups by a window: grouping needs a resolved frame
-    over = Window.partitionBy(key.col) if LATERAL.get() and key.kind != "null" else None
-    token = accumulators.OVER.set(over)
+    columns, outer = [], variables_of(df)
+    within = [*outer, *([key.col] if key.kind != "null" else [])]
+    ranks = _ranks(df, c, order, arg) if within else {}
+    if ranks:
+        df = df.withColumns({r: F.row_number().over(Window.partitionBy(*within).orderBy(*by)) for r, by, _ in ranks.values()})
+        if len(ranks) == len(arg) - 1 and not (has_order(df) and (_order_matters(rest) or scope.depth)):
+            # rows beyond all bounds go before they are shuffled
+            df = df.where(reduce(lambda a, b: a | b, [F.col(r) <= n for r, _, n in ranks.values()]))
     for name, spec in arg.items():
         if name == ID:
             continue
         if "." in name or name.startswith("$"):
             raise CompileError(f"'{name}' is not a plain field name")
-        columns.append(accumulators.accumulate(c, spec, order).col.alias(name))
-    accumulators.OVER.reset(token)
-    if over is not None:
-        nth = F.row_number().over(over.orderBy(ORDER)).alias("_nth")
-        names = [ID, *[k for k in arg if k != ID], ORDER]
-        out = df.select(key.col.alias(ID), *columns, F.min(ORDER).over(over).alias(ORDER), nth).where("_nth = 1")
-        return out.select(*[F.col(paths.quoted(n)) for n in names])
+        rank = F.col(ranks[name][0]) if name in ranks else None
+        columns.append(accumulators.accumulate(c, spec, order, rank).col.alias(name))
     if has_order(df) and (_order_matters(rest) or scope.depth):
         columns.append(F.min(ORDER).alias(ORDER))
-    if key.kind == "null":
+    if key.kind == "null" and not outer:
         names = [k for k in arg if k != ID] + ([ORDER] if len(columns) >= len(arg) else [])
         out = df.select(F.count(F.lit(1)).alias("_n"), *columns).where("_n > 0")
         return out.select(F.lit(None).alias(ID), *[F.col(paths.quoted(n)) for n in names])
-    grouped = df.groupBy(key.col.alias(ID))
-    return grouped.agg(*columns) if columns else df.select(key.col.alias(ID)).distinct()
+    grouped = df.groupBy(*outer, key.col.alias(ID))
+    return grouped.agg(*columns) if columns else df.select(*outer, key.col.alias(ID)).distinct()
+
+
+def _ranks(df, c, order, arg) -> dict[str, tuple[str, list, int]]:
+    """For accumulators of at most n values: a column for the place in the group, its order, and n."""
+    out = {}
+    for name, spec in arg.items():
+        if name != ID and isinstance(spec, dict) and len(spec) == 1 and (found := accumulators.bound(c, spec, order)):
+            out[name] = (f"_rank{len(df.columns)}_{len(out)}", *found)
+    return out
 
 
 def _sort_by_count(df, arg, scope, rest):
     if not (isinstance(arg, str) and arg.startswith("$") or isinstance(arg, dict) and arg):
         raise CompileError("$sortByCount needs an expression")
     out = _group(df, {ID: arg, "count": {"$sum": 1}}, scope, [])
+    if variables_of(df):
+        return out.withColumn(ORDER, F.struct((-F.col("count")).alias("k0"), F.col(ID).alias("k1")))
     return out.orderBy(F.col("count").desc(), F.col(ID).asc())
 
 
@@ -275,7 +321,7 @@ def _equi_lookup(df, foreign, local, other, name, scope):
         out = joined.withColumn("_found", F.coalesce(found, empty)).drop("_lk", "_fk", "_es")
     else:
         row = F.col(ORDER) if has_order(df) else F.monotonically_increasing_id()
-        left = df.withColumn("_row", row)
+        left = df.withColumn("_row", F.struct(*variables_of(df), row.alias("o")))
         probes = left.select("_row", F.explode(F.array_distinct(lk.col)).alias("_lk"))
         hits = probes.join(keyed, F.col("_lk").eqNullSafe(F.col("_fk"))).select("_row", "_e").distinct()
         grouped = hits.groupBy(F.col("_row").alias("_r")).agg(_gathered(F.col("_e")).alias("_f"))
@@ -284,49 +330,103 @@ def _equi_lookup(df, foreign, local, other, name, scope):
     return _with_found(out, df, name, foreign)
 
 
+def _mentions(stage: dict, name: str) -> bool:
+    said = json.dumps(stage, default=str)
+    return "$$ROOT" in said or "$$CURRENT" in said or re.search(rf"(?<!\w){re.escape(name)}(?!\w)", said) is not None
+
+
+def _lookup_as_join(df: DataFrame, stage: dict, rest: list[dict], scope: Scope) -> DataFrame | None:
+    """An equality lookup with what follows as one join, or None.
+
+    Followed by ``$unwind`` of its result it is an inner or a left join, by a test for no
+    matches an anti join, and by one for some, if nothing else needs them, a semi join.
+    """
+    arg = stage.get("$lookup")
+    if not isinstance(arg, dict) or set(arg) != {"from", "localField", "foreignField", "as"} or not rest or scope.depth:
+        return None
+    name, ((after, said),) = arg["as"], rest[0].items()
+    path = said if isinstance(said, str) else said.get("path") if isinstance(said, dict) else None
+    if after == "$unwind" and path == f"${name}" and (isinstance(said, str) or set(said) <= {"path", "preserveNullAndEmptyArrays"}):
+        how = "left" if isinstance(said, dict) and said.get("preserveNullAndEmptyArrays") else "inner"
+    elif after == "$match" and said in ({name: {"$size": 0}}, {name: []}, {name: {"$eq": []}}):
+        how = "left_anti"
+    elif after == "$match" and said in ({name: {"$ne": []}}, {f"{name}.0": {"$exists": True}}) and len(rest) > 1:
+        ((then, spec),) = rest[1].items()
+        drops = then in ("$group", "$count") or then == "$project" and any(v not in (0, False) for k, v in spec.items() if k != ID)
+        if not drops or _mentions(rest[1], name):
+            return None
+        how = "left_semi"
+    else:
+        return None
+    foreign = scope.collection(arg["from"])
+    fc, lc = context(foreign, Scope(scope.collections, strict=scope.strict)), context(df, scope)
+    fk, lk = paths.plain(fc.root, arg["foreignField"], scope.strict), paths.plain(lc.root, arg["localField"], scope.strict)
+    if "array" in (fk.kind, lk.kind) or "null" in (fk.kind, lk.kind) or fk.kind != lk.kind:
+        return None
+    # the order only where a later stage asks for it
+    ranked = has_order(df) and _order_matters(rest)
+    order = F.col(ORDER) if ORDER in foreign.columns else F.lit(0)
+    matches = [fk.col.alias("_fk")]
+    if how in ("inner", "left"):
+        matches += [document(foreign).alias("_element"), *([order.alias("_fo")] if ranked else [])]
+    out = df.withColumn("_lk", lk.col).join(foreign.select(*matches), F.col("_lk").eqNullSafe(F.col("_fk")), how)
+    if ranked and how in ("inner", "left"):
+        out = out.withColumn(ORDER, F.struct(F.col(ORDER).alias("o"), F.col("_fo").alias("at")))
+    found = Value(F.col("_element"), visible(foreign)) if how in ("inner", "left") else Value(F.array().cast(T.ArrayType(visible(foreign))), T.ArrayType(visible(foreign)))
+    fields = {f.name: Value(F.col(paths.quoted(f.name)), f.dataType) for f in visible(df).fields}
+    _place(fields, name, found)
+    return select_values(out, fields)
+
+
 def _with_found(out, df, name, foreign):
     fields = {f.name: Value(F.col(paths.quoted(f.name)), f.dataType) for f in visible(df).fields}
     _place(fields, name, Value(F.col("_found"), T.ArrayType(visible(foreign))))
     return select_values(out, fields)
 
 
-def _lateral(df, stages, scope):
-    """A sub-pipeline whose variables belong to the outer row, and its result's schema.
+def _pipeline_lookup(df, foreign, let, stages, name, scope):
+    """A pipeline for each row, as joins.
 
-    Such a frame cannot be analysed alone.  The same stages run next to it with typed
-    nulls for the variables, and each frame borrows the schema from there.
+    The distinct values of the variables are joined with the foreign documents, on the
+    first ``$match`` if there is one: its equalities are the join's keys, and what else
+    it says its further condition.  The other stages run on the result with the
+    variables as hidden columns, by which they group, rank and count.  What is found is
+    gathered by them and joined back.
     """
-    nulls = {k: Value(F.lit(None).cast(v.type), v.type) for k, v in scope.variables.items()}
-    twin, plain = df, replace(scope, variables=nulls)
-    token = LATERAL.set(True)
-    try:
-        for i, stage in enumerate(stages):
-            ((name, arg),) = stage.items()
-            df = STAGES[name](df, arg, scope, stages[i + 1 :])
-            twin = STAGES[name](twin, arg, plain, stages[i + 1 :])
-            df.__dict__["schema"] = twin.schema
-    finally:
-        LATERAL.reset(token)
-    return df, visible(twin)
-
-
-def _pipeline_lookup(df, foreign, let, stages, name, scope):
     validate(stages)
     c, own, left = context(df, scope), {}, df
     for var, e in let.items():
         v = compile_expression(c, e)
-        column = f"_let{scope.depth}_{var}"
+        column = f"{LET}{scope.depth}_{var}"
         left = left.withColumn(column, v.col if v.kind != "null" else F.lit(None).cast("string"))
-        own[var] = Value(F.col(column).outer(), v.type if v.kind != "null" else T.StringType())
+        own[var] = Value(F.col(column), v.type if v.kind != "null" else T.StringType())
     inner = replace(scope, variables={**scope.variables, **own}, depth=scope.depth + 1)
-    # row numbers would not be deterministic in a subquery: without an order, documents tie
-    source = foreign if has_order(foreign) else foreign.withColumn(ORDER, F.lit(0))
-    sub, kept = _lateral(source, stages, inner)
-    entry = F.struct(F.col(ORDER).alias("o"), F.struct(*[F.col(paths.quoted(n)) for n in kept.names]).alias("d"))
-    gathered = sub.select(_gathered(entry).alias("_found"))
-    joined = left.lateralJoin(gathered) if own or scope.variables else left.crossJoin(F.broadcast(gathered))
+    outer, first = variables_of(left), stages[0].get("$match") if stages else None
+    if not outer:
+        found = run_pipeline(foreign, stages, replace(scope, depth=0))
+        found = ordered(found)
+        entry = F.struct(F.col(ORDER).alias("o"), document(found).alias("d"))
+        kept, joined = visible(found), left.crossJoin(found.select(_gathered(entry).alias("_found")))
+        return _with_lists(joined, df, name, kept)
+    # without an order documents tie
+    sub = foreign if has_order(foreign) else foreign.withColumn(ORDER, F.lit(0))
+    domain = left.select(*outer).distinct()
+    if first is None:
+        sub = domain.crossJoin(sub)
+    else:
+        sub, stages = domain.join(sub, compile_filter(context(sub, inner), first)), stages[1:]
+    sub = run_pipeline(sub, stages, inner)
+    entry = F.struct(F.col(ORDER).alias("o"), document(sub).alias("d"))
+    back = sub.groupBy(*[F.col(n).alias(f"_of{n}") for n in outer]).agg(_gathered(entry).alias("_found"))
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_of{n}")) for n in outer])
+    joined = left.join(back, same, "left").drop(*[f"{LET}{scope.depth}_{var}" for var in let])
+    return _with_lists(joined, df, name, visible(sub))
+
+
+def _with_lists(joined, df, name, kept):
+    kind = T.ArrayType(kept)
     fields = {f.name: Value(F.col(paths.quoted(f.name)), f.dataType) for f in visible(df).fields}
-    _place(fields, name, Value(F.col("_found"), T.ArrayType(kept)))
+    _place(fields, name, Value(F.coalesce(F.col("_found"), F.array().cast(kind)), kind))
     return select_values(joined, fields)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextvars import ContextVar
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -21,13 +20,17 @@ ID = "_id"
 #: Hidden column with the natural order of documents
 ORDER = "_ord"
 
-#: Whether stages run inside a lateral subquery, where every frame has the order column
-#: and a frame's own schema cannot be asked for
-LATERAL: ContextVar[bool] = ContextVar("lateral", default=False)
+#: Beginning of the hidden columns that hold the variables of a lookup's pipeline
+LET = "_let"
 
 
 def has_order(df: DataFrame) -> bool:
-    return LATERAL.get() or ORDER in df.columns
+    return ORDER in df.columns
+
+
+def variables_of(df: DataFrame) -> list[str]:
+    """Hidden columns with variables of the lookups around a pipeline."""
+    return [n for n in df.columns if n.startswith(LET) and n[len(LET) : len(LET) + 1].isdigit()]
 
 
 def is_flag(v: Any) -> bool:
@@ -102,6 +105,7 @@ def exclude(v: Value, tree: dict) -> Value | None:
 def select_values(df: DataFrame, values: dict[str, Value]) -> DataFrame:
     """The values as columns; the hidden order column goes along."""
     hidden = [F.col(ORDER)] if ORDER not in values and has_order(df) else []
+    hidden += [F.col(n) for n in variables_of(df) if n not in values]
     return df.select(*[v.col.alias(n) for n, v in values.items()], *hidden)
 
 

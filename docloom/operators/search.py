@@ -208,6 +208,10 @@ def search(df: DataFrame, c: Context, fields: list[str], query: str, tokenizer:
     """Matching rows with ``score``, best first; ties come in the natural order."""
     tree = parse(query, fields, tokenizer)
     own = list(dict.fromkeys(leaves(tree)))
+    # a table of a few large row groups would be walked over by as many tasks
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 <= cores:
+        df = df.repartition(cores)
     every = list(dict.fromkeys(own + _all(tree)))
     freq = {leaf: f"_f{i}" for i, leaf in enumerate(every)}
     counts = {leaf: [] for leaf in every}

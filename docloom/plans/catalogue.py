@@ -181,12 +181,12 @@ _pipeline("acc_mergeObjects", "orders", [{"$sort": {"o_orderkey": 1}}, {"$group"
 # --- lookups --------------------------------------------------------------------------
 
 _pipeline("lookup_equality", "customer", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$project": {"c_custkey": 1, "n": {"$size": "$o"}, "total": {"$round": [{"$sum": "$o.o_totalprice"}, 2]}, "t": {"$round": [{"$sum": {"$map": {"input": "$o", "in": "$$this.o_totalprice"}}}, 2]}}}, {"$unset": "total"}], "select c_custkey, count(o_orderkey)::int n, coalesce(round(sum(o_totalprice), 2), 0) t from customer left join orders on o_custkey = c_custkey group by 1", "orders")
-_pipeline("lookup_anti", "customer", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$match": {"o": {"$size": 0}}}, {"$project": {"c_custkey": 1}}], "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)", "orders")
-_pipeline("lookup_semi", "customer", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$match": {"o": {"$ne": []}}}, {"$project": {"c_custkey": 1}}], "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey)", "orders")
+_pipeline("lookup_anti", "supplier", [{"$lookup": {"from": "customer", "localField": "s_suppkey", "foreignField": "c_nationkey", "as": "c"}}, {"$match": {"c": {"$size": 0}}}, {"$project": {"s_suppkey": 1}}], "select s_suppkey from supplier where not exists (select 1 from customer where c_nationkey = s_suppkey)", "customer")
+_pipeline("lookup_semi", "supplier", [{"$lookup": {"from": "customer", "localField": "s_suppkey", "foreignField": "c_nationkey", "as": "c"}}, {"$match": {"c": {"$ne": []}}}, {"$project": {"s_suppkey": 1}}], "select s_suppkey from supplier where exists (select 1 from customer where c_nationkey = s_suppkey)", "customer")
 _pipeline("lookup_array_local", "region", [{"$addFields": {"keys": ["$r_regionkey", {"$add": ["$r_regionkey", 1]}]}}, {"$lookup": {"from": "nation", "localField": "keys", "foreignField": "n_regionkey", "as": "n"}}, {"$project": {"r_regionkey": 1, "n": {"$size": "$n"}}}], "select r_regionkey, (select count(*) from nation where n_regionkey in (r_regionkey, r_regionkey + 1))::int n from region", "nation")
 _pipeline("lookup_correlated", "customer", [{"$lookup": {"from": "orders", "let": {"k": "$c_custkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$o_custkey", "$$k"]}}}, {"$sort": {"o_totalprice": -1, "o_orderkey": 1}}, {"$limit": 2}, {"$project": {"o_orderkey": 1}}], "as": "top"}}, {"$project": {"c_custkey": 1, "top": {"$map": {"input": "$top", "in": "$$this.o_orderkey"}}}}], "select c_custkey, coalesce((select string_agg(o_orderkey::varchar, ',' order by r) from (select o_orderkey, o_custkey k, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) r from orders) where k = c_custkey and r <= 2), '') top from customer", "orders")
 _pipeline("lookup_theta", "supplier", [{"$lookup": {"from": "nation", "let": {"n": "$s_nationkey"}, "pipeline": [{"$match": {"$expr": {"$lt": ["$n_nationkey", "$$n"]}}}, {"$count": "n"}], "as": "before"}}, {"$project": {"s_suppkey": 1, "n": {"$sum": {"$map": {"input": "$before", "in": "$$this.n"}}}}}], "select s_suppkey, (select count(*) from nation where n_nationkey < s_nationkey) n from supplier", "nation")
-_pipeline("lookup_as_of", "orders", [{"$match": {"o_orderkey": {"$lt": 300}}}, {"$lookup": {"from": "orders", "let": {"c": "$o_custkey", "k": "$o_orderkey"}, "pipeline": [{"$match": {"$expr": {"$and": [{"$eq": ["$o_custkey", "$$c"]}, {"$lt": ["$o_orderkey", "$$k"]}]}}}, {"$sort": {"o_orderkey": -1}}, {"$limit": 1}], "as": "p"}}, {"$project": {"o_orderkey": 1, "before": {"$getField": {"field": "o_orderkey", "input": {"$first": "$p"}}}}}], "select o_orderkey, (select max(p.o_orderkey) from orders p where p.o_custkey = o.o_custkey and p.o_orderkey < o.o_orderkey) as before from orders o where o_orderkey < 300", "orders")
+_pipeline("lookup_as_of", "orders", [{"$lookup": {"from": "orders", "let": {"c": "$o_custkey", "k": "$o_orderkey"}, "pipeline": [{"$match": {"$expr": {"$and": [{"$eq": ["$o_custkey", "$$c"]}, {"$lt": ["$o_orderkey", "$$k"]}]}}}, {"$sort": {"o_orderkey": -1}}, {"$limit": 1}], "as": "p"}}, {"$project": {"o_orderkey": 1, "before": {"$getField": {"field": "o_orderkey", "input": {"$first": "$p"}}}}}], "select o_orderkey, (select max(p.o_orderkey) from orders p where p.o_custkey = o.o_custkey and p.o_orderkey < o.o_orderkey) as before from orders o", "orders")
 _pipeline("lookup_group_inside", "region", [{"$lookup": {"from": "customer", "let": {"r": "$r_regionkey"}, "pipeline": [{"$match": {"$expr": {"$eq": [{"$mod": ["$c_nationkey", 5]}, "$$r"]}}}, {"$group": {"_id": "$c_mktsegment", "n": {"$sum": 1}, "keys": {"$push": "$c_custkey"}, "first": {"$min": "$c_custkey"}}}, {"$sort": {"_id": 1}}], "as": "s"}}, {"$unwind": "$s"}, {"$project": {"r_regionkey": 1, "segment": "$s._id", "n": "$s.n", "m": {"$size": "$s.keys"}, "first": "$s.first"}}], "select r_regionkey, c_mktsegment segment, count(*) n, count(*)::int m, min(c_custkey) as first from region join customer on c_nationkey % 5 = r_regionkey group by 1, 2", "customer")
 _pipeline("lookup_uncorrelated", "region", [{"$lookup": {"from": "nation", "pipeline": [{"$match": {"n_regionkey": 1}}, {"$project": {"n_nationkey": 1}}], "as": "n"}}, {"$project": {"r_regionkey": 1, "n": {"$size": "$n"}}}], "select r_regionkey, (select count(*) from nation where n_regionkey = 1)::int n from region", "nation")
 
@@ -262,25 +262,173 @@ _update("positional_all", "nested", {}, {"$inc": {"lines.$[].qty": 1}}, _nested(
 _update("positional_filtered", "nested", {}, {"$set": {"lines.$[big].qty": 99.0}}, _nested("list(case when l_quantity >= 30 then 99 else l_quantity::bigint end order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate)"), array_filters=[{"big.qty": {"$gte": 30}}])
 
 
+def _orders(spark, sf_dir, name: str = "orders"):
+    """All orders as a collection of a new database."""
+    return Database(spark).register(name, read(spark, sf_dir, "orders").withColumn("_id", F.col("o_orderkey")), order="o_orderkey")
+
+
 def _written(name: str, sql: str, work: Callable) -> None:
     def run(spark, sf_dir):
-        db = Database(spark)
-        c = db.register("nation", read(spark, sf_dir, "nation").withColumn("_id", F.col("n_nationkey")), order="n_nationkey")
+        c = _orders(spark, sf_dir)
         work(c)
         return c.find({}).df()
 
     query(sql, f"write_{name}")(run)
 
 
-_N = "select n_nationkey, n_name, n_regionkey, n_nationkey::bigint _id from nation"
-_written("delete_many", f"{_N} where n_regionkey <> 1", lambda c: c.delete_many({"n_regionkey": 1}))
-_written("delete_one", f"{_N} where n_nationkey <> (select min(n_nationkey) from nation where n_regionkey = 1)", lambda c: c.delete_one({"n_regionkey": 1}))
-_written("update_one", "select n_nationkey, case when n_nationkey = (select min(n_nationkey) from nation where n_regionkey = 1) then 'X' else n_name end n_name, n_regionkey, n_nationkey::bigint _id from nation", lambda c: c.update_one({"n_regionkey": 1}, {"$set": {"n_name": "X"}}))
-_written("pipeline_update", "select n_nationkey, lower(n_name) n_name, n_regionkey, n_nationkey::bigint _id from nation", lambda c: c.update_many({}, [{"$set": {"n_name": {"$toLower": "$n_name"}}}]))
-_written("insert", f"{_N} union all select 99::int, 'New', 9::int, 99::bigint", lambda c: c.insert_one({"_id": 99, "n_nationkey": 99, "n_name": "New", "n_regionkey": 9}))
-_written("upsert", f"{_N} union all select 77::int, 'Up', null::int, 77::bigint", lambda c: c.update_one({"_id": 77, "n_nationkey": 77}, {"$set": {"n_name": "Up"}}, upsert=True))
-_written("replace", "select case when n_nationkey = 3 then 1000 else n_nationkey end n_nationkey, case when n_nationkey = 3 then 'R' else n_name end n_name, case when n_nationkey <> 3 then n_regionkey end n_regionkey, n_nationkey::bigint _id from nation", lambda c: c.replace_one({"n_nationkey": 3}, {"n_nationkey": 1000, "n_name": "R"}))
-_written("bulk", f"select * from ({_N}) where n_nationkey <> 2", lambda c: c.bulk_write([{"delete_one": {"filter": {"n_nationkey": 2}}}, {"update_many": {"filter": {"n_nationkey": 2}, "update": {"$set": {"n_name": "?"}}}}]))
+def _ord(**k: str) -> str:
+    own = {"o_orderkey": "o_orderkey", "o_custkey": "o_custkey", "o_orderstatus": "o_orderstatus", "o_totalprice": "round(o_totalprice, 6)", "o_orderdate": "o_orderdate", "o_orderpriority": "o_orderpriority", "_id": "o_orderkey"}
+    return "select " + ", ".join(f"{v} {n}" for n, v in (own | k).items()) + " from orders"
+
+
+_FIRST = "(select min(o_orderkey) from orders where o_orderstatus = 'P')"
+_NEW = {"_id": -1, "o_orderkey": -1, "o_custkey": 5, "o_orderstatus": "N"}
+_NEW_SQL = "null::double, null::timestamp, null::varchar"
+_written("delete_many", f"{_ord()} where o_orderstatus <> 'P'", lambda c: c.delete_many({"o_orderstatus": "P"}))
+_written("delete_one", f"{_ord()} where o_orderkey <> {_FIRST}", lambda c: c.delete_one({"o_orderstatus": "P"}))
+_written("update_one", _ord(o_orderstatus=f"case when o_orderkey = {_FIRST} then 'X' else o_orderstatus end"), lambda c: c.update_one({"o_orderstatus": "P"}, {"$set": {"o_orderstatus": "X"}}))
+_written("update_many", _ord(o_totalprice="round(case when o_orderstatus = 'F' then o_totalprice + 1 else o_totalprice end, 6)"), lambda c: c.update_many({"o_orderstatus": "F"}, {"$inc": {"o_totalprice": 1}}))
+_written("pipeline_update", _ord(o_orderpriority="lower(o_orderpriority)"), lambda c: c.update_many({}, [{"$set": {"o_orderpriority": {"$toLower": "$o_orderpriority"}}}]))
+_written("insert", f"{_ord()} union all select -1, 5, 'N', {_NEW_SQL}, -1", lambda c: c.insert_one(dict(_NEW)))
+_written("upsert", f"{_ord()} union all select -7, null::bigint, 'U', {_NEW_SQL}, -7", lambda c: c.update_one({"_id": -7, "o_orderkey": -7}, {"$set": {"o_orderstatus": "U"}}, upsert=True))
+_written("replace", f"{_ord()} where o_orderkey <> {_FIRST} union all select {_FIRST}, 5, 'R', {_NEW_SQL}, {_FIRST}", lambda c: c.replace_one({"o_orderstatus": "P"}, {"o_orderkey": c.find_one({"o_orderstatus": "P"})["o_orderkey"], "o_custkey": 5, "o_orderstatus": "R"}))
+_written("bulk", f"{_ord()} where o_orderstatus <> 'P' union all select -1, 5, 'N', {_NEW_SQL}, -1 union all select -2, 5, 'N', {_NEW_SQL}, -2", lambda c: c.bulk_write([{"insert_one": {"document": dict(_NEW)}}, {"insert_one": {"document": {**_NEW, "_id": -2, "o_orderkey": -2}}}, {"delete_many": {"filter": {"o_orderstatus": "P"}}}, {"update_many": {"filter": {"o_orderstatus": "P"}, "update": {"$set": {"o_custkey": 0}}}}]))
+_written("insert_frame", f"{_ord()} union all {_ord(o_orderkey='-o_orderkey - 1', _id='-o_orderkey - 1')}", lambda c: c.insert_frame(c.source.drop("_id").withColumn("o_orderkey", -F.col("o_orderkey") - 1).withColumn("_id", F.col("o_orderkey"))))
+
+
+def _rows(name: str, schema: str, sql: str, work: Callable) -> None:
+    """A query whose few rows are what ``work`` returns for a collection of all orders."""
+    query(sql, name)(lambda spark, sf_dir: spark.createDataFrame(work(_orders(spark, sf_dir)), schema))
+
+
+def _failed(work: Callable) -> int:
+    from ..errors import DocError
+
+    try:
+        work()
+    except DocError as e:
+        return e.code or 0
+    return -1
+
+
+def _one_and(method: str, *args, **more):
+    def run(c):
+        got = getattr(c, method)({"o_orderstatus": "F"}, *args, sort={"o_totalprice": -1}, **more)
+        return [(got["o_orderkey"], got["o_custkey"], c.count_documents({}), c.count_documents({"o_custkey": -1}))]
+
+    return run
+
+
+_ONE = "o_orderkey long, o_custkey long, n long, changed long"
+_BEST = "from (select * from orders where o_orderstatus = 'F' order by o_totalprice desc, o_orderkey limit 1)"
+_EVERY = "(select count(*) from orders)"
+_rows("find_one_and_update", _ONE, f"select o_orderkey, -1 o_custkey, {_EVERY} n, 1 changed {_BEST}", _one_and("find_one_and_update", {"$set": {"o_custkey": -1}}, return_document="after"))
+_rows("find_one_and_replace", _ONE, f"select o_orderkey, o_custkey, {_EVERY} n, 1 changed {_BEST}", _one_and("find_one_and_replace", {"o_custkey": -1}))
+_rows("find_one_and_delete", _ONE, f"select o_orderkey, o_custkey, {_EVERY} - 1 n, 0 changed {_BEST}", _one_and("find_one_and_delete"))
+_rows("find_one", "o_orderkey long", "select min(o_orderkey) o_orderkey from orders where o_custkey = 10", lambda c: [(d["o_orderkey"],) for d in [c.find_one({"o_custkey": 10})] if d] or [(None,)])
+_rows("count_documents", "n long, every long, windowed long, cursor long", "select count(*) filter (o_orderstatus = 'F') n, count(*) every, 7 windowed, count(*) filter (o_custkey < 50) cursor from orders", lambda c: [(c.count_documents({"o_orderstatus": "F"}), c.estimated_document_count(), c.count_documents({}, skip=3, limit=7), c.find({"o_custkey": {"$lt": 50}}).count())])
+_rows("update_counts", "matched long, modified long", "select count(*) matched, count(*) filter (o_custkey <> 10) modified from orders where o_orderstatus = 'P'", lambda c: [(r["matched_count"], r["modified_count"]) for r in [c.update_many({"o_orderstatus": "P"}, {"$set": {"o_custkey": 10}})]])
+_rows("duplicate_key", "code int, n long", "select 11000 code, count(*) + 1 n from orders", lambda c: [(_failed(lambda: c.insert_many([dict(_NEW), {"_id": 1}, {"_id": -5}]) if c.find_one({"_id": 1}) else c.insert_many([dict(_NEW), dict(_NEW)])), c.count_documents({}))])
+
+
+def _indexed(c):
+    c.create_index({"o_orderkey": 1}, unique=True)
+    c.create_index({"o_custkey": 1}, unique=True, partial_filter={"o_orderkey": {"$lt": 0}})
+    codes = [_failed(lambda d=d: c.insert_one(d)) for d in ({"_id": -9, "o_orderkey": 1}, {"_id": -1, "o_orderkey": -1, "o_custkey": 3}, {"_id": -2, "o_orderkey": -2, "o_custkey": 3})]
+    return [(*codes, c.count_documents({"o_orderkey": {"$lt": 0}}))]
+
+
+_rows("unique_index", "plain int, partial_new int, partial_again int, n long", "select 11000 plain, -1 partial_new, 11000 partial_again, 1 n", _indexed)
+
+
+def _nested_transactions(c):
+    def outer(db):
+        c.delete_many({"o_orderstatus": "P"})
+        _failed(lambda: db.with_transaction(inner))
+
+    def inner(db):
+        from ..errors import DocError
+
+        c.delete_many({})
+        raise DocError("no")
+
+    c.db.with_transaction(outer)
+    return [(c.count_documents({}),)]
+
+
+_rows("transaction_nested", "n long", "select count(*) n from orders where o_orderstatus <> 'P'", _nested_transactions)
+
+
+@query("select (o_custkey % 10)::int k, count(*) n from orders group by 1", "collections_renamed")
+def _renamed(spark, sf_dir):
+    c = _orders(spark, sf_dir)
+    c.db.rename_collection("orders", "sales")
+    c.db.create_collection("gone")
+    c.db.drop_collection("gone")
+    (name,) = (x["name"] for x in c.db.list_collections())
+    return c.db[name].aggregate([{"$group": {"_id": {"$mod": ["$o_custkey", 10]}, "n": {"$sum": 1}}}, {"$project": {"_id": 0, "k": {"$toInt": "$_id"}, "n": 1}}])
+
+
+@query("(select o_custkey k from orders where o_orderstatus = 'F' intersect select o_custkey from orders where o_orderstatus = 'O') except select o_custkey from orders where o_orderstatus = 'P' union select -1", "sql_set_operations")
+def _set_operations(spark, sf_dir):
+    c = _orders(spark, sf_dir)
+    t = c.db.table("orders")
+    part = lambda s: f"select o_custkey k from {t} where o_orderstatus = '{s}'"
+    return c.db.sql(f"(({part('F')}) intersect ({part('O')})) except ({part('P')}) union select -1")
+
+
+# --- null and missing values, whole objects, arrays ---------------------------------------
+
+_SOME = {"$addFields": {"v": {"$cond": [{"$eq": [{"$mod": ["$o_orderkey", 3]}, 0]}, None, "$o_custkey"]}}}
+_KEY = {"$project": {"_id": 0, "o_orderkey": 1}}
+for _name, _said, _where in (
+    ("eq_null", {"v": None}, "o_orderkey % 3 = 0"),
+    ("ne_missing", {"v": {"$ne": 10}}, "o_orderkey % 3 = 0 or o_custkey <> 10"),
+    ("exists", {"v": {"$exists": True}}, "o_orderkey % 3 <> 0"),
+    ("exists_not", {"v": {"$exists": False}}, "o_orderkey % 3 = 0"),
+    ("in_null", {"v": {"$in": [None, 10]}}, "o_orderkey % 3 = 0 or o_custkey = 10"),
+    ("nin_null", {"v": {"$nin": [None, 10]}}, "o_orderkey % 3 <> 0 and o_custkey <> 10"),
+    ("not_null", {"v": {"$not": {"$lt": 500}}}, "o_orderkey % 3 = 0 or o_custkey >= 500"),
+    ("type_code", {"o_orderstatus": {"$type": [2, "bool"]}, "v": {"$type": "number"}}, "o_orderkey % 3 <> 0"),
+):
+    _pipeline(f"filter_{_name}", "orders", [_SOME, {"$match": _said}, _KEY], f"select o_orderkey from orders where {_where}")
+_pipeline("stage_sort_nulls_first", "orders", [_SOME, {"$sort": {"v": 1, "o_orderkey": 1}}, {"$limit": 7000}, _KEY], "select o_orderkey from orders order by case when o_orderkey % 3 <> 0 then o_custkey end nulls first, o_orderkey limit 7000")
+_pipeline("stage_group_null_key", "orders", [_SOME, {"$group": {"_id": "$v", "n": {"$sum": 1}}}], "select case when o_orderkey % 3 <> 0 then o_custkey end _id, count(*) n from orders group by 1")
+_OBJECT = [{"$group": {"_id": {"s": "$o_orderstatus", "p": "$o_orderpriority"}, "n": {"$sum": 1}}}, {"$match": {"_id": {"s": "F", "p": "2-HIGH"}}}, {"$project": {"_id": 0, "n": 1}}]
+_pipeline("filter_whole_object", "orders", _OBJECT, "select count(*) n from orders where o_orderstatus = 'F' and o_orderpriority = '2-HIGH' having count(*) > 0")
+_KEYS_OF = {"$group": {"_id": "$o_custkey", "keys": {"$push": "$o_orderkey"}}}
+_BY_KEY = {"$sort": {"o_orderkey": 1}}
+_pipeline("filter_whole_array", "orders", [_BY_KEY, {"$match": {"o_orderkey": {"$mod": [40, 1]}}}, _KEYS_OF, {"$match": {"keys": {"$ne": [1]}}}, {"$project": {"_id": 1}}], "select o_custkey _id from orders where o_orderkey % 40 = 1 group by 1 having list(o_orderkey order by o_orderkey) <> [1]")
+_pipeline("filter_elemMatch_empty", "orders", [_BY_KEY, _KEYS_OF, {"$match": {"keys": {"$elemMatch": {}}}}, {"$count": "n"}], "select 0 n where false")
+_pipeline("stage_sort_array", "orders", [_BY_KEY, {"$match": {"o_orderkey": {"$mod": [40, 1]}}}, _KEYS_OF, {"$sort": {"keys": 1, "_id": 1}}, {"$limit": 20}, {"$project": {"_id": 1}}], "select o_custkey _id from (select o_custkey, '[' || string_agg(o_orderkey, ',' order by o_orderkey) || ']' k from orders where o_orderkey % 40 = 1 group by 1) order by k, o_custkey limit 20")
+_pipeline("stage_sort_array_descending", "orders", [_BY_KEY, {"$match": {"o_orderkey": {"$mod": [40, 1]}}}, _KEYS_OF, {"$sort": {"keys": -1, "_id": 1}}, {"$limit": 20}, {"$project": {"_id": 1}}], "select o_custkey _id from (select o_custkey, '[' || string_agg(o_orderkey, ',' order by o_orderkey) || ']' k from orders where o_orderkey % 40 = 1 group by 1) order by k desc, o_custkey limit 20")
+_pipeline("lookup_unwind", "customer", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$unwind": "$o"}, {"$project": {"_id": 0, "c_custkey": 1, "key": "$o.o_orderkey", "price": "$o.o_totalprice"}}], "select c_custkey, o_orderkey as key, round(o_totalprice, 6) price from customer join orders on o_custkey = c_custkey", "orders")
+_pipeline("lookup_null_keys", "orders", [_SOME, {"$lookup": {"from": "customer", "localField": "v", "foreignField": "c_custkey", "as": "c"}}, {"$match": {"c": {"$size": 0}}}, {"$group": {"_id": None, "n": {"$sum": 1}}}, {"$project": {"_id": 0, "n": 1}}], "select count(*) n from orders where o_orderkey % 3 = 0 or o_custkey not in (select c_custkey from customer)", "customer")
+_pipeline("lookup_nested", "region", [{"$lookup": {"from": "nation", "let": {"r": "$r_regionkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$n_regionkey", "$$r"]}}}, {"$lookup": {"from": "supplier", "localField": "n_nationkey", "foreignField": "s_nationkey", "as": "s"}}, {"$project": {"n": {"$size": "$s"}}}], "as": "x"}}, {"$project": {"r_regionkey": 1, "n": {"$sum": {"$map": {"input": "$x", "in": "$$this.n"}}}}}], "select r_regionkey, (select count(*) from supplier join nation on s_nationkey = n_nationkey where n_regionkey = r_regionkey) n from region", "nation", "supplier")
+
+
+@query("select true in_range", "filter_sampleRate")
+def _sample(spark, sf_dir):
+    df = read(spark, sf_dir, "orders")
+    n = df.where(compile_filter(Context(df.schema), {"$sampleRate": 0.5})).agg(F.count("*").alias("n"))
+    every = df.agg(F.count("*").alias("every"))
+    # within six standard deviations of a half
+    return n.join(every).select((F.abs(F.col("n") - F.col("every") / 2) <= 3 * F.sqrt("every")).alias("in_range"))
+
+
+@query("select o_custkey _id, array_to_string([x for x in list(o_orderkey order by o_orderkey) if x not in (1, 2, 3, 500, 1000)], ',') v from orders group by 1", "update_pullAll")
+def _pull_all(spark, sf_dir):
+    c = Database(spark).register("lists", aggregate(read(spark, sf_dir, "orders"), [_BY_KEY, _KEYS_OF]), order="_id")
+    c.update_many({}, {"$pullAll": {"keys": [1, 2, 3, 500, 1000]}})
+    return c.find({}).df().select("_id", _join(F.col("keys")).alias("v"))
+
+
+@query("select o_orderkey, o_orderstatus = 'F' touched from orders", "update_currentDate")
+def _current_date(spark, sf_dir):
+    c = _orders(spark, sf_dir)
+    c.update_many({"o_orderstatus": "F"}, {"$currentDate": {"at": True}})
+    recent = F.coalesce(F.abs(F.unix_timestamp(F.col("at").cast("timestamp")) - F.unix_timestamp(F.current_timestamp())) < 90_000, F.lit(False))
+    return c.find({}).df().select("o_orderkey", recent.alias("touched"))
 
 
 @query("select n_nationkey, n_name, n_regionkey, n_nationkey::bigint _id from nation", "transaction_rollback")
@@ -341,16 +489,14 @@ def _top_k(spark, sf_dir):
     return aggregate(df, [{"$addFields": {"score": {"$similarityDotProduct": ["$embedding", vector]}}}, {"$sort": {"score": -1, "vec_id": 1}}, {"$limit": 10}, {"$project": {"vec_id": 1, "score": 1}}])
 
 
-@query("select event_id _id, 'insert' kind from events where event_id < 20 union all select event_id, 'delete' from events where event_id < 5", "change_stream")
+@query("select event_id _id, 'insert' kind from events union all select event_id, 'delete' from events where event_type = 'click'", "change_stream")
 def _changes(spark, sf_dir):
     db = Database(spark)
     c = db["events"]
     stream = c.watch([{"$match": {"operationType": {"$in": ["insert", "delete"]}}}])
-    docs = read(spark, sf_dir, "events").where("event_id < 20").select(F.col("event_id").alias("_id"), "event_type").collect()
-    c.insert_many([r.asDict() for r in docs])
-    c.delete_many({"_id": {"$lt": 5}})
-    events = [(e["documentKey"]["_id"], e["operationType"]) for e in stream]
-    return spark.createDataFrame(events, "_id long, kind string")
+    c.insert_frame(read(spark, sf_dir, "events").select(F.col("event_id").alias("_id"), "event_type"))
+    c.delete_many({"event_type": "click"})
+    return stream.read().select(F.get_json_object("documentKey", "$._id").cast("long").alias("_id"), F.col("operationType").alias("kind"))
 
 
 @query("select time_bucket(interval 1 hour, ts) bucket, event_type, count(*) n from events group by 1, 2", "stream_windowed_counts")

@@ -10,6 +10,8 @@ KEYS = {
 _ARR = ["$o_orderkey", "$o_custkey", 5, 5]
 _ARR_SQL = "[o_orderkey, o_custkey, 5, 5]"
 _MOD = {"$mod": ["$o_orderkey", 7]}
+#: a value that every seventh row has not
+_SOME = {"$cond": [{"$eq": [_MOD, 0]}, None, "$o_custkey"]}
 
 EXPRESSIONS: dict[str, tuple] = {
     "literal": (O, {"$literal": "$o_orderkey"}, "'$o_orderkey'"),
@@ -17,7 +19,7 @@ EXPRESSIONS: dict[str, tuple] = {
     "add": (L, {"$add": ["$l_quantity", "$l_tax", 1]}, "l_quantity + l_tax + 1"),
     "add_date": (O, {"$dateToString": {"date": {"$add": ["$o_orderdate", 86400000]}, "format": "%Y-%m-%d"}}, "strftime(o_orderdate + interval 1 day, '%Y-%m-%d')"),
     "subtract": (L, {"$subtract": ["$l_quantity", "$l_discount"]}, "l_quantity - l_discount"),
-    "subtract_dates": (L, {"$subtract": ["$l_shipdate", "$l_shipdate"]}, "0::bigint"),
+    "subtract_dates": (O, {"$subtract": ["$o_orderdate", {"$toDate": "1995-01-01"}]}, "epoch_ms(o_orderdate) - epoch_ms(timestamp '1995-01-01')"),
     "multiply": (L, {"$multiply": ["$l_quantity", "$l_tax"]}, "l_quantity * l_tax"),
     "divide": (L, {"$divide": ["$l_extendedprice", "$l_quantity"]}, "l_extendedprice / l_quantity"),
     "mod": (O, _MOD, "o_orderkey % 7"),
@@ -41,8 +43,8 @@ EXPRESSIONS: dict[str, tuple] = {
     # comparison, boolean, conditional
     "cmp": (O, {"$cmp": ["$o_orderkey", "$o_custkey"]}, "sign(o_orderkey - o_custkey)::int"),
     **{n: (O, {f"${n}": ["$o_orderkey", "$o_custkey"]}, f"o_orderkey {s} o_custkey") for n, s in (("eq", "="), ("ne", "<>"), ("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<="))},
-    "lt_missing": (O, {"$lt": ["$absent", 5]}, "true"),
-    "eq_missing_null": (O, {"$eq": ["$absent", None]}, "true"),
+    "lt_missing": (O, {"$lt": [_SOME, 100]}, "o_orderkey % 7 = 0 or o_custkey < 100"),
+    "eq_missing_null": (O, {"$eq": [_SOME, None]}, "o_orderkey % 7 = 0"),
     "and": (O, {"$and": [{"$gt": ["$o_totalprice", 100000]}, {"$eq": ["$o_orderstatus", "F"]}]}, "o_totalprice > 100000 and o_orderstatus = 'F'"),
     "or": (O, {"$or": [{"$gt": ["$o_totalprice", 100000]}, {"$eq": ["$o_orderstatus", "F"]}]}, "o_totalprice > 100000 or o_orderstatus = 'F'"),
     "not": (O, {"$not": [{"$eq": ["$o_orderstatus", "F"]}]}, "o_orderstatus <> 'F'"),

@@ -9,9 +9,7 @@ from .expression_queries import C, D, E, L, O, P
 FILTERS: dict[str, tuple] = {
     "implicit_eq": (O, {"o_orderstatus": "F"}, "o_orderstatus = 'F'"),
     "eq": (O, {"o_orderkey": {"$eq": 7}}, "o_orderkey = 7"),
-    "eq_null": (O, {"absent": None}, "true"),
     "ne": (O, {"o_orderstatus": {"$ne": "F"}}, "o_orderstatus <> 'F'"),
-    "ne_missing": (O, {"absent": {"$ne": 1}}, "true"),
     "gt": (O, {"o_totalprice": {"$gt": 200000}}, "o_totalprice > 200000"),
     "gte": (O, {"o_orderkey": {"$gte": 500}}, "o_orderkey >= 500"),
     "lt": (O, {"o_orderdate": {"$lt": __import__("datetime").datetime(1995, 1, 1)}}, "o_orderdate < timestamp '1995-01-01'"),
@@ -26,9 +24,7 @@ FILTERS: dict[str, tuple] = {
     "nor": (O, {"$nor": [{"o_orderstatus": "F"}, {"o_orderkey": {"$lt": 100}}]}, "not (o_orderstatus = 'F' or o_orderkey < 100)"),
     "not": (O, {"o_totalprice": {"$not": {"$gt": 100000}}}, "not o_totalprice > 100000"),
     "not_regex": (C, {"c_mktsegment": {"$not": re.compile("^b", re.I)}}, "c_mktsegment not like 'B%'"),
-    "exists": (O, {"o_orderkey": {"$exists": True}, "absent": {"$exists": False}}, "true"),
     "type": (O, {"o_totalprice": {"$type": "int"}}, "o_totalprice = floor(o_totalprice)"),
-    "type_code": (O, {"o_orderstatus": {"$type": [2, "bool"]}}, "true"),
     "regex": (P, {"p_name": {"$regex": "^[a-m].*e$", "$options": "i"}}, "regexp_matches(p_name, '(?i)^[a-m].*e$')"),
     "bare_regex": (D, {"text": re.compile("tion[a-z]+\\.")}, "regexp_matches(text, 'tion[a-z]+\\.')"),
     "mod": (O, {"o_orderkey": {"$mod": [7, 3]}}, "o_orderkey % 7 = 3"),
@@ -47,6 +43,5 @@ FILTERS: dict[str, tuple] = {
     "expr_error": (O, {"$expr": {"$gt": [{"$divide": ["$o_totalprice", {"$mod": ["$o_orderkey", 2]}]}, 1000]}}, "o_orderkey % 2 <> 0 and o_totalprice > 1000"),
     "expr_wrong_type": (O, {"$expr": {"$gt": [{"$add": ["$o_orderstatus", 1]}, 1]}}, "false"),
     "comment": (O, {"$comment": "all", "o_orderkey": {"$lt": 10}}, "o_orderkey < 10"),
-    "sampleRate": (O, {"$sampleRate": 1.0}, "true"),
     "events": (E, {"event_type": {"$in": ["click", "view"]}, "value": {"$gte": 50}}, "event_type in ('click', 'view') and value >= 50"),
 }

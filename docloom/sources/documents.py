@@ -12,6 +12,7 @@ import tempfile
 import threading
 import time
 from collections.abc import Iterable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -176,32 +177,60 @@ def merged(a: DataFrame, b: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def local_folder(spark: SparkSession) -> str:
+    """A temporary folder, where all executors are on this machine; an error on a cluster."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise DocError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="docloom-")
+
+
 class Versions:
-    """Where versions of collections are kept: parquet below a path, or checkpoints."""
+    """Where versions of collections are kept: parquet below a path, or checkpoints.
+
+    A version is a folder ``v-…`` and the folders ``a-…`` of later appends.  Folders are
+    listed and removed by the path's own file system.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None):
         self.spark, self.path = spark, path
 
-    def store(self, name: str, df: DataFrame) -> DataFrame:
+    def _files(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def _list(self, path: str) -> list[str]:
+        files, place = self._files(path)
+        return sorted(s.getPath().getName() for s in files.listStatus(place)) if files.exists(place) else []
+
+    def remove(self, name: str) -> None:
+        files, place = self._files(f"{self.path}/{name}")
+        files.delete(place, True)
+
+    def store(self, name: str, df: DataFrame, *, append: bool = False) -> DataFrame:
+        """``df``, stored; ``append``: as further rows of the version before."""
         if self.path:
-            place = f"{self.path}/{name}/v-{time.time_ns()}"
+            place = f"{self.path}/{name}/{'a' if append else 'v'}-{time.time_ns()}"
             df.write.parquet(place)
             return self.spark.read.schema(df.schema).parquet(place)
         context = self.spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docloom-"))
+            context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or local_folder(self.spark))
         return df.checkpoint(eager=True)
 
     def names(self) -> Iterable[str]:
-        if self.path and os.path.isdir(self.path):
-            yield from sorted(n for n in os.listdir(self.path) if not n.startswith("_"))
+        if self.path:
+            yield from (n for n in self._list(self.path) if not n.startswith("_"))
 
     def latest(self, name: str) -> DataFrame | None:
         folder = f"{self.path}/{name}"
         if name.endswith(".parquet"):
             return self.spark.read.parquet(folder)
-        kept = sorted(n for n in os.listdir(folder) if n.startswith("v-")) if os.path.isdir(folder) else []
-        return self.spark.read.parquet(f"{folder}/{kept[-1]}") if kept else None
+        kept = sorted((n for n in self._list(folder) if n.startswith(("v-", "a-"))), key=lambda n: n[2:])
+        if not kept:
+            return None
+        start = max((i for i, n in enumerate(kept) if n.startswith("v-")), default=0)
+        parts = [self.spark.read.parquet(f"{folder}/{n}") for n in kept[start:]]
+        return reduce(merged, parts)
 
 
 def as_json(v: Any) -> str:

@@ -12,12 +12,14 @@ import uuid
 from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import CompileError, DocError
 from ..operators.pipeline import Scope, run_pipeline, validate
-from ..sources.documents import as_json, decode
+from ..sources.documents import as_json, decode, local_folder
 
 _NS = T.StructType([T.StructField("db", T.StringType()), T.StructField("coll", T.StringType())])
 SCHEMA = T.StructType(
@@ -77,6 +79,12 @@ def difference(old: dict, new: dict) -> dict[str, Any]:
     return {"updatedFields": as_json(updated), "removedFields": removed, "truncatedArrays": cut}
 
 
+def _without_nulls(v: Any) -> Any:
+    if isinstance(v, dict):
+        return {k: _without_nulls(x) for k, x in v.items() if x is not None}
+    return [_without_nulls(x) for x in v] if isinstance(v, list) else v
+
+
 class ChangeLog:
     """Events of a database, appended to a folder in one write per commit."""
 
@@ -96,6 +104,29 @@ class ChangeLog:
             rows.append(row)
         self.spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").json(self.path)
 
+    def append_frame(self, event: dict, after: DataFrame | None, before: DataFrame | None) -> None:
+        """One event like ``event`` for each row of a frame, written by the executors, in the order of its partitions."""
+        self.count += 1
+        head, side = f"{self.count:016x}", "fullDocument" if after is not None else "fullDocumentBeforeChange"
+        docs = after if after is not None else before
+        same = {f.name: event.get(f.name) for f in SCHEMA.fields}
+        same["wallTime"] = event["wallTime"].astimezone()
+
+        def run(batches):
+            from pyspark import TaskContext
+
+            task, n = TaskContext.get().partitionId(), 0
+            for batch in batches:
+                rows = []
+                for d in batch.to_pylist():
+                    d = _without_nulls(d)
+                    rows.append({**same, "_id": {"_data": f"{head}-{task:08x}-{n:010x}"}, "documentKey": as_json({"_id": d.get("_id")}), side: as_json(d)})
+                    n += 1
+                yield pa.RecordBatch.from_pylist(rows, schema=kind)
+
+        kind = to_arrow_schema(SCHEMA)
+        docs.mapInArrow(run, SCHEMA).write.mode("append").json(self.path)
+
     def stream(self) -> DataFrame:
         self.spark.createDataFrame([], SCHEMA).write.mode("append").json(self.path)
         return self.spark.readStream.schema(SCHEMA).json(self.path)
@@ -132,14 +163,21 @@ class ChangeStream:
             events = events.drop("fullDocumentBeforeChange")
         return run_pipeline(events, self.pipeline, Scope())
 
+    def read(self) -> DataFrame:
+        """All events that are in the log by now, as a frame: a stream's batches, stored by the executors."""
+        shared = self.log.spark.sparkContext.getConf().get("spark.checkpoint.dir") or local_folder(self.log.spark)
+        place = f"{shared}/changes-{uuid.uuid4().hex}"
+        frame = self.frame()
+        stream = frame.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state")
+        stream.trigger(availableNow=True).start().awaitTermination()
+        return self.log.spark.read.schema(frame.schema).parquet(f"{place}/rows")
+
     def _pull(self) -> None:
         """All events that are in the log by now."""
         if self._query is None:
-            import tempfile
-
             context = self.log.spark.sparkContext
             base = context.getConf().get("spark.checkpoint.dir")
-            self._state = f"{base}/changes-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="docloom-changes-")
+            self._state = f"{base}/changes-{uuid.uuid4().hex}" if base else local_folder(self.log.spark)
             self._query = True
 
         def collect(batch: DataFrame, _: int) -> None:
