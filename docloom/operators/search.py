@@ -190,18 +190,12 @@ def _frequency(c: Column, leaf: Leaf) -> Column:
     return F.size(F.filter(F.transform(c, lambda x, i: here(i)), lambda hit: hit))
 
 
-def _hits(leaf: Leaf):
+def _count(words: Column, leaf: Leaf) -> Column:
+    """How many of the tokens are a one-token leaf."""
     (t,) = leaf.tokens
-    return (lambda x: x.startswith(t)) if leaf.prefix else (lambda x: x == t)
-
-
-def _tally(words: Column, single: list[Leaf]) -> Column:
-    """Number of tokens and of each one-token leaf, in one walk over the tokens."""
-    names = ["n", *[f"f{i}" for i in range(len(single))]]
-    tests = [lambda x: F.lit(True), *map(_hits, single)]
-    start = F.struct(*[F.lit(0).alias(n) for n in names])
-    step = lambda a, x: F.struct(*[(a[n] + test(x).cast("int")).alias(n) for n, test in zip(names, tests)])
-    return F.aggregate(words, start, step)
+    if leaf.prefix:
+        return F.size(F.filter(words, lambda x: x.startswith(t)))
+    return F.size(words) - F.size(F.array_remove(words, F.lit(t)))
 
 
 def search(df: DataFrame, c: Context, fields: list[str], query: str, tokenizer: str = "unicode61", *, limit: int | None = None, skip: int = 0, order: str | None = None) -> DataFrame:
@@ -215,25 +209,19 @@ def search(df: DataFrame, c: Context, fields: list[str], query: str, tokenizer:
     every = list(dict.fromkeys(own + _all(tree)))
     freq = {leaf: f"_f{i}" for i, leaf in enumerate(every)}
     counts = {leaf: [] for leaf in every}
-    parts, sizes = {}, []
-    for i, f in enumerate(fields):
-        words = _tokens(text_of(paths.plain(c.root, f)), tokenizer)
-        mine = [leaf for leaf in every if leaf.field in (None, f)]
-        single = [leaf for leaf in mine if len(leaf.tokens) == 1]
-        parts[f"c{i}"] = _tally(words, single)
-        sizes.append(F.col("_c")[f"c{i}"]["n"])
-        for k, leaf in enumerate(mine):
-            if leaf in single:
-                counts[leaf].append(F.col("_c")[f"c{i}"][f"f{single.index(leaf)}"])
-            else:
-                parts[f"p{i}_{k}"] = _frequency(words, leaf)
-                counts[leaf].append(F.col("_c")[f"p{i}_{k}"])
+    tokens = {f"w{i}": _tokens(text_of(paths.plain(c.root, f)), tokenizer) for i, f in enumerate(fields)}
     # exploding one struct keeps its evaluation to once a row: nothing is pushed below it or inlined
-    once = F.explode(F.array(F.struct(*[v.alias(k) for k, v in parts.items()])))
-    base = df.select("*", once.alias("_c"))
-    for leaf, own_parts in counts.items():
-        base = base.withColumn(freq[leaf], reduce(lambda a, b: a + b, own_parts))
-    base = base.withColumn("_len", reduce(lambda a, b: a + b, sizes)).drop("_c")
+    once = F.explode(F.array(F.struct(*[v.alias(k) for k, v in tokens.items()])))
+    base, sizes = df.select("*", once.alias("_w")), []
+    for i, f in enumerate(fields):
+        words = F.col("_w")[f"w{i}"]
+        sizes.append(F.size(words))
+        for leaf in every:
+            if leaf.field in (None, f):
+                counts[leaf].append(_count(words, leaf) if len(leaf.tokens) == 1 else _frequency(words, leaf))
+    names = {leaf: F.coalesce(reduce(lambda a, b: a + b, own_parts), F.lit(0)) for leaf, own_parts in counts.items()}
+    base = base.withColumns({freq[leaf]: n for leaf, n in names.items()})
+    base = base.withColumn("_len", reduce(lambda a, b: a + b, sizes)).drop("_w")
 
     def holds(node) -> Column:
         if isinstance(node, Leaf):
