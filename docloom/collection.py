@@ -21,10 +21,10 @@ from .operators import ordering, search
 from .operators.filters import matches
 from .operators.pipeline import Scope, run_pipeline, visible
 from .operators.projection import ID, ORDER, add_fields, find_projection, stage_projection, unset
-from .operators.updates import compile_update, seed
+from .operators.updates import Update, compile_update, seed
 from .plans import paths
 from .plans import values as V
-from .plans.values import Value
+from .plans.values import NULLS, Value
 from .sources.documents import ObjectId, from_row, merged, to_frame, validate
 
 
@@ -101,6 +101,9 @@ class Cursor:
 
     def df(self, natural: bool = False) -> DataFrame:
         """The query as a DataFrame; sorted only as far as the query says, or by the ``natural`` order."""
+        return self._documents(natural).drop(NULLS)
+
+    def _documents(self, natural: bool) -> DataFrame:
         df = self._window(natural)
         if self._projection:
             df = find_projection(df, self._c.context(df), self._projection, self._query)
@@ -116,7 +119,7 @@ class Cursor:
 
     def __iter__(self) -> Iterator:
         if self._rows is None:
-            self._rows = (self._map(d) if self._map else d for d in map(from_row, self.df(natural=True).toLocalIterator()))
+            self._rows = (self._map(d) if self._map else d for d in map(from_row, self._documents(natural=True).toLocalIterator()))
         return self._rows
 
     def next(self) -> Any:
@@ -157,7 +160,8 @@ class Collection:
         return df if ORDER in df.columns else df.withColumn(ORDER, F.monotonically_increasing_id())
 
     def context(self, df: DataFrame | None = None) -> Context:
-        return Context(visible(df if df is not None else self.frame), strict=self.db.strict)
+        df = self.frame if df is None else df
+        return Context(visible(df), strict=self.db.strict, nulls=NULLS in df.columns)
 
     def find(self, query: dict | None = None, projection: dict | None = None, **options: Any) -> Cursor:
         return Cursor(self, query or {}, projection, **options)
@@ -168,7 +172,7 @@ class Collection:
 
     def aggregate(self, pipeline: list[dict]) -> DataFrame:
         scope = Scope(lambda name: self.db.collection(name).source, strict=self.db.strict)
-        return run_pipeline(self.source, pipeline, scope).drop(ORDER)
+        return run_pipeline(self.source, pipeline, scope).drop(ORDER, NULLS)
 
     def count_documents(self, query: dict | None = None, **window: Any) -> int:
         return self.find(query, **window).count()
@@ -182,8 +186,9 @@ class Collection:
         v = paths.plain(c.root, path, c.strict)
         if v.kind == "null":
             return []
-        rows = df.where(matches_or_all(c, query or {})).select((F.explode(v.col) if v.kind == "array" else v.col).alias("v"))
-        return [from_row(r.v) for r in rows.where("v is not null").distinct().orderBy("v").collect()]
+        rows = df.where(matches_or_all(c, query or {}))
+        rows = rows.select(F.explode(v.col).alias("v")) if v.kind == "array" else rows.where(v.present).select(v.col.alias("v"))
+        return [from_row(r.v) for r in rows.distinct().orderBy("v").collect()]
 
     # --- versions -------------------------------------------------------------------
 
@@ -268,7 +273,7 @@ class Collection:
         self._put_more(rows, every, start + (rows.rdd.getNumPartitions() << 33))
         if self._watched:
             added = self.frame.where(F.col(ORDER) >= start)
-            self.db.publish_frame(self._event("insert"), added.orderBy(ORDER).drop(ORDER), None)
+            self.db.publish_frame(self._event("insert"), added.orderBy(ORDER).drop(ORDER, NULLS), None)
         return counts.n
 
     def _taken(self, new: DataFrame, ids: list) -> set[str]:
@@ -311,12 +316,11 @@ class Collection:
         at = row[0] if row else None
         return (F.col(ORDER) == at if at is not None else F.lit(False)), at
 
-    def _new_values(self, update: dict | list, query: dict, array_filters) -> tuple[dict[str, Value | None], list]:
+    def _new_values(self, update: dict | list, query: dict, array_filters) -> Update:
         c = self.context()
         if isinstance(update, list):
-            return self._pipeline_values(update), []
-        got = compile_update(c, update, query, array_filters)
-        return got.values, got.guards
+            return Update(self._pipeline_values(update), [], [], *_pipeline_nulls(update, c.schema.names))
+        return compile_update(c, update, query, array_filters)
 
     def _pipeline_values(self, stages: list[dict]) -> dict[str, Value | None]:
         """What a pipeline of ``$set``, ``$unset`` and ``$project`` makes of each document."""
@@ -344,9 +348,9 @@ class Collection:
         hit = matches(c, query)
         if one:
             hit, _ = self._first(hit)
-        values, guards = self._new_values(update, query, array_filters)
-        df = self.frame
-        out, changed = _rewritten(df, hit, values)
+        new = self._new_values(update, query, array_filters)
+        guards, df = new.guards, self.frame
+        out, changed = _rewritten(df, hit, new)
         counts = df.agg(F.count_if(hit).alias("n"), F.count_if(hit & changed).alias("m"), *[F.count_if(hit & V.true(g.fault)).alias(f"g{i}") for i, g in enumerate(guards)]).first()
         for i, g in enumerate(guards):
             if counts[f"g{i}"]:
@@ -383,16 +387,23 @@ class Collection:
         if isinstance(update, list):
             twin = Collection(self.db, self.name)
             twin.state = State(one.withColumn(ORDER, F.lit(0).cast("long")))
-            values, guards = twin._pipeline_values(update), []
+            values, guards, nulled = twin._pipeline_values(update), [], _pipeline_nulls(update, base)[1]
         else:
-            got = compile_update(Context(one.schema), update, query, array_filters, inserting=True)
-            values, guards = got.values, [g for g in got.guards if g.message != "_id cannot change"]
+            got = compile_update(Context(visible(one)), update, query, array_filters, inserting=True)
+            values, guards, nulled = got.values, [g for g in got.guards if g.message != "_id cannot change"], got.nulled
         fields = {f.name: Value(F.col(paths.quoted(f.name)), f.dataType) for f in one.schema.fields} | values
         row = one.select(*[v.col.alias(n) for n, v in fields.items() if v is not None], *[V.true(g.fault).alias(f"_g{i}") for i, g in enumerate(guards)]).first()
         for i, g in enumerate(guards):
             if row[f"_g{i}"]:
                 raise WriteRefused(g.message)
-        return {k: v for k, v in from_row(row).items() if not k.startswith("_g")}
+        doc = {k: v for k, v in from_row(row).items() if not k.startswith("_g")}
+        for path in nulled:
+            *way, last = path.split(".")
+            inner = doc
+            for p in way:
+                inner = inner.setdefault(p, {})
+            inner.setdefault(last, None)
+        return doc
 
     def replace_one(self, query: dict, doc: dict, *, upsert: bool = False) -> dict:
         if any(k.startswith("$") for k in doc):
@@ -422,7 +433,7 @@ class Collection:
     def _delete(self, hit) -> int:
         n = self.frame.where(hit).count()
         if n:
-            gone = self.frame.where(hit).orderBy(ORDER).drop(ORDER)
+            gone = self.frame.where(hit).orderBy(ORDER).drop(ORDER, NULLS)
             self._put(self.frame.where(~hit))
             if self._watched:
                 self.db.publish_frame(self._event("delete"), None, gone)
@@ -599,7 +610,7 @@ class Collection:
             raise DocError("there are several search indexes: name one")
         spec = self.state.search[index or next(iter(self.state.search))]
         df = self.frame
-        return search.search(df, self.context(df), spec["fields"], query, spec["tokenizer"], limit=limit, skip=skip, order=ORDER).drop(ORDER)
+        return search.search(df, self.context(df), spec["fields"], query, spec["tokenizer"], limit=limit, skip=skip, order=ORDER).drop(ORDER, NULLS)
 
     # --- administration -------------------------------------------------------------
 
@@ -633,10 +644,48 @@ def _captured(name: str, df: DataFrame, c: Context, arg: Any) -> dict[str, Value
     return {field.name: Value(col, field.dataType) for field, col in zip(frame.schema.fields, got["columns"])}
 
 
-def _rewritten(df: DataFrame, hit, values: dict[str, Value | None]) -> tuple[DataFrame, Any]:
+def _pipeline_nulls(stages: list[dict], names) -> tuple[list[str], list[str]]:
+    """Paths whose nulls a pipeline update removes, and those that it sets to null."""
+    cleared, nulled = [], []
+    for stage in stages:
+        ((name, arg),) = stage.items()
+        if name == "$unset":
+            gone, new = [arg] if isinstance(arg, str) else list(arg), []
+        elif name == "$project":
+            out = {k for k, v in arg.items() if v is False or v == 0}
+            kept = {k.split(".")[0] for k in arg}
+            gone, new = [n for n in names if n in out or not out and n not in kept and n != ID], []
+        else:
+            gone, new = list(arg), [k for k, v in arg.items() if v is None]
+        nulled = [p for p in nulled if p not in gone] + new
+        cleared += gone
+    return cleared, nulled
+
+
+def _nulls_after(df: DataFrame, update: Update):
+    """The paths of nulls before and after an update."""
+    old = F.array().cast("array<string>")
+    if NULLS in df.columns:
+        old = F.coalesce(F.col(NULLS), old)
+    new = old
+    if update.cleared:
+        stays = lambda p: ~V.any_of([(p == t) | p.startswith(t + ".") | F.lit(t).startswith(F.concat(p, F.lit("."))) for t in update.cleared])
+        new = F.filter(old, stays)
+    return old, F.array_distinct(F.concat(new, F.array(*map(F.lit, update.nulled)).cast("array<string>")))
+
+
+def _rewritten(df: DataFrame, hit, update: Update) -> tuple[DataFrame, Any]:
     """The new version, and whether a row's values differ from the old ones."""
-    columns, differs = [], []
+    columns, differs, values = [], [], update.values
+    if update.nulled or update.cleared and NULLS in df.columns:
+        before, after = _nulls_after(df, update)
+        differs.append(F.array_sort(before) != F.array_sort(after))
+        columns.append(F.when(hit, after).otherwise(before).alias(NULLS))
+        fresh = [p for p in update.nulled if "." not in p and p not in df.columns]
+        columns += [F.lit(None).cast("string").alias(p) for p in fresh if values.get(p) is None or values[p].kind == "null"]
     for f in df.schema.fields:
+        if f.name == NULLS and columns:
+            continue
         old = Value(F.col(paths.quoted(f.name)), f.dataType)
         if f.name not in values:
             columns.append(old.col.alias(f.name))

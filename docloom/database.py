@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .collection import Collection, State
 from .errors import DocError
 from .operators.projection import ORDER
+from .plans.values import NULLS
 from .sources.documents import Versions, local_folder
 from .streaming.changes import ChangeLog, ChangeStream
 
@@ -109,7 +110,7 @@ class Database:
             raise DocError(f"there is no collection {name}", 26)
         slug = re.sub(r"\W", "_", name.lower())[:40]
         view = f"{slug}_{hashlib.sha256(name.encode()).hexdigest()[:16]}"
-        self._collections[name].frame.drop(ORDER).createOrReplaceTempView(view)
+        self._collections[name].frame.drop(ORDER, NULLS).createOrReplaceTempView(view)
         return f"`{view}`"
 
     def sql(self, query: str, **args: Any) -> DataFrame:

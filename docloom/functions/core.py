@@ -40,9 +40,10 @@ class Context:
     lenient: bool = False
     faults: list[Column] = field(default_factory=list)
     inside: bool = False  # in a lambda, whose conditions cannot be collected
+    nulls: bool = False  # the rows have the hidden column with the paths of nulls
 
     def root(self, name: str) -> Value:
-        return paths.root_of(self.schema, self.prefix)(name)
+        return paths.root_of(self.schema, self.prefix, self.nulls)(name)
 
     @property
     def whole(self) -> Value:

@@ -219,7 +219,10 @@ def _type_test(arg: Any, strict: bool):
             return F.lit(False)
         return v.col.isNotNull() & V.type_alias(v).isin(names)
 
-    return lambda v: _elements(v, test)
+    def null(v: Value) -> Column:
+        return F.exists(v.col, lambda x: x.isNull()) | v.stored_null if v.kind == "array" else v.stored_null
+
+    return lambda v: _elements(v, test) | null(v) if "null" in names else _elements(v, test)
 
 
 def element_test(crit: Any, c: Context):
@@ -269,7 +272,7 @@ def _operator(op: str, arg: Any, whole: dict, at, c: Context, inside: bool) -> C
     if op == "$exists":
         if not isinstance(arg, (bool, int)):
             raise CompileError("$exists is true or false")
-        there = at(lambda v: v.col.isNotNull())
+        there = at(lambda v: v.present)
         return there if arg else negated(there)
     if op == "$type":
         return at(_type_test(arg, c.strict))

@@ -21,10 +21,10 @@ from ..errors import CompileError
 from ..functions import Context, compile_expression
 from ..functions.core import build_object
 from ..plans import paths
-from ..plans.values import Value
+from ..plans.values import NULLS, Value
 from . import accumulators, ordering, projection
 from .filters import compile_filter
-from .projection import ID, LET, ORDER, has_order, put, select_values, variables_of
+from .projection import ID, LET, ORDER, fields_of, has_order, put, select_values, variables_of
 
 _ABSENT = "$facet $bucket $bucketAuto $replaceRoot $replaceWith $out $merge $sample $graphLookup $unionWith $documents $setWindowFields $geoNear $redact".split()
 
@@ -47,12 +47,12 @@ class Scope:
 
 
 def visible(df: DataFrame) -> T.StructType:
-    hidden = {ORDER, *variables_of(df)}
+    hidden = {ORDER, NULLS, *variables_of(df)}
     return T.StructType([f for f in df.schema.fields if f.name not in hidden])
 
 
 def context(df: DataFrame, scope: Scope) -> Context:
-    return Context(visible(df), variables=scope.variables, strict=scope.strict)
+    return Context(visible(df), variables=scope.variables, strict=scope.strict, nulls=NULLS in df.columns)
 
 
 def run_pipeline(df: DataFrame, stages: list[dict], scope: Scope | None = None) -> DataFrame:
@@ -74,7 +74,7 @@ def run_pipeline(df: DataFrame, stages: list[dict], scope: Scope | None = None)
 def aggregate(df: DataFrame, stages: list[dict], **scope: Any) -> DataFrame:
     """A pipeline over any DataFrame, without hidden columns in the result."""
     out = run_pipeline(df, stages, Scope(**scope))
-    return out.drop(ORDER)
+    return out.drop(ORDER, NULLS)
 
 
 def validate(stages: Any) -> None:
@@ -249,7 +249,7 @@ def _unwind(df, arg, scope, rest):
     out = df.select("*", explode(v.col).alias("_at", "_element"))
     if has_order(df) and (_order_matters(rest) or scope.depth):
         out = out.withColumn(ORDER, F.struct(F.col(ORDER).alias("o"), F.col("_at").alias("at")))
-    fields = {f.name: Value(F.col(paths.quoted(f.name)), f.dataType) for f in c.schema.fields}
+    fields = {n: c.root(n) for n in c.schema.names}
     _place(fields, path, Value(F.col("_element"), v.type.elementType))
     if index:
         _place(fields, index, Value(F.col("_at").cast("long"), T.LongType()))
@@ -262,7 +262,7 @@ def _place(fields: dict[str, Value], path: str, v: Value) -> None:
 
 
 def _set_path(df, path, v, scope):
-    fields = {f.name: Value(F.col(paths.quoted(f.name)), f.dataType) for f in visible(df).fields}
+    fields = fields_of(df)
     _place(fields, path, v)
     return select_values(df, fields)
 
@@ -285,7 +285,7 @@ def _lookup(df, arg, scope, rest):
         raise CompileError("$lookup needs localField and foreignField")
     if not equality and "pipeline" not in arg:
         raise CompileError("$lookup needs a pipeline or fields")
-    foreign = scope.collection(arg["from"])
+    foreign = scope.collection(arg["from"]).drop(NULLS)
     if equality:
         return _equi_lookup(df, foreign, arg["localField"], arg["foreignField"], arg["as"], scope)
     return _pipeline_lookup(df, foreign, arg.get("let") or {}, arg["pipeline"], arg["as"], scope)
@@ -358,7 +358,7 @@ def _lookup_as_join(df: DataFrame, stage: dict, rest: list[dict], scope: Scope)
         how = "left_semi"
     else:
         return None
-    foreign = scope.collection(arg["from"])
+    foreign = scope.collection(arg["from"]).drop(NULLS)
     fc, lc = context(foreign, Scope(scope.collections, strict=scope.strict)), context(df, scope)
     fk, lk = paths.plain(fc.root, arg["foreignField"], scope.strict), paths.plain(lc.root, arg["localField"], scope.strict)
     if "array" in (fk.kind, lk.kind) or "null" in (fk.kind, lk.kind) or fk.kind != lk.kind:
@@ -373,13 +373,13 @@ def _lookup_as_join(df: DataFrame, stage: dict, rest: list[dict], scope: Scope)
     if ranked and how in ("inner", "left"):
         out = out.withColumn(ORDER, F.struct(F.col(ORDER).alias("o"), F.col("_fo").alias("at")))
     found = Value(F.col("_element"), visible(foreign)) if how in ("inner", "left") else Value(F.array().cast(T.ArrayType(visible(foreign))), T.ArrayType(visible(foreign)))
-    fields = {f.name: Value(F.col(paths.quoted(f.name)), f.dataType) for f in visible(df).fields}
+    fields = fields_of(df)
     _place(fields, name, found)
     return select_values(out, fields)
 
 
 def _with_found(out, df, name, foreign):
-    fields = {f.name: Value(F.col(paths.quoted(f.name)), f.dataType) for f in visible(df).fields}
+    fields = fields_of(df)
     _place(fields, name, Value(F.col("_found"), T.ArrayType(visible(foreign))))
     return select_values(out, fields)
 
@@ -425,7 +425,7 @@ def _pipeline_lookup(df, foreign, let, stages, name, scope):
 
 def _with_lists(joined, df, name, kept):
     kind = T.ArrayType(kept)
-    fields = {f.name: Value(F.col(paths.quoted(f.name)), f.dataType) for f in visible(df).fields}
+    fields = fields_of(df)
     _place(fields, name, Value(F.coalesce(F.col("_found"), F.array().cast(kind)), kind))
     return select_values(joined, fields)
 

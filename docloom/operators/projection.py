@@ -13,7 +13,7 @@ from ..errors import CompileError
 from ..functions import Context, compile_expression
 from ..functions.collections import sliced, taken
 from ..plans import paths
-from ..plans.values import Value
+from ..plans.values import NULLS, Value
 from .filters import element_test
 
 ID = "_id"
@@ -76,7 +76,7 @@ def include(v: Value, tree: dict) -> Value | None:
     if not fields:
         return None
     t = T.StructType([T.StructField(n, x.type) for n, x in fields.items()])
-    return Value(F.when(v.col.isNotNull(), F.struct(*[x.col.alias(n) for n, x in fields.items()])), t)
+    return Value(F.when(v.col.isNotNull(), F.struct(*[x.col.alias(n) for n, x in fields.items()])), t, path=v.path)
 
 
 def exclude(v: Value, tree: dict) -> Value | None:
@@ -99,13 +99,23 @@ def exclude(v: Value, tree: dict) -> Value | None:
         elif callable(leaf):
             fields[f.name] = leaf(own)
     t = T.StructType([T.StructField(n, x.type) for n, x in fields.items()])
-    return Value(F.when(v.col.isNotNull(), F.struct(*[x.col.alias(n) for n, x in fields.items()])), t)
+    return Value(F.when(v.col.isNotNull(), F.struct(*[x.col.alias(n) for n, x in fields.items()])), t, path=v.path)
+
+
+def fields_of(df: DataFrame) -> dict[str, Value]:
+    """The visible columns as values."""
+    nulls = NULLS in df.columns
+    hidden = {ORDER, NULLS, *variables_of(df)}
+    return {f.name: Value(F.col(paths.quoted(f.name)), f.dataType, path=f.name if nulls else None) for f in df.schema.fields if f.name not in hidden}
 
 
 def select_values(df: DataFrame, values: dict[str, Value]) -> DataFrame:
-    """The values as columns; the hidden order column goes along."""
+    """The values as columns; the hidden columns go along, with the nulls of fields that keep their place."""
     hidden = [F.col(ORDER)] if ORDER not in values and has_order(df) else []
     hidden += [F.col(n) for n in variables_of(df) if n not in values]
+    kept = [n for n, v in values.items() if v.path == n]
+    if kept and NULLS in df.columns:
+        hidden.append(F.filter(NULLS, lambda p: F.substring_index(p, ".", 1).isin(kept)).alias(NULLS))
     return df.select(*[v.col.alias(n) for n, v in values.items()], *hidden)
 
 
@@ -187,7 +197,7 @@ def _mode(now, new):
 
 def _top(df: DataFrame, c: Context, v: Value | None, more: dict[str, Value] | None = None) -> DataFrame:
     """Fields of an object as columns, simplified to plain column references where they are."""
-    fields = {f.name: Value(v.col[f.name], f.dataType) for f in v.type.fields} if v else {}
+    fields = {f.name: Value(v.col[f.name], f.dataType, path=f.name if c.nulls else None) for f in v.type.fields} if v else {}
     return select_values(df, fields | (more or {}))
 
 

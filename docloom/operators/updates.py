@@ -47,6 +47,8 @@ class Update:
     values: dict[str, Value | None]
     guards: list[Guard] = field(default_factory=list)
     paths: list[str] = field(default_factory=list)
+    cleared: list[str] = field(default_factory=list)  # paths whose nulls go
+    nulled: list[str] = field(default_factory=list)  # paths that hold a null afterwards
 
 
 @dataclass
@@ -91,7 +93,20 @@ def compile_update(c: Context, said: dict, query: dict | None = None, array_filt
         now_value = out[first] if first in out else c.root(first)
         got = _apply(work, now_value or V.missing(), rest, change, first)
         out[first] = None if got is GONE else got
-    return Update(out, work.guards, touched)
+    return Update(out, work.guards, touched, *_nulls(said, inserting))
+
+
+def _nulls(said: dict, inserting: bool) -> tuple[list[str], list[str]]:
+    """The paths whose nulls go, and those that hold one afterwards; elements of arrays have none recorded."""
+    cleared, nulled = [], []
+    for op, fields in said.items():
+        for path, arg in fields.items():
+            if op in ("$unset", "$rename"):
+                cleared += [path, arg] if op == "$rename" else [path]
+            elif op == "$set" or op == "$setOnInsert" and inserting:
+                cleared.append(path)
+                nulled += [path] if arg is None else [f"{path}.{p}" for p in V.null_paths(arg)] if isinstance(arg, dict) else []
+    return cleared, nulled
 
 
 def _filters(said: list[dict] | None) -> dict[str, Any]:

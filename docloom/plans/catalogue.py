@@ -227,8 +227,8 @@ def _update(name: str, table: str, where: dict, change, sql: str, **more) -> Non
 
         df = aggregate(read(spark, sf_dir, "lineitem"), _NESTED) if table == "nested" else read(spark, sf_dir, table)
         c = Context(df.schema)
-        values = compile_update(c, change, where, more.get("array_filters")).values
-        out, _ = _rewritten(df, matches(c, where), values)
+        update = compile_update(c, change, where, more.get("array_filters"))
+        out, _ = _rewritten(df, matches(c, where), update)
         if table == "nested":
             return out.select("_id", _join(F.col("lines.qty").cast("array<long>")).alias("v"), F.size("lines").alias("n"))
         return out
@@ -407,6 +407,35 @@ _pipeline("lookup_null_keys", "orders", [_SOME, {"$lookup": {"from": "customer",
 _pipeline("lookup_nested", "region", [{"$lookup": {"from": "nation", "let": {"r": "$r_regionkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$n_regionkey", "$$r"]}}}, {"$lookup": {"from": "supplier", "localField": "n_nationkey", "foreignField": "s_nationkey", "as": "s"}}, {"$project": {"n": {"$size": "$s"}}}], "as": "x"}}, {"$project": {"r_regionkey": 1, "n": {"$sum": {"$map": {"input": "$x", "in": "$$this.n"}}}}}], "select r_regionkey, (select count(*) from supplier join nation on s_nationkey = n_nationkey where n_regionkey = r_regionkey) n from region", "nation", "supplier")
 
 
+def _null(name: str, sql: str, work: Callable) -> None:
+    """Orders whose v is null, 5 or missing, by the remainder of the key by 3."""
+
+    def run(spark, sf_dir):
+        c = _orders(spark, sf_dir)
+        c.update_many({"o_orderkey": {"$mod": [3, 0]}}, {"$set": {"v": None}})
+        c.update_many({"o_orderkey": {"$mod": [3, 1]}}, {"$set": {"v": 5}})
+        return work(c)
+
+    query(sql, name)(run)
+
+
+_FIND_KEY = {"_id": 0, "o_orderkey": 1}
+_null("filter_exists_null", "select o_orderkey from orders where o_orderkey % 3 < 2", lambda c: c.find({"v": {"$exists": True}}, _FIND_KEY).df())
+_null("filter_exists_null_not", "select o_orderkey from orders where o_orderkey % 3 = 2", lambda c: c.find({"v": {"$exists": False}}, _FIND_KEY).df())
+_null("filter_type_null", "select o_orderkey from orders where o_orderkey % 3 = 0", lambda c: c.find({"v": {"$type": "null"}}, _FIND_KEY).df())
+_null("filter_eq_null_stored", "select o_orderkey from orders where o_orderkey % 3 <> 1", lambda c: c.find({"v": None}, _FIND_KEY).df())
+_null("expr_type_null", "select case o_orderkey % 3 when 0 then 'null' when 1 then 'int' else 'missing' end _id, count(*) n from orders group by 1", lambda c: c.aggregate([{"$group": {"_id": {"$type": "$v"}, "n": {"$sum": 1}}}]))
+_null("stage_project_null", "select o_orderkey from orders where o_orderkey % 3 < 2", lambda c: c.aggregate([{"$project": {"o_orderkey": 1, "v": 1}}, {"$match": {"v": {"$exists": True}}}, _KEY]))
+
+
+def _unset_nulls(c):
+    c.update_many({"v": {"$type": "null"}}, {"$unset": {"v": ""}})
+    return c.find({"v": {"$exists": False}}, _FIND_KEY).df()
+
+
+_null("update_unset_null", "select o_orderkey from orders where o_orderkey % 3 <> 1", _unset_nulls)
+
+
 @query("select true in_range", "filter_sampleRate")
 def _sample(spark, sf_dir):
     df = read(spark, sf_dir, "orders")

@@ -22,7 +22,8 @@ def quoted(name: str) -> str:
 def field(v: Value, name: str) -> Value:
     """A field of an object, missing if there is none."""
     if isinstance(v.type, T.StructType):
-        return Value(v.col.getField(name), v.type[name].dataType) if name in v.type.names else missing()
+        inner = None if v.path is None else f"{v.path}.{name}"
+        return Value(v.col.getField(name), v.type[name].dataType, path=inner) if name in v.type.names else missing()
     if isinstance(v.type, T.MapType) and isinstance(v.type.keyType, T.StringType):
         return Value(F.try_element_at(v.col, F.lit(name)), v.type.valueType)
     return missing()
@@ -71,13 +72,15 @@ def matched(v: Value, parts: list[str], leaf: Callable[[Value], Column], *, stri
     return any_of(arms)
 
 
-def root_of(schema: T.StructType, prefix: Column | None = None) -> Callable[[str], Value]:
-    """Top-level fields of rows with this schema; ``prefix``: of a struct column instead."""
+def root_of(schema: T.StructType, prefix: Column | None = None, nulls: bool = False) -> Callable[[str], Value]:
+    """Top-level fields of rows with this schema; ``prefix``: of a struct column instead; ``nulls``: they are recorded."""
 
     def get(name: str) -> Value:
         if name not in schema.names:
             return missing()
-        return Value(F.col(quoted(name)) if prefix is None else prefix.getField(name), schema[name].dataType)
+        if prefix is not None:
+            return Value(prefix.getField(name), schema[name].dataType)
+        return Value(F.col(quoted(name)), schema[name].dataType, path=name if nulls else None)
 
     return get
 

@@ -1,7 +1,8 @@
 """Typed columns: the values that all compilers work with.
 
 A value is a Column with its static Spark type.  SQL NULL stands for "missing"; a value
-whose type is ``NullType`` is missing in every row.
+whose type is ``NullType`` is missing in every row.  Fields that hold a null are told from
+missing ones by the hidden column ``NULLS``, which only collections with such fields have.
 """
 
 from __future__ import annotations
@@ -28,12 +29,27 @@ _DATES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 #: Order of the kinds of values when they are compared or sorted together
 RANKS = ("null", "number", "string", "object", "array", "binary", "bool", "date")
 
+#: Hidden column: dotted paths, through objects, of the fields of a document that hold a null
+NULLS = "_nulls"
+
 
 @dataclass
 class Value:
     col: Column
     type: T.DataType
     sure: bool = False  # a boolean that is never null
+    path: str | None = None  # where the value lies in a document whose nulls are recorded
+
+    @property
+    def stored_null(self) -> Column:
+        """Whether the field is there and holds a null."""
+        if self.path is None:
+            return F.lit(False)
+        return self.col.isNull() & true(F.array_contains(F.col(NULLS), F.lit(self.path)))
+
+    @property
+    def present(self) -> Column:
+        return self.col.isNotNull() if self.path is None else self.col.isNotNull() | self.stored_null
 
     @property
     def kind(self) -> str:
@@ -262,7 +278,19 @@ def type_alias(v: Value) -> Column:
             name = F.when((v.col == F.floor(v.col)) & v.col.between(*INT32), "int").otherwise("double")
     else:
         name = F.lit({"binary": "binData"}.get(k, k))
-    return F.when(v.col.isNull(), F.lit("missing")).otherwise(name)
+    nothing = F.lit("missing") if v.path is None else F.when(v.stored_null, "null").otherwise("missing")
+    return F.when(v.col.isNull(), nothing).otherwise(name)
+
+
+def null_paths(doc: dict, before: str = "") -> list[str]:
+    """Paths of the fields of a document, and of the objects in it, that hold a null."""
+    out = []
+    for k, x in doc.items():
+        if x is None:
+            out.append(before + k)
+        elif isinstance(x, dict):
+            out += null_paths(x, f"{before}{k}.")
+    return out
 
 
 def sort_key(v: Value) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ..errors import CompileError, DocError
 from ..operators.projection import ID, ORDER
 from ..plans import values as V
-from ..plans.values import Value
+from ..plans.values import NULLS, Value
 
 DEPTH = 200
 _COUNTER = secrets.randbelow(1 << 24)
@@ -124,20 +124,40 @@ def _revived(v: Value) -> Value:
 
 
 def to_frame(spark: SparkSession, docs: list[dict]) -> DataFrame:
-    """Documents as rows; the type of a field holds all its values."""
+    """Documents as rows; the type of a field holds all its values, and a hidden column the paths of nulls."""
     schema = V.common([V.literal_type(d) for d in docs]) if docs else T.StructType()
     if not isinstance(schema, T.StructType):
         raise CompileError("documents are dictionaries")
     schema = _storable(schema)
-    return spark.createDataFrame([_row(d, schema) for d in docs], schema)
+    rows, nulls = [_row(d, schema) for d in docs], [V.null_paths(d) for d in docs]
+    if any(nulls):
+        schema = T.StructType([*schema.fields, T.StructField(NULLS, T.ArrayType(V.STRING))])
+        rows = [(*r, n) for r, n in zip(rows, nulls)]
+    return spark.createDataFrame(rows, schema)
 
 
-def _storable(t: T.DataType) -> T.DataType:
+#: Mark of fields, stored as strings or lists of strings, that no document has a value or an element in
+_UNKNOWN = {"docloom.unknown": True}
+
+
+def _storable(t: T.DataType, widen: bool = True) -> T.DataType:
+    """The type with a stored one for each unknown one; ``widen``: whole numbers as longs."""
+    if isinstance(t, T.StructType):
+        unknown = lambda d: isinstance(d.elementType if isinstance(d, T.ArrayType) else d, T.NullType)
+        return T.StructType([T.StructField(f.name, _storable(f.dataType, widen), metadata=_UNKNOWN if unknown(f.dataType) else None) for f in t.fields])
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_storable(t.elementType, widen))
+    return V.STRING if isinstance(t, T.NullType) else V.LONG if widen and isinstance(t, T.IntegerType) else t
+
+
+def _known(t: T.DataType) -> T.DataType:
+    """The type with ``NullType`` where no value is known."""
     if isinstance(t, T.StructType):
-        return T.StructType([T.StructField(f.name, _storable(f.dataType)) for f in t.fields])
+        types = [(T.ArrayType(V.NULL) if isinstance(f.dataType, T.ArrayType) else V.NULL) if f.metadata == _UNKNOWN else _known(f.dataType) for f in t.fields]
+        return T.StructType([T.StructField(f.name, d) for f, d in zip(t.fields, types)])
     if isinstance(t, T.ArrayType):
-        return T.ArrayType(_storable(t.elementType))
-    return V.STRING if isinstance(t, T.NullType) else V.LONG if isinstance(t, T.IntegerType) else t
+        return T.ArrayType(_known(t.elementType))
+    return t
 
 
 def _row(v: Any, t: T.DataType) -> Any:
@@ -159,7 +179,10 @@ def _row(v: Any, t: T.DataType) -> Any:
 def from_row(row: Any) -> Any:
     """A row as a document; missing fields are absent."""
     if hasattr(row, "asDict"):
-        return {k: from_row(row[k]) for k in row.__fields__ if row[k] is not None and k != ORDER}
+        doc = {k: from_row(row[k]) for k in row.__fields__ if row[k] is not None and k not in (ORDER, NULLS)}
+        for path in (row[NULLS] or ()) if NULLS in row.__fields__ else ():
+            _set_null(doc, row, path.split("."))
+        return doc
     if isinstance(row, dict):
         return {k: from_row(x) for k, x in row.items()}
     if isinstance(row, list):
@@ -167,14 +190,26 @@ def from_row(row: Any) -> Any:
     return bytes(row) if isinstance(row, bytearray) else row
 
 
+def _set_null(doc: Any, row: Any, way: list[str]) -> None:
+    """The null at the end of the way, if the row has the field and no value there."""
+    if row is None or way[0] not in getattr(row, "__fields__", ()):
+        return
+    if len(way) == 1:
+        doc.setdefault(way[0], None)
+    else:
+        _set_null(doc.get(way[0]), row[way[0]], way[1:])
+
+
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:
     """All rows of both, under a schema that holds both."""
-    t = V.common([a.schema, b.schema])
+    known = V.common([_known(a.schema), _known(b.schema)])
+    t = _storable(known, widen=False)
     parts = []
     for df in (a, b):
-        own = {f.name: Value(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}
+        own = {f.name: Value(F.col(f"`{f.name}`"), f.dataType) for f in _known(df.schema).fields}
         parts.append(df.select(*[V.cast(own.get(f.name, V.missing()), f.dataType).alias(f.name) for f in t.fields]))
-    return parts[0].unionByName(parts[1])
+    out = parts[0].unionByName(parts[1])
+    return out.to(t) if t != known else out
 
 
 def local_folder(spark: SparkSession) -> str:

@@ -47,7 +47,7 @@ def items(spark):
         ({"size": {"u": "cm", "h": 14.0}}, []),
         ({"item": None}, [5]),
         ({"item": {"$ne": None}}, [1, 2, 3, 4]),
-        ({"item": {"$exists": False}}, [5]),
+        ({"item": {"$exists": False}}, []),
         ({"size.h": {"$exists": True}}, [1, 2]),
         ({"nothing": {"$exists": False}}, [1, 2, 3, 4, 5]),
         ({"qty": {"$not": {"$gt": 30}}}, [1, 5]),
