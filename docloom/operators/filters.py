@@ -2,7 +2,8 @@
 
 A criterion matches a scalar or, in an array, any element; dotted paths look into the
 elements of arrays on the way.  Comparisons only match values of their operand's kind.
-Negations are exact complements, so they match where the field is missing.
+Negations are exact complements, so they match where the field is missing.  A float
+field holds 0.3 as the nearest float, so a number is compared with it as a float.
 
 A null column means no match, as in a WHERE clause, and is only made false where it is
 negated: a plain comparison stays one that Spark can push into a scan or join on.
@@ -133,9 +134,10 @@ def _equal(at, value: Any) -> Column:
     def test(v: Value) -> Column:
         if v.kind == "null" or v.kind != want.kind:
             return F.lit(False)
+        own = literal(value, v.type)
         if v.kind in ("object", "array"):
-            return V.equals(v, want) & v.col.isNotNull()
-        (a, b), _ = V.unified([v, want])
+            return V.equals(v, own) & v.col.isNotNull()
+        (a, b), _ = V.unified([v, own])
         return a == b
 
     return at(lambda v: _elements(v, test))
@@ -159,7 +161,7 @@ def _range(op: str, value: Any):
             return v.col.isNull() if op in ("$gte", "$lte") else F.lit(False)
         if v.kind != want.kind or isinstance(want.type, T.StructType) and (not isinstance(v.type, T.StructType) or v.type.names != want.type.names):
             return F.lit(False)
-        (a, b), _ = V.unified([v, want])
+        (a, b), _ = V.unified([v, literal(value, v.type)])
         return {"$gt": a > b, "$gte": a >= b, "$lt": a < b, "$lte": a <= b}[op]
 
     return lambda v: _elements(v, test)
@@ -337,6 +339,8 @@ def _in(at, members: list) -> Column:
         def test(v: Value, k=k, own=own) -> Column:
             if v.kind != k:
                 return F.lit(False)
+            if isinstance(v.type, T.FloatType):
+                return v.col.isin([literal(m, v.type).col for m in own])
             return v.col.isin([bytes(m) if k == "binary" else m for m in own])
 
         arms.append(at(lambda v, test=test: _elements(v, test)))

@@ -382,7 +382,7 @@ def _array_change(work, op, arg, c):
             return v if v.kind != "null" else GONE
         element = v.type.elementType
         if op == "$pullAll":
-            test = lambda x: reduce(lambda a, b: a | b, [V.equals(x, literal(m)) for m in arg], F.lit(False))
+            test = lambda x: reduce(lambda a, b: a | b, [V.equals(x, literal(m, x.type)) for m in arg], F.lit(False))
         else:
             test = _value_test(arg, c)
         return Value(F.filter(v.col, lambda x: negated(test(Value(x, element)))), v.type)

@@ -20,8 +20,10 @@ from pyspark.sql import types as T
 from ..errors import CompileError
 
 INT32 = (-(2**31), 2**31 - 1)
-NULL, BOOL, INT, LONG, DOUBLE, STRING, BINARY = (
-    T.NullType(), T.BooleanType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType(), T.BinaryType(),
+#: Least and greatest size of a number that a float holds in full precision
+FLOAT32 = (2.0**-126, (2 - 2.0**-23) * 2.0**127)
+NULL, BOOL, INT, LONG, FLOAT, DOUBLE, STRING, BINARY = (
+    T.NullType(), T.BooleanType(), T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType(), T.StringType(), T.BinaryType(),
 )
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -101,11 +103,14 @@ def missing() -> Value:
     return Value(F.lit(None), NULL)
 
 
-def literal_type(v: Any) -> T.DataType:
+def literal_type(v: Any, like: T.DataType | None = None) -> T.DataType:
+    """The type of a literal; beside a field of type ``like`` a number is a float where the field has floats."""
     if v is None:
         return NULL
     if isinstance(v, bool):
         return BOOL
+    if isinstance(like, T.FloatType) and isinstance(v, (int, float, decimal.Decimal)) and (v == 0 or FLOAT32[0] <= abs(v) <= FLOAT32[1]):
+        return FLOAT
     if isinstance(v, int):
         return INT if INT32[0] <= v <= INT32[1] else LONG
     if isinstance(v, (float, decimal.Decimal)):
@@ -121,14 +126,16 @@ def literal_type(v: Any) -> T.DataType:
     if isinstance(v, datetime.date):
         return T.DateType()
     if isinstance(v, (list, tuple)):
-        return T.ArrayType(common([literal_type(x) for x in v]))
+        of = like.elementType if isinstance(like, T.ArrayType) else None
+        return T.ArrayType(common([literal_type(x, of) for x in v]))
     if isinstance(v, dict):
-        return T.StructType([T.StructField(str(k), literal_type(x)) for k, x in v.items()])
+        own = {f.name: f.dataType for f in like.fields} if isinstance(like, T.StructType) else {}
+        return T.StructType([T.StructField(str(k), literal_type(x, own.get(str(k)))) for k, x in v.items()])
     raise CompileError(f"a {type(v).__name__} is not a value")
 
 
-def literal(v: Any) -> Value:
-    t = literal_type(v)
+def literal(v: Any, like: T.DataType | None = None) -> Value:
+    t = literal_type(v, like)
     return Value(_literal(v, t), t)
 
 

@@ -79,6 +79,46 @@ def test_filters(items, said, ids):
     assert sorted(ids + negated) == [1, 2, 3, 4, 5]
 
 
+@pytest.mark.parametrize(
+    "said,ids",
+    [
+        ({"x": 0.3}, [1]),
+        ({"x": {"$in": [0.3, 7]}}, [1]),
+        ({"x": {"$ne": 0.3}}, [2, 3, 4]),
+        ({"x": {"$gt": 0.3}}, [2, 3]),
+        ({"x": {"$lte": 0.3}}, [1, 4]),
+        ({"x": {"$lt": 1e300}}, [1, 2, 4]),
+        ({"x": {"$gt": 1e300}}, [3]),
+        ({"x": {"$gte": 1e-50}}, [1, 2, 3]),
+        ({"l": 0.35}, [1, 2]),
+        ({"l": [0.3, 0.35]}, [1]),
+        ({"l": {"$lt": [0.3, 0.35]}}, [3]),
+        ({"l": {"$all": [0.3, 0.35]}}, [1]),
+        ({"o": {"a": 0.3}}, [1]),
+        ({"s": {"$elemMatch": {"a": {"$gt": 0.3, "$lt": 0.35}}}}, [2]),
+        ({"s": {"a": 0.3}}, [1]),
+    ],
+)
+def test_numbers_are_compared_with_floats_as_floats(spark, said, ids):
+    rows = [
+        (1, 0.3, [0.3, 0.35], (0.3,), [(0.3,), (0.35,)]),
+        (2, 0.5, [0.35], (0.5,), [(0.32,)]),
+        (3, float("inf"), [0.2], None, []),
+        (4, 0.0, None, (0.0,), None),
+    ]
+    df = spark.createDataFrame(rows, "_id int, x float, l array<float>, o struct<a:float>, s array<struct<a:float>>")
+    got = df.where(compile_filter(Context(df.schema), said)).collect()
+    assert sorted(r._id for r in got) == ids
+
+
+def test_pull_of_floats(spark):
+    df = spark.createDataFrame([(1, [0.3, 0.5])], "_id int, l array<float>")
+    for said in ({"$pull": {"l": 0.3}}, {"$pullAll": {"l": [0.3]}}):
+        c = Database(spark).register("floats", df)
+        c.update_many({}, said)
+        assert c.find({}).to_list()[0]["l"] == [0.5]
+
+
 @pytest.mark.parametrize(
     "said",
     [{"$and": []}, {"a": {"$near": 1}}, {"$where": "1"}, {"a": {"$gt": 1, "b": 2}}, {"a": {"$size": -1}}, {"a": {"$mod": [1]}}, {"a": {"$options": "i"}}, {"$expr": {"$nope": 1}}, {"a": {"$in": 5}}, {"a": {"$type": "what"}}, {"a": {"$elemMatch": {"$expr": 1}}}, {"a": {"$regex": "x", "$options": "x"}}, {"a": {"$gt": b"x"}}, {"a": {"$mod": [0, 0]}}],
