@@ -26,7 +26,7 @@ import html as entities
 import re
 import sys
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -78,24 +78,13 @@ _ARTICLE_NAMES = frozenset("article main articlebody".split())
 _CONTAINERS = frozenset("#root html body div section article main center table tbody tr td".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
-#: an opening tag of a block element up to its class, in lower case
-_OPENED = "<(?:" + "|".join(sorted(_BLOCK, key=lambda x: (-len(x), x))) + r""")(?=[\s/>])(?:[^>]{0,200}?\bclass\s*=\s*(?:"[^">]*"|'[^'>]*'|[^\s"'>]+))?"""
-_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
+#: an opening tag of a block element up to its class, in either case
+_OPENED = "(?i)<(?:" + "|".join(sorted(_BLOCK, key=lambda x: (-len(x), x))) + r""")(?=[\s/>])(?:[^>]{0,200}?\bclass\s*=\s*(?:"[^">]*"|'[^'>]*'|[^\s"'>]+))?"""
+_TAG = re.compile(r"""([^<]*+)<(/?)([A-Za-z][^\s/>\x00]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTRIBUTE = re.compile(r"""(?:^|\s|/)(class|id|role|hidden|style|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-
-
-class Node:
-    __slots__ = ("tag", "names", "children", "parts", "parent", "linked")
-
-    def __init__(self, tag: str, names: str, parent: Node | None):
-        self.tag, self.names, self.parent = tag, names, parent
-        self.children: list[Node] = []
-        self.parts: list[str] | None = None  # of a text node
-        self.linked = 0  # characters of a text node that stand in links
-
-    @property
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split()) if self.parts else ""
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
+_DROPPED_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _DROPPED}
+_P, _ENDS_P = frozenset({"p"}), frozenset({"td", "th", "div", "article", "section", "li", "blockquote"})
 
 
 def _attributes(said: str) -> str:
@@ -110,113 +99,123 @@ def _attributes(said: str) -> str:
     return " ".join(out)
 
 
-def parse(source: str) -> Node:
+#: for short attributes, which elements made alike share
+_short_attributes = functools.lru_cache(4096)(_attributes)
+
+
+def parse(source: str) -> tuple[list[str], list[str], list[int], list[list[str] | None], list[int]]:
     """A tree of block elements; inline markup dissolves into the text around it.
 
+    Columns in page order, from a root: tag, class names, the parent's position, pieces of
+    text (None but for text nodes), and characters of a text node that stand in links.
     Never fails: unknown markup counts as inline, unclosed elements end with their
     parent, and an unclosed comment, script or tag reaches to the end.
     """
-    root = node = Node("#root", "", None)
-    text: Node | None = None
+    tags, named, parents, pieces, linked = ["#root"], [""], [-1], [None], [0]
+    node = 0
+    text = -1  # the text node that is open, if any
     at, n = 0, len(source)
-    open_tags: Counter = Counter()
+    open_tags: dict[str, int] = defaultdict(int)
     in_link = False
+    match, unescape = _TAG.match, entities.unescape
+
+    def add(tag: str, names: str, parts: list[str] | None) -> int:
+        tags.append(tag)
+        named.append(names)
+        parents.append(node)
+        pieces.append(parts)
+        linked.append(0)
+        return len(tags) - 1
 
     def say(piece: str) -> None:
         nonlocal text
-        if not piece:
-            return
-        if text is None:
-            if not piece.strip():
+        if text < 0:
+            if piece.isspace():
                 return
-            text = Node("#text", "", node)
-            text.parts = []
-            node.children.append(text)
-        text.parts.append(entities.unescape(piece) if "&" in piece else piece)
-        text.linked += len(piece) if in_link else 0
+            text = add("#text", "", [])
+        pieces[text].append(unescape(piece) if "&" in piece else piece)
+        if in_link:
+            linked[text] += len(piece)
 
-    def close(upto: Node) -> None:
+    def close(upto: int) -> None:
         """Leave ``upto`` and all that is open inside it."""
         nonlocal node, text
-        while node is not upto:
-            open_tags[node.tag] -= 1
-            node = node.parent
-        open_tags[upto.tag] -= 1
-        node, text = upto.parent, None
-
-    def opened(names, stop) -> Node | None:
+        while node != upto:
+            open_tags[tags[node]] -= 1
+            node = parents[node]
+        open_tags[tags[upto]] -= 1
+        node, text = parents[upto], -1
+
+    def opened(names, stop) -> int:
+        """The innermost open element of those names that no ``stop`` is open in, or 0."""
         if not any(open_tags[t] for t in names):
-            return None
+            return 0
         x = node
-        while x is not root and x.tag not in stop:
-            if x.tag in names:
+        while x and tags[x] not in stop:
+            if tags[x] in names:
                 return x
-            x = x.parent
-        return None
+            x = parents[x]
+        return 0
 
     while at < n:
-        lt = source.find("<", at)
-        if lt < 0:
-            say(source[at:])
-            break
-        say(source[at:lt])
-        if source.startswith("<!--", lt):
-            end = source.find("-->", lt + 4)
-            at = n if end < 0 else end + 3
-            continue
-        m = _TAG.match(source, lt)
+        m = match(source, at)
         if not m:
-            if re.match(r"<[!?/]", source[lt : lt + 2]):
-                end = source.find(">", lt)
-                at = n if end < 0 else end + 1
-            elif re.match(r"<[A-Za-z]", source[lt : lt + 2]):  # an unclosed tag or quote
+            lt = source.find("<", at)
+            if lt != at:
+                say(source[at:lt] if lt >= 0 else source[at:])
+            if lt < 0:
+                break
+            if source.startswith("<!--", lt):
+                end = source.find("-->", lt + 4)
+                at = n if end < 0 else end + 3
+            elif re.match(r"<[!?/A-Za-z]", source[lt : lt + 2]):  # with a letter: an unclosed tag or quote
                 end = source.find(">", lt)
                 at = n if end < 0 else end + 1
             else:
                 say("<")
                 at = lt + 1
             continue
-        at, closing, tag = m.end(), m.group(1), m.group(2).lower()
+        piece, closing, tag, said = m.groups()
+        at = m.end()
+        if piece:
+            say(piece)
+        tag = tag.lower()
         if closing:
             if tag in _BLOCK:
-                own = opened({tag}, ())
-                if own is not None:
+                own = node if tags[node] == tag else opened((tag,), ())
+                if own:
                     close(own)
-                text, in_link = None, False
+                text, in_link = -1, False
             elif tag == "a":
                 in_link = False
             continue
-        if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
-            if not m.group(3).endswith("/") or tag in ("script", "style"):
-                stop = source.find(">", end.end()) if end else -1
-                at = n if not end or stop < 0 else stop + 1
-            continue
-        if tag == "br" or tag in _VOID and tag != "hr":
-            if tag == "br":
-                say(" ") if text is not None else None
-            continue
         if tag not in _BLOCK:
-            in_link = in_link or tag == "a"
-            # inline elements that are never article text, such as buttons
-            if tag in _DROPPED:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+            if tag in _RAW:
+                if not said.endswith("/") or tag in ("script", "style"):
+                    end = _RAW_END[tag].search(source, at)
+                    stop = source.find(">", end.end()) if end else -1
+                    at = n if not end or stop < 0 else stop + 1
+            elif tag == "br":
+                if text >= 0:
+                    say(" ")
+            elif tag == "a":
+                in_link = True
+            elif tag in _DROPPED:  # inline elements that are never article text, such as buttons
+                end = _DROPPED_END[tag].search(source, at)
                 at = end.end() if end else at
             continue
-        if tag in _CLOSES_P and (p := opened({"p"}, {"td", "th", "div", "article", "section", "li", "blockquote"})):
+        if open_tags["p"] and tag in _CLOSES_P and (p := opened(_P, _ENDS_P)):
             close(p)
         if tag in _ENDS:
             names, stop = _ENDS[tag]
-            while (own := opened(names, stop)) is not None:
+            while own := opened(names, stop):
                 close(own)
-        text, in_link = None, False
+        text, in_link = -1, False
         if tag == "hr":
             continue
-        child = Node(tag, _attributes(m.group(3)), node)
-        node.children.append(child)
-        node = child
+        node = add(tag, "" if not said else _short_attributes(said) if len(said) <= 200 else _attributes(said), None)
         open_tags[tag] += 1
-    return root
+    return tags, named, parents, pieces, linked
 
 
 def _named(names: str) -> frozenset[str]:
@@ -233,55 +232,49 @@ def _named(names: str) -> frozenset[str]:
 _named = functools.lru_cache(4096)(_named)
 
 
-def _is_dropped(node: Node, inside: bool, large: bool = False) -> bool:
+@functools.lru_cache(4096)
+def _is_dropped(tag: str, names: str, inside: bool, large: bool = False) -> bool:
     """Whether a node is no part of the article; ``inside``: within one; ``large``: it holds most of the page's text."""
-    if node.tag in _DROPPED or node.tag == "header" and not inside:
+    if tag in _DROPPED or tag == "header" and not inside:
         return True
-    if not node.names or node.tag in ("html", "body", "main"):
+    if not names or tag in ("html", "body", "main"):
         return False
-    if "!hidden" in node.names:
+    if "!hidden" in names:
         return True
-    said = _named(node.names) - ({"header"} if inside else set())
-    if not said or not _ARTICLE_NAMES.isdisjoint(node.names.split()):
+    said = _named(names) - ({"header"} if inside else set())
+    if not said or not _ARTICLE_NAMES.isdisjoint(names.split()):
         return False
-    return not said.isdisjoint(_COMMENT_NAMES) or not large and node.tag != "article"
+    return not said.isdisjoint(_COMMENT_NAMES) or not large and tag != "article"
 
 
-def _is_article(node: Node) -> bool:
-    return node.tag in ("article", "main") or any(w in ("main", "article", "articlebody") for w in node.names.split())
+def _is_article(tag: str, names: str) -> bool:
+    return tag in ("article", "main") or bool(names) and any(w in ("main", "article", "articlebody") for w in names.split())
 
 
 class Page:
     """The nodes of a page in page order, and what of them is no part of an article."""
 
     def __init__(self, source: str):
-        self.nodes: list[Node] = []
-        self.parent: list[int] = []
-        stack = [(parse(source), -1)]
-        while stack:
-            node, parent = stack.pop()
-            me = len(self.nodes)
-            self.nodes.append(node)
-            self.parent.append(parent)
-            stack += [(c, me) for c in reversed(node.children)]
-        self.said = [x.text if x.parts is not None else "" for x in self.nodes]
+        self.tags, self.names, self.parent, pieces, linked = parse(source)
+        n = len(self.tags)
+        self.said = [" ".join("".join(x).split()) if x else "" for x in pieces]
         #: characters below each node outside links, where no element name tells against it
-        self.plain = [max(0, len(t) - x.linked) for t, x in zip(self.said, self.nodes)]
-        shut = [False] * len(self.nodes)
-        for i, node in enumerate(self.nodes):
-            shut[i] = node.tag in _DROPPED or i > 0 and shut[self.parent[i]]
-        self.mass = [0 if s else n for s, n in zip(shut, self.plain)]
-        for i in range(len(self.nodes) - 1, 0, -1):  # children follow their parent
+        self.plain = [max(0, len(t) - k) if t else 0 for t, k in zip(self.said, linked)]
+        shut, self.mass = [False] * n, self.plain.copy()
+        self.inside, self.gone, self.dropped = ([False] * n for _ in range(3))
+        for i, (tag, up) in enumerate(zip(self.tags, self.parent)):
+            if i and shut[up] or tag in _DROPPED:
+                shut[i], self.mass[i] = True, 0
+        for i in range(n - 1, 0, -1):  # children follow their parent
             self.mass[self.parent[i]] += self.mass[i]
-        self.inside, self.gone, self.dropped = ([False] * len(self.nodes) for _ in range(3))
-        for i, node in enumerate(self.nodes):
-            if node.parts is not None or i == 0:
-                self.dropped[i] = i > 0 and self.dropped[self.parent[i]]
-                continue
-            up = self.parent[i]
-            self.gone[i] = _is_dropped(node, self.inside[up], self.large(i))
-            self.dropped[i] = self.gone[i] or self.dropped[up]
-            self.inside[i] = self.inside[up] or not self.gone[i] and _is_article(node)
+        inside, gone, dropped, half = self.inside, self.gone, self.dropped, self.mass[0] / 2
+        for i, (tag, names, up) in enumerate(zip(self.tags, self.names, self.parent)):
+            if tag == "#text":
+                dropped[i] = dropped[up]
+            elif i:
+                gone[i] = _is_dropped(tag, names, inside[up], self.mass[i] > half)
+                dropped[i] = gone[i] or dropped[up]
+                inside[i] = inside[up] or not gone[i] and _is_article(tag, names)
 
     def large(self, i: int) -> bool:
         return 2 * self.mass[i] > self.mass[0]
@@ -289,15 +282,15 @@ class Page:
     def below(self, top: int) -> range:
         """Positions of ``top`` and all nodes inside it."""
         end = top + 1
-        while end < len(self.nodes) and self.parent[end] >= top:
+        while end < len(self.tags) and self.parent[end] >= top:
             end += 1
         return range(top, end)
 
     def rows(self) -> list[list]:
         """(parent, label, text hash) in page order; the hash is 0 without text."""
         return [
-            [p, f"{x.tag}.{x.names}", (zlib.crc32(t.encode(errors="replace")) or 1) if t else 0]
-            for p, x, t in zip(self.parent, self.nodes, self.said)
+            [p, f"{tag}.{names}", (zlib.crc32(t.encode(errors="replace")) or 1) if t else 0]
+            for p, tag, names, t in zip(self.parent, self.tags, self.names, self.said)
         ]
 
 
@@ -334,6 +327,18 @@ class Outline:
             else:
                 self.shape.append(None)
         self._forms: list[int] | None = None
+        self._columns: dict[int, list[tuple]] = {}
+
+    @functools.cached_property
+    def known(self) -> frozenset[int]:
+        """Hashes of all its texts."""
+        return frozenset(self.hash) - {0}
+
+    def columns(self, i: int) -> list[tuple]:
+        """Of each child of a node: its position, label, shape, text and size."""
+        if i not in self._columns:
+            self._columns[i] = [(c, self.label[c], self.shape[c], self.inner[c], self.size[c]) for c in self.children[i]]
+        return self._columns[i]
 
     @property
     def forms(self) -> list[int]:
@@ -383,13 +388,14 @@ def align(page: Outline, other: Outline) -> dict[int, int]:
             total = 0.0
             for x, y in pairs:
                 total += value(x, y)
+        elif total := _in_step(page, other, a, b):
+            pairs = list(zip(xs, ys))
         else:
             table = [[0.0] * (len(ys) + 1)]
-            columns = [(y, other.label[y], other.shape[y], other.inner[y]) for y in ys]
-            for x in xs:
+            columns = other.columns(b)
+            for x, label, shape, text, size in page.columns(a):
                 above, row, left = table[-1], [0.0], 0.0
-                label, shape, text, size = page.label[x], page.shape[x], page.inner[x], page.size[x]
-                for j, (y, label_y, shape_y, text_y) in enumerate(columns):
+                for j, (y, label_y, shape_y, text_y, _) in enumerate(columns):
                     up = above[j + 1]
                     if up > left:
                         left = up
@@ -420,12 +426,41 @@ def align(page: Outline, other: Outline) -> dict[int, int]:
         while todo:
             a, b = todo.pop()
             out[a] = b
-            if (a, b) not in back:  # a simple pair: its only children, if any
-                value(a, b)
-            todo += [(x, y) for x, y in back[a, b] if page.label[x] == other.label[y]]
+            value(a, b)
+            for x, y in back[a, b]:
+                if page.label[x] != other.label[y]:
+                    continue
+                if page.shape[x] is not None and page.shape[x] == other.shape[y]:
+                    out[x] = y
+                    out.update(zip(page.children[x], other.children[y]))  # their only children, if any
+                else:
+                    todo.append((x, y))
     return out
 
 
+def _in_step(page: Outline, other: Outline, a: int, b: int) -> float:
+    """What the children of a pair are worth if they match one by one from the first; 0 unless no matching is worth as much.
+
+    So it is where the shorter list is alike the start of the longer one in shape, and
+    each of its texts occurs at its own place or nowhere in the other page: then none of
+    its nodes can be worth more elsewhere, and an alignment table would choose the same pairs.
+    """
+    xs, ys = page.columns(a), other.columns(b)
+    x_leads = len(xs) <= len(ys)
+    known = other.known if x_leads else page.known
+    total = 0.0
+    for (_, label, shape, text, size), (_, label_y, shape_y, text_y, _) in zip(xs, ys):
+        if shape is None or shape != shape_y or label != label_y:
+            return 0.0
+        if text and text == text_y:
+            total += size + 0.5
+        elif (text if x_leads else text_y) in known:
+            return 0.0
+        else:
+            total += size
+    return total
+
+
 def _halved(page: Outline, other: Outline, xs: list[int], ys: list[int], value) -> list[tuple[int, int]]:
     """The largest ordered matching of two long lists, in memory that grows with their length.
 
@@ -520,12 +555,12 @@ def _main_slot(other: Outline, template: set[int], mass: dict[int, float]) -> in
 
 def _contents(page: Page, constant: set[int], top: int | None) -> list[str]:
     """Blocks of the article below ``top``; without one, of the articles of the page, or else of all of it."""
-    nodes, n = page.nodes, len(page.nodes)
+    tags, names, n = page.tags, page.names, len(page.tags)
 
     def outermost(within: range) -> list[int]:
         out, free = [], 0
         for i in within:
-            if i >= free and not page.dropped[i] and nodes[i].parts is None and _is_article(nodes[i]):
+            if i >= free and not page.dropped[i] and _is_article(tags[i], names[i]):
                 out.append(i)
                 free = page.below(i).stop
         return out
@@ -535,7 +570,7 @@ def _contents(page: Page, constant: set[int], top: int | None) -> list[str]:
     else:
         up = top
         while up >= 0:
-            if nodes[up].parts is None and _is_article(nodes[up]) and not page.dropped[up]:
+            if _is_article(tags[up], names[up]) and not page.dropped[up]:
                 top = up
             up = page.parent[up]
         within = outermost(page.below(top))
@@ -546,11 +581,10 @@ def _contents(page: Page, constant: set[int], top: int | None) -> list[str]:
         for i in page.below(t):
             if i < free:
                 continue
-            node = nodes[i]
-            if node.parts is not None:
+            if tags[i] == "#text":
                 if page.said[i] and i not in constant:
                     out.append(page.said[i])
-            elif i != t and (page.gone[i] if top is None else _is_dropped(node, True, page.large(i))):
+            elif i != t and (page.gone[i] if top is None else _is_dropped(tags[i], names[i], True, page.large(i))):
                 free = page.below(i).stop
     return out
 
@@ -589,8 +623,8 @@ def host(url: str = "url"):
 
 def layout(html: str = "html"):
     """Hash of the distinct block elements, with their classes but without digits; pages made alike share it."""
-    opened = F.regexp_extract_all(F.lower(F.col(html)), F.lit(_OPENED), F.lit(0))
-    bare = F.transform(opened, lambda x: F.regexp_replace(x, r"[0-9]+|\s+$", ""))
+    opened = F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(_OPENED), F.lit(0)))
+    bare = F.transform(opened, lambda x: F.regexp_replace(F.lower(x), r"[0-9]+|\s+$", ""))
     return F.xxhash64(F.array_sort(F.array_distinct(F.coalesce(bare, F.array().cast("array<string>")))))
 
 
@@ -694,8 +728,8 @@ def induce(pages: DataFrame, refs: DataFrame, broadcast_bytes: int, *, url: str
         """Reference nodes whose text the page repeats, and the page's other text by the node that it falls into."""
         pairs = align(shape, other)
         equal = [b for a, b in pairs.items() if shape.hash[a] and shape.hash[a] == other.hash[b]]
-        into, out = [0] * len(page.nodes), Counter()
-        for a in range(len(page.nodes)):
+        into, out = [0] * len(page.tags), Counter()
+        for a in range(len(page.tags)):
             into[a] = pairs.get(a, into[max(page.parent[a], 0)])
             if shape.hash[a] and not page.dropped[a] and shape.hash[a] != other.hash[pairs.get(a, 0)]:
                 out[into[a]] += page.plain[a]

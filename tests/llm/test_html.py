@@ -1,4 +1,5 @@
 import random
+import sys
 import time
 
 import pytest
@@ -214,3 +215,57 @@ def test_slot_against_a_plain_search():
             x = more[0]
         other = H.Outline([[p, f"{g}.", 0] for p, g in zip(parents, labels)])
         assert H._main_slot(other, set(), mass) == x[3]
+
+
+def _lines_run(f) -> int:
+    """Lines of Python that a call runs; unlike seconds, the same on every machine."""
+    n, before = 0, sys.gettrace()
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event == "line"
+        return count
+
+    sys.settrace(count)
+    try:
+        f()
+    finally:
+        sys.settrace(before)
+    return n
+
+
+def test_work_for_each_node_is_bounded():
+    """Pages of the tables: lines run for a node to read a page, and to align it with another."""
+    import pandas as pd
+
+    pages = pd.read_parquet("/root/testdata/sf0.001/pages.parquet").html.dropna().tolist()[:60]
+    outlines = [H.Outline(H.outline(x)) for x in pages]
+    nodes = sum(len(x.label) for x in outlines)
+    assert _lines_run(lambda: [H.Page(x) for x in pages]) < 58 * nodes
+    assert _lines_run(lambda: [H.align(a, b) for a, b in zip(outlines, outlines[1:])]) < 30 * nodes
+
+
+def test_lists_in_step_are_aligned_as_by_a_table(monkeypatch):
+    rnd = random.Random(8)
+    kinds = ["<p>%d</p>", "<p>%d</p>", "<p></p>", "<li>%d", "<div>%d</div>", "<p><div>a</div>%d</p>", "<h2>%d</h2>"]
+    met = 0
+    for k in range(400):
+        base = [rnd.choice(kinds) for _ in range(rnd.randrange(1, 9))]
+        more = base[: rnd.randrange(1, 9)] if k % 2 else base + [rnd.choice(kinds) for _ in range(rnd.randrange(5))]
+        fill = lambda some, top: "<div>" + "".join(x % rnd.randrange(top) if "%" in x else x for x in some) + "</div>"
+        a, b = (H.Outline(H.outline(fill(x, rnd.choice([4, 10**9])))) for x in rnd.sample([base, more], 2))
+        with monkeypatch.context() as m:
+            m.setattr(H, "_in_step", lambda *_: 0)
+            want = H.align(a, b)
+        met += bool(H._in_step(a, b, 1, 1))
+        assert H.align(a, b) == want
+    assert met > 50
+
+
+def test_layouts_do_not_tell_letters_of_either_case_and_digits_apart(spark):
+    same = ["<DIV CLASS='Ab1'><P>x</P></DIV>", "<div class='aB22'><p>y<p>z</div>"]
+    other = ["<div class='ac1'><p>x</p></div>", "<div><p>x</p></div>", "", None]
+    found = spark.createDataFrame([(x,) for x in same + other], "html string").select(H.layout().alias("l"), "html").collect()
+    by = {r.html: r.l for r in found}
+    assert by[same[0]] == by[same[1]]
+    assert len(set(by.values())) == 4
